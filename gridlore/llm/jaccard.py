@@ -2,10 +2,12 @@
 
 1. A count sketch of fixed size ranks n-grams from rare to frequent.  It only
    sets the order; the result is exact whatever it holds.
-2. Each set sends its prefix (the rarest n - ceil(t n) + 1 n-grams): sets that
-   link share one.  Sets that meet in a prefix n-gram, sorted by size, are
-   chained while neighbouring sizes allow a link; the components of the chains
-   are clusters, and every link lies within one.
+2. Each set sends its prefix, the rarest n - ceil(t n) + 1 n-grams.  The first
+   n-gram that two linked sets share lies in both prefixes, and in the smaller
+   set among the rarest n - ceil(2 t n / (1 + t)) + 1, its head.  Sorted by size,
+   the sets with an n-gram in their heads are chained while neighbouring sizes
+   allow a link, and every other set with it hangs on the one before it; the
+   components are clusters, and every link lies within one.
 3. The n-gram order is cut into fragments.  A cluster is dealt into blocks of
    bounded size; for each pair of blocks and each fragment a task counts the
    partial overlaps of all sets at once as a matrix.
@@ -23,6 +25,7 @@ tables give no rows; very long texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,12 @@ from . import kernels as K
 from .common import arrow_map, discard, grouped, stash, texts_only
 from .graph import components
 
-SKETCH_BITS = 21
+SKETCH_BITS = 23
 BITMAP_BITS = 24
 FRAGMENT_BITS = 2
 BLOCK_SETS = 384
 BLOCK_GRAMS = 1 << 20
-_CHUNK = 4096
+_CHUNK = 1 << 16
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,38 +69,52 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return g, cuts, node
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    small = counts.max() < 256
+    return bytes([int(small)]) + zlib.compress(counts.astype(np.uint8 if small else "<u4").tobytes(), 1)
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8 if raw[0] else "<u4").astype(np.uint32)
+
+
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """How many texts have each n-gram, by the low SKETCH_BITS of its hash; summed in tasks, a fixed number of counters for the driver."""
+    """How common each n-gram is (a byte, eighths of a doubling) by the low SKETCH_BITS of its hash.
+
+    Counts are summed in tasks; the driver gets a fixed number of bytes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        held = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for part in K.bites(batch, "text"):
                 g, _, _ = _sets(part.column("text"), size)
-                held += np.bincount((g & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        chunks = np.minimum(held, 0xFFFFFFFF).astype("<u4").reshape(-1, _CHUNK)
-        some = np.flatnonzero(chunks.any(axis=1))
-        for c in np.array_split(some, max(1, len(some) // 64)):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(c, pa.int64()), "counts": pa.array([chunks[i].tobytes() for i in c], pa.binary())})
+                slot, n = np.unique((g & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32), return_counts=True)
+                held[slot] += n.astype(np.uint32)
+        for c, chunk in enumerate(held.reshape(-1, _CHUNK)):
+            if chunk.any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "counts": pa.array([_squeezed(chunk)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                held[c] = held.get(c, 0) + np.frombuffer(raw, dtype="<u4").astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(held), pa.int64()), "counts": pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in held.values()], pa.binary())})
+                held[c] = held.get(c, 0) + _counts(raw)
+        for c, total in held.items():
+            rank = np.minimum(np.round(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "counts": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())})
 
     schema = "chunk long, counts binary"
     parts = arrow_map(texts.select("text"), count, schema)
     rows = arrow_map(parts.repartition(16, "chunk"), add, schema).toArrow()
-    total = np.zeros(((1 << SKETCH_BITS) // _CHUNK, _CHUNK), dtype=np.uint32)
+    total = np.zeros(((1 << SKETCH_BITS) // _CHUNK, _CHUNK), dtype=np.uint8)
     for c, raw in zip(rows.column("chunk").to_pylist(), rows.column("counts").to_pylist()):
-        total[c] = np.frombuffer(raw, dtype="<u4")
+        total[c] = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
     return total.reshape(-1)
 
 
 def _prefixes(texts: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
-    """token, node, n: the prefix of every set, once a task for equal sets."""
+    """token, node, n, head: the prefix of every set, once a task for equal sets; head: it is among those that a smaller set must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = sketch.value, set()
@@ -112,11 +129,12 @@ def _prefixes(texts: DataFrame, size: int, num: int, den: int, sketch) -> DataFr
                     if n[i] and x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                take = np.arange(len(g)) - cuts[doc] < (n + (num * n) // -den + 1)[doc]  # n - ceil(t n) + 1
-                take &= fresh[doc]
-                yield pa.RecordBatch.from_pydict({"token": g[order][take].view(np.int64), "node": node[doc][take].view(np.int64), "n": n[doc][take]})
+                place = np.arange(len(g)) - cuts[doc]
+                take = (place < (n + (num * n) // -den + 1)[doc]) & fresh[doc]  # n - ceil(t n) + 1
+                head = place < (n + (2 * num * n) // -(num + den) + 1)[doc]
+                yield pa.RecordBatch.from_pydict({"token": g[order][take].view(np.int64), "node": node[doc][take].view(np.int64), "n": n[doc][take], "head": head[take]})
 
-    return arrow_map(texts.select("text"), run, "token long, node long, n long")
+    return arrow_map(texts.select("text"), run, "token long, node long, n long, head boolean")
 
 
 def _segments(texts: DataFrame, size: int, bitmap) -> DataFrame:
@@ -232,15 +250,16 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     spark = docs.sparkSession
     texts = texts_only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, size))
-    own = Window.partitionBy("token").orderBy("n", "node")
-    chained = _prefixes(texts, size, num, den, sketch).select("node", "n", F.lag("node").over(own).alias("other"), F.lag("n").over(own).alias("m"))
-    edges = chained.filter((F.col("node") != F.col("other")) & (den * F.col("m") >= num * F.col("n"))).select(F.col("other").alias("a"), F.col("node").alias("b"))
+    before = Window.partitionBy("token").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
+    met = _prefixes(texts, size, num, den, sketch).withColumn("last", F.last(F.when(F.col("head"), F.struct("node", "n")), ignorenulls=True).over(before))
+    edges = met.filter((F.col("node") != F.col("last.node")) & (den * F.col("last.n") >= num * F.col("n"))).select(F.col("last.node").alias("a"), F.col("node").alias("b"))
     cluster = stash(components(edges, "clusters").withColumnRenamed("component", "cluster"), "cluster")
     bits = spark.sparkContext.broadcast(_bitmap(cluster))
-    sets = stash(_segments(texts, size, bits).dropDuplicates(["node"]).join(cluster, "node").withColumn("n", (F.octet_length("grams") / 8).cast("long")), "sets")
-    sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks")).filter("blocks > 0")
-    placed = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    rows = stash(_nodes(texts, size), "nodes")
+    sized = rows.filter("n > 0").select("node", "n").distinct().join(cluster, "node")
+    sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
+    placed = sized.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    paired = _segments(texts, size, bits).dropDuplicates(["node"]).join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("long").alias("side"), "node", "n", "grams"
     )
     found = arrow_map(paired, _cut, "cluster long, bi long, bj long, fragment long, side long, node long, n long, grams binary")
@@ -248,8 +267,7 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     partial = arrow_map(found.repartition(*keys, "fragment").sortWithinPartitions(*keys, "fragment"), _overlaps, _PARTIAL)
     forest = arrow_map(partial.repartition(*keys).sortWithinPartitions(*keys), _forest(num, den), "a long, b long")
     joined = stash(components(forest, "links"), "joined")
-    rows = stash(_nodes(texts, size), "nodes")
-    discard(sets, cluster)
+    discard(cluster)
     group = F.coalesce("component", "node")
     named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").select("node", "least", group.alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
