@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality, winnow
+from . import jaccard, mixing, packing, quality, winnow
 from .common import table
 
 
@@ -33,3 +33,12 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(table(spark, sf_dir, "documents"), size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = packing.write(table(spark, sf_dir, "documents"), packing.default_tokenizer(), end_id=2)
+    return packing.read(files)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
