@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, winnow
+from . import chat, jaccard, license, mixing, packing, quality, winnow
 from .common import table
 
 
@@ -58,3 +58,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license.scan(table(spark, sf_dir, "documents"))
+    return got.withColumns({"base_labels": F.concat_ws(",", "base_labels"), "labels": F.concat_ws(",", "labels")})

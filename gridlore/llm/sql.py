@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .license import PASSAGES
+
 op10_quality_rules = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -77,3 +79,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length(erole) + length(etext) + 20)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_PASSAGES = ",\n".join(f"({i}, '{label}', '{text}')" for i, (text, label) in enumerate(PASSAGES.items()))
+op8_license_scan = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+p(phrase, n, label) AS (VALUES ('mit license', 2, 'mit'), ('apache license', 2, 'apache'), ('general public license', 3, 'gpl')),
+pl AS (SELECT r, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 1),
+base AS (SELECT r, i - 1 AS w, label FROM pl, p WHERE array_to_string(ws[i:i + n - 1], ' ') = phrase),
+b AS (
+  SELECT r, count(*) AS n_base, min(w) AS f, max(w) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM base GROUP BY r),
+t(template, label, words) AS (VALUES
+""" + _PASSAGES + r"""),
+tp AS (
+  SELECT template, label, len(x) - 1 AS pairs, j, x[j] || ' ' || x[j + 1] AS gram
+  FROM (SELECT template, label, x, unnest(generate_series(1, len(x) - 1)) AS j
+        FROM (SELECT template, label, string_split(words, ' ') AS x FROM t))),
+hit AS (
+  SELECT r, template, label, pairs, i - j AS diagonal, count(DISTINCT j) AS votes
+  FROM pl JOIN tp ON ws[i] || ' ' || ws[i + 1] = gram GROUP BY ALL),
+v AS (
+  SELECT r, label, least(1.0, sum(votes) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+         / pairs::DOUBLE) AS share
+  FROM hit),
+m AS (SELECT r, label, share FROM v WHERE share >= 0.6 UNION ALL SELECT r, label, 1.0 FROM base),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l_.l::BIGINT AS last_word,
+       coalesce(l_.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(l.score, 0)::DOUBLE AS score
+FROM d LEFT JOIN b l_ USING (r) LEFT JOIN l USING (r)
+"""
