@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license, mixing, packing, quality, winnow
+from . import chat, jaccard, license, lm, mixing, packing, quality, winnow
 from .common import table
 
 
@@ -63,3 +63,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license.scan(table(spark, sf_dir, "documents"))
     return got.withColumns({"base_labels": F.concat_ws(",", "base_labels"), "labels": F.concat_ws(",", "labels")})
+
+
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
