@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license, lm, mixing, packing, quality, winnow
+from . import chat, jaccard, license, lm, mixing, packing, quality, substring, winnow
 from .common import table
 
 
@@ -67,3 +67,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(table(spark, sf_dir, "documents")).drop("kept")
