@@ -157,59 +157,85 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-_TOKENIZERS: dict[str, tuple] = {}
-_CACHED_WORDS, _CACHED_BYTES = 300_000, 256
+_CACHED_WORDS = 2_000_000
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
-
-
-def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, an end id after each, and where each text's ids end.
+class Encoder:
+    """A tokenizer that encodes each distinct word once, as long as its cache has room.
 
     The vocabulary's normaliser and splitter never let a token cross ASCII white
-    space, so each distinct word between such spaces is encoded once.
+    space, so a text's ids are its words' ids.  Words are known by their 64-bit
+    hash; the cache is a sorted array of hashes and one array of ids, about 40
+    bytes a word.
     """
-    tok, known = _tokenizer(path)
-    words = K.split_words(texts, K.NON_SPACE, lower=False)
-    coded = words.arrow().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    fresh = [w for w in distinct if w not in known]
-    for w, e in zip(fresh, tok.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-        known[w] = np.array(e.ids, dtype=np.uint32)
-    size = np.array([len(known[w]) for w in distinct], dtype=np.int64)
-    flat = np.concatenate([known[w] for w in distinct]) if distinct else np.zeros(0, np.uint32)
-    if len(known) > _CACHED_WORDS:
-        known.clear()
-    else:
-        for w in fresh:
-            if len(w) > _CACHED_BYTES:
-                del known[w]
-    base = np.concatenate(([0], np.cumsum(size)))
-    code = coded.indices.to_numpy()
-    n = size[code] if len(code) else np.zeros(0, np.int64)
-    upto = np.concatenate(([0], np.cumsum(n)))
-    ends = upto[words.bounds[1:]] + np.arange(1, len(words.bounds))  # with one end id for each text
-    out = np.full(int(upto[-1]) + len(texts), end_id, dtype=np.uint32)
-    put = np.ones(len(out), dtype=bool)
-    put[ends - 1] = False
-    if len(code):
-        out[put] = flat[np.arange(int(upto[-1])) + np.repeat(base[code] - upto[:-1], n)]
-    return out, ends
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        new = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
+        if self.used + len(new) > len(self.held):
+            grown = np.zeros(2 * (self.used + len(new)), np.uint32)
+            grown[: self.used] = self.held[: self.used]
+            self.held = grown
+        self.held[self.used : self.used + len(new)] = new
+        all_hashes = np.concatenate((self.hashes, hashes))
+        order = np.argsort(all_hashes, kind="stable")
+        self.hashes = all_hashes[order]
+        self.where = np.concatenate((self.where, self.used + np.cumsum(size) - size))[order]
+        self.size = np.concatenate((self.size, size))[order]
+        self.used += len(new)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, an end id after each, and where each text's ids end."""
+        words = K.split_words(texts, K.NON_SPACE, lower=False)
+        distinct, first, code = np.unique(K.hash_words(words), return_index=True, return_inverse=True)
+        if len(self.hashes) > _CACHED_WORDS:
+            self._forget()
+        at = np.searchsorted(self.hashes, distinct)
+        at[at == len(self.hashes)] = 0
+        fresh = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), dtype=bool)
+        if fresh.any():
+            rows = np.sort(first[fresh])
+            spelt = K.spans(words.data, words.starts[rows], words.ends[rows]).to_pylist()
+            self._learn(spelt, K.hash_spans(words.data, words.starts[rows], words.ends[rows]))
+            at = np.searchsorted(self.hashes, distinct)
+        size, where = self.size[at], self.where[at]
+        n = size[code]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ends = upto[words.bounds[1:]] + np.arange(1, len(words.bounds))  # with one end id for each text
+        out = np.full(int(upto[-1]) + len(texts), end_id, dtype=np.uint32)
+        put = np.ones(len(out), dtype=bool)
+        put[ends - 1] = False
+        out[put] = self.held[np.arange(int(upto[-1])) + np.repeat(where[code] - upto[:-1], n)]
+        return out, ends
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a vocabulary file, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, out_dir: str | None = None) -> DataFrame:
     """Encode all texts and write them; returns the files in order: part, path, n_docs, n_ids, base (ids of all files before)."""
     spark = docs.sparkSession
     where = out_dir or shared_path(spark, "packed")
-    tok, _ = _tokenizer(tokenizer)
-    bits = bits_for(max(tok.get_vocab_size(), end_id + 1))
+    bits = bits_for(max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, path, writer = TaskContext.get().partitionId(), "", None
@@ -218,7 +244,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, out_dir: str | None
                 if writer is None:
                     path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}.pack"
                     writer = Writer(path, bits)
-                ids, ends = encode(piece.column("text"), tokenizer, end_id)
+                ids, ends = encoder(tokenizer).encode(piece.column("text"), end_id)
                 doc = piece.column("doc_id")
                 writer.add(doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), ends, ids)
         if writer is not None:
