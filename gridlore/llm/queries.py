@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license, lm, mixing, packing, quality, substring, winnow
+from . import chat, jaccard, license, lm, mixing, packing, pii, quality, substring, winnow
 from .common import table
 
 
@@ -71,3 +71,7 @@ def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).withColumn("kinds", F.concat_ws(",", "kinds"))
