@@ -34,12 +34,13 @@ OWN, TAILS, KNOWN = 8192, 2048, 1 << 18
 _FLUSH = 1_000_000
 
 
-def _tail(words: K.Words) -> np.ndarray:
+def _tail(words: K.Words, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
     """The ending of each word: a number below TAILS made of its last three bytes."""
-    size = words.ends - words.starts
-    h = np.zeros(len(words), dtype=np.uint64)
+    ends = words.ends[rows]
+    size = ends - words.starts[rows]
+    h = np.zeros(len(ends), dtype=np.uint64)
     for j in (1, 2, 3):
-        byte = np.where(size >= j, words.data[np.maximum(words.ends - j, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        byte = np.where(size >= j, words.data[np.maximum(ends - j, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         h = h * np.uint64(257) + byte
     return (K.mix(h) % np.uint64(TAILS)).astype(np.int64)
 
@@ -98,14 +99,33 @@ class Vocabulary:
     def end(self) -> int:
         return OWN + TAILS
 
+    def __post_init__(self):
+        # where the known hashes of each of 2 ** 20 leading parts begin, so that a search is a step or two
+        self._from = np.searchsorted(self.known >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the known, or -1."""
+        lead = (h >> np.uint64(44)).astype(np.int64)
+        at, end = self._from[lead], self._from[lead + 1]
+        out = np.full(len(h), -1, dtype=np.int64)
+        open_ = np.flatnonzero(at < end)
+        at, end, wanted = at[open_], end[open_], h[open_]
+        while len(open_):
+            hit = self.known[at] == wanted
+            out[open_[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            open_, at, end, wanted = open_[on], at[on] + 1, end[on], wanted[on]
+        return out
+
     def symbols(self, words: K.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each word and its count, -1 where it is not among the known."""
-        at = np.searchsorted(self.known, h)
-        at[at == len(self.known)] = 0
-        there = self.known[at] == h if len(self.known) else np.zeros(len(h), dtype=bool)
-        symbol = OWN + _tail(words)
-        symbol[there] = self.symbol[at[there]]
-        return symbol, np.where(there, self.counts[at] if len(self.known) else 0, -1)
+        at = self.find(h.view(np.uint64))
+        there = at >= 0
+        symbol, count = np.empty(len(h), dtype=np.int64), np.full(len(h), -1, dtype=np.int64)
+        symbol[there], count[there] = self.symbol[at[there]], self.counts[at[there]]
+        rest = np.flatnonzero(~there)
+        symbol[rest] = OWN + _tail(words, rest)
+        return symbol, count
 
 
 def vocabulary(counts: DataFrame, n_train: int) -> Vocabulary:
@@ -122,6 +142,7 @@ def vocabulary(counts: DataFrame, n_train: int) -> Vocabulary:
     weight[:own], weight[-1] = c[:own], n_train
     inside = np.zeros(OWN + TAILS + 1)
     inside[OWN:-1] = np.log10(weight[OWN:-1] + kinds[OWN:-1] + 1)
+    h = h.view(np.uint64)
     order = np.argsort(h)
     return Vocabulary(h[order], c[order], symbol[order], n_train, int(total["n"] or 0) + n_train, int(total["v"]) + (n_train > 0), weight, inside)
 
