@@ -130,8 +130,20 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, n_train: int) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
+    # the counts from which on no more than KNOWN words are left, by a histogram of a few thousand rows at most
+    level = F.floor(64 * F.log2(F.col("c"))).cast("int")
+    least, many = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        many += r["count"]
+        if many > KNOWN:
+            break
+        least = r["level"]
+    else:
+        least = 0
+    top = counts.filter(level >= least).toArrow() if many <= KNOWN or least else counts.limit(0).toArrow()
     h, tail, c = (top.column(x).to_numpy() for x in ("h", "tail", "c"))
+    order = np.lexsort((h, -c))
+    h, tail, c = h[order], tail[order], c[order]
     symbol = np.where(np.arange(len(h)) < OWN, np.arange(len(h)), OWN + tail.astype(np.int64))
     weight, kinds = np.zeros(OWN + TAILS + 1, dtype=np.int64), np.zeros(OWN + TAILS + 1, dtype=np.int64)
     for r in counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most TAILS
