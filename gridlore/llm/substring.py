@@ -5,15 +5,16 @@ anywhere else.  Sorting all suffixes of the corpus in one order needs all text
 in one place, so the corpus is sharded first such that no repeat crosses shards:
 
 1. Each window has an anchor chosen by content alone (``anchors``); equal windows
-   have equal anchors.  Per anchor gram, occurrences and the least and greatest
-   content of their stretches are aggregated.  A gram that occurs once has no
-   repeated window; one whose stretches are all equal has only repeated windows.
-2. The stretches of all other grams are dealt out by gram, which brings all
-   equal windows together.  Each task sorts the suffixes of its distinct
-   stretches, packed together, by induced sorting, computes the permuted common
-   prefixes, and marks windows that share ``window`` bytes with a neighbour.
+   have equal anchors.  The stretches of windows with one anchor are counted by
+   anchor gram and content.  A gram that occurs once has no repeated window; all
+   windows of a stretch that occurs twice are repeated.
+2. The distinct stretches of grams that have several are dealt out by gram, the
+   bytes of each from one document, which brings all equal windows together.
+   Each task sorts the suffixes of its stretches, packed together, by induced
+   sorting, computes the permuted common prefixes, and marks windows that share
+   ``window`` bytes with a neighbour.
 3. Marked spans go back to the documents that hold the stretches; texts that
-   lose bytes are read again and cut.
+   lose some of their bytes are read again and cut.
 
 Equal texts are worked on once a task (their first two count).  Fixed-size
 bitmaps keep stretches that cannot matter from being shuffled; they never decide.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors, suffix
@@ -86,51 +87,61 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    """A text's key in 32 bits, to tell the documents of one content apart."""
+    return (key.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def _grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """gram and content of every stretch, of equal texts the first two a task."""
+    """gram, content, n and least short key of the stretches of a batch, of equal texts the first two a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
             for part in K.bites(_unseen(batch, seen, 2), "text"):
                 found = anchors.stretches(*K.flat(part.column("text")), window, gram)
-                yield pa.RecordBatch.from_pydict({"gram": found.gram.view(np.int64), "content": found.content.view(np.int64)})
+                key = _short(part.column("key").to_numpy())[found.doc]
+                order = np.lexsort((key, found.content))
+                content = found.content[order]
+                first = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(order) else order
+                yield pa.RecordBatch.from_pydict(
+                    {"gram": found.gram[order][first].view(np.int64), "content": content[first].view(np.int64), "n": np.diff(np.append(first, len(order))).astype(np.int32), "short": key[order][first]}
+                )
 
-    return arrow_map(texts, run, "gram long, content long")
+    return arrow_map(texts, run, "gram long, content long, n int, short long")
 
 
-def _occurrences(texts: DataFrame, window: int, gram: int, live, mixed) -> DataFrame:
-    """Where stretches of grams that may repeat lie, for the first two of equal texts of a task; and for grams that may have several contents, the bytes of a content at its first place in the task and an empty mark at its second."""
+def _occurrences(texts: DataFrame, window: int, gram: int, live, chosen) -> DataFrame:
+    """Where stretches of grams that may repeat lie, once for equal texts of a task; and the bytes of a content in the document chosen for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
-        met: dict[int, int] = {}
         for batch in batches:
-            for part in K.bites(_unseen(batch, seen, 2), "text"):
+            for part in K.bites(_unseen(batch, seen, 1), "text"):
                 data, offsets = K.flat(part.column("text"))
                 found = anchors.stretches(data, offsets, window, gram)
                 keep = np.flatnonzero(_has(live.value, found.gram))
-                several = _has(mixed.value, found.gram[keep])
+                doc, content = found.doc[keep], found.content[keep]
+                key = part.column("key").to_numpy()
+                mine = np.flatnonzero(_has(chosen.value, content ^ _short(key)[doc].view(np.uint64)))
+                mine = mine[np.unique(content[mine], return_index=True)[1]]
                 raw: list[bytes | None] = [None] * len(keep)
-                for k in np.flatnonzero(several):
+                for k in mine.tolist():
                     i = keep[k]
-                    content = int(found.content[i])
-                    times = met.get(content, 0)
-                    if times < 2:
-                        met[content] = times + 1
-                        raw[k] = b"" if times else data[found.at[i] : found.at[i] + found.size[i]].tobytes()
+                    raw[k] = data[found.at[i] : found.at[i] + found.size[i]].tobytes()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "key": part.column("key").take(pa.array(found.doc[keep])),
+                        "key": key[doc],
+                        "n_bytes": np.diff(offsets)[doc],
                         "first": pa.array(found.first[keep], pa.int64()),
                         "size": pa.array(found.size[keep].astype(np.int32)),
-                        "gram": found.gram[keep].view(np.int64),
-                        "content": found.content[keep].view(np.int64),
+                        "gram": pa.array(found.gram[keep].view(np.int64), mask=np.array([r is None for r in raw], dtype=bool)),
+                        "content": content.view(np.int64),
                         "bytes": pa.array(raw, pa.binary()),
                     }
                 )
 
-    return arrow_map(texts, run, "key long, first long, size int, gram long, content long, bytes binary")
+    return arrow_map(texts, run, "key long, n_bytes long, first long, size int, gram long, content long, bytes binary")
 
 
 _SPANS = "content long, low array<int>, high array<int>"
@@ -174,61 +185,56 @@ def _sort_shards(window: int, gram: int):
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["content", "low", "high"])
 
         for _, rows in grouped(batches, "gram"):
-            content, raw = rows.column("content").to_pylist(), rows.column("bytes").to_pylist()
-            whole: dict[int, bytes] = {}
-            times: dict[int, int] = {}
-            for c, b in zip(content, raw):
-                times[c] = times.get(c, 0) + 1
-                if b:
-                    whole[c] = b
-            twice = [c for c, n in times.items() if n > 1]
-            if twice:
-                yield pa.RecordBatch.from_arrays([pa.array(twice, pa.int64()), pa.array([[0]] * len(twice), pa.list_(pa.int32())), pa.array([[len(whole[c])] for c in twice], pa.list_(pa.int32()))], names=["content", "low", "high"])
-            # a content that occurs twice stays in the shard, as others may share windows with it
-            if len(whole) > 1:
-                own = sum(map(len, whole.values()))
-                if own > _BIG_GRAM:
-                    once = [c for c in whole if times[c] == 1]
-                    got = dict(zip(whole, _windows_one_by_one(list(whole.values()), window)))
-                    yield solved([whole[c] for c in once], once, lambda _, got=got, once=once: [got[c] for c in once])
-                    continue
-                texts += whole.values()
-                names += [c if times[c] == 1 else None for c in whole]
-                waiting += own
-                if waiting > PACK_BYTES:
-                    yield _without_none(solved(texts, names, lambda t: suffix.repeated(t, window, most)))
-                    texts, names, waiting = [], [], 0
+            whole = dict(zip(rows.column("content").to_pylist(), rows.column("bytes").to_pylist()))
+            if len(whole) < 2:
+                continue
+            own = sum(map(len, whole.values()))
+            if own > _BIG_GRAM:
+                yield solved(list(whole.values()), list(whole), lambda t: _windows_one_by_one(t, window))
+                continue
+            texts += whole.values()
+            names += whole
+            waiting += own
+            if waiting > PACK_BYTES:
+                yield solved(texts, names, lambda t: suffix.repeated(t, window, most))
+                texts, names, waiting = [], [], 0
         if texts:
-            yield _without_none(solved(texts, names, lambda t: suffix.repeated(t, window, most)))
+            yield solved(texts, names, lambda t: suffix.repeated(t, window, most))
 
     return run
 
 
-def _without_none(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(batch.column("content").is_valid())
+def _merged(places: DataFrame) -> DataFrame:
+    """key, low and high of its merged spans, n_removed, n_spans and whether they are all of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("key", "low", "high", "n_removed", "n_spans", "whole")}
+            for key, n, low, high in zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "low", "high"))):
+                order = np.argsort(low, kind="stable")
+                low, reach = np.array(low)[order], np.maximum.accumulate(np.array(high)[order])
+                new = np.flatnonzero(np.append(True, low[1:] > reach[:-1]))
+                low, high = low[new], reach[np.append(new[1:] - 1, len(reach) - 1)]
+                gone = int((high - low).sum())
+                for c, v in zip(out, (key, low, high, gone, len(low), gone == n)):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["low"], pa.list_(pa.int64())), pa.array(out["high"], pa.list_(pa.int64())), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["whole"], pa.bool_())], names=list(out))
+
+    return arrow_map(places.select("key", "n_bytes", "low", "high"), run, "key long, low array<long>, high array<long>, n_removed long, n_spans long, whole boolean")
 
 
-def _cut(spans_of_key: DataFrame) -> DataFrame:
-    """key, n_removed, n_spans, kept and kept_sha256 of texts with their spans (low and high arrays)."""
+def _cut(texts: DataFrame) -> DataFrame:
+    """key, kept and kept_sha256 of texts with their merged spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"key": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
-            for key, text, low, high in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "low", "high"))):
-                raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                change = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(change, low, 1)
-                np.add.at(change, high, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                kept = raw[~gone].tobytes()
-                out["key"].append(key)
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(len(K.runs(gone)[0]))
-                out["kept"].append(kept)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["kept_sha256"], pa.string())], names=list(out))
-
-    return arrow_map(spans_of_key.select("key", "text", "low", "high"), run, "key long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+            kept = []
+            for text, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high"))):
+                raw = text.encode()
+                kept.append(b"".join(raw[a:b] for a, b in zip([0, *high], [*low, len(raw)])))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["key", "kept", "kept_sha256"])
+
+    return arrow_map(texts.select("key", "text", "low", "high"), run, "key long, kept binary, kept_sha256 string")
 
 
 def _only(texts: DataFrame, bits) -> DataFrame:
@@ -243,27 +249,41 @@ def _only(texts: DataFrame, bits) -> DataFrame:
     return arrow_map(texts, run, "key long, text string")
 
 
-def removed(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (null: all) and kept_sha256 of every row. gram: bytes, a multiple of 8, at most window."""
+def removed(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes, null: all) and kept_sha256 of every row. gram: bytes, a multiple of 8, at most window.
+
+    A longer gram means fewer chance meetings of unequal stretches and more stretches.
+    """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     texts = keyed.select("key", "text")
-    stats = _grams(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("greatest"))
-    stats = stash(stats.filter("n > 1").drop("n"), "stats")
+    counted = _grams(texts, window, gram).repartition("gram").groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min("short").alias("short"))
+    own = Window.partitionBy("gram")
+    counted = counted.withColumns({"contents": F.count("*").over(own), "total": F.sum("n").over(own)}).filter("total > 1").drop("total")
+    counted = stash(counted, "counted")
     share = spark.sparkContext.broadcast
-    live, mixed = share(_bitmap(stats.select(F.col("gram").alias("h")))), share(_bitmap(stats.filter("least <> greatest").select(F.col("gram").alias("h"))))
-    found = stash(_occurrences(texts, window, gram, live, mixed), "stretches")
-    shards = found.filter("bytes IS NOT NULL").select("gram", "content", "bytes")
-    shards = shards.repartition("gram").sortWithinPartitions("gram")
+    live = share(_bitmap(counted.select(F.col("gram").alias("h"))))
+    chosen = share(_bitmap(counted.filter("contents > 1").select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
+    found = stash(_occurrences(texts, window, gram, live, chosen), "stretches")
+    shards = found.filter("bytes IS NOT NULL").select("gram", "content", "bytes").repartition("gram").sortWithinPartitions("gram")
     sorted_out = arrow_map(shards, _sort_shards(window, gram), _SPANS)
-    even = stats.filter("least = greatest").select(F.col("least").alias("content"), F.array(F.lit(0)).alias("low"), F.lit(None).cast("array<int>").alias("high"))
-    repeats = even.unionByName(sorted_out)
-    places = found.select("key", "first", "size", "content").join(repeats, "content")
-    places = places.select("key", F.explode(F.arrays_zip("low", F.coalesce("high", F.array("size")).alias("high"))).alias("x"), "first").select("key", (F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))
-    spans = stash(places.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("s")).select("key", "s.low", "s.high"), "spans")
-    discard(found, stats)
-    changed = _only(texts, share(_bitmap(spans.select(F.col("key").alias("h"))))).dropDuplicates(["key"]).join(spans, "key")
-    changed = _cut(changed)
+    twice = counted.filter("n > 1").select("content", F.array(F.lit(0)).alias("low"), F.lit(None).cast("array<int>").alias("high"))
+    places = found.select("key", "n_bytes", "first", "size", "content").join(twice.unionByName(sorted_out), "content")
+    places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", F.coalesce("high", F.array("size")).alias("high"))).alias("x"))
+    spans = places.groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.collect_set(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("s"))
+    spans = stash(_merged(spans.select("key", "n_bytes", "s.low", "s.high")), "spans")
+    discard(found, counted)
+    partly = spans.filter("NOT whole")
+    cut = _cut(_only(texts, share(_bitmap(partly.select(F.col("key").alias("h"))))).dropDuplicates(["key"]).join(partly, "key"))
+    nothing = hashlib.sha256(b"").hexdigest()
+    changed = spans.select("key", "n_removed", "n_spans", "whole").join(cut, "key", "left")
     rows = keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha"))
     zero = F.lit(0).cast("long")
-    return rows.join(changed, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), "kept", F.coalesce("kept_sha256", "_sha").alias("kept_sha256"))
+    return rows.join(changed, "key", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.when(F.col("whole"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(F.col("whole"), nothing).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
+    )
