@@ -1,10 +1,642 @@
-"""All registered queries of the embedding engine and their DuckDB SQL."""
+"""All registered queries of the embedding engine and their DuckDB SQL.
+
+Values that the engine keeps as floats are floats in the SQL too; doubles are
+rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlore.functions import geometry as G
+from gridlore.functions import vectors as V
+from gridlore.operators import change as C
+from gridlore.operators import intake as I
+from gridlore.operators import labels as L
+from gridlore.operators import learning as M
+from gridlore.operators import report as R
+from gridlore.operators import rgb, sampling
+from gridlore.operators import similarity as S
+from gridlore.plans.tables import GRID, SQL, one_year, pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PIXEL = ("grid_id", "row", "col")
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL (the pixel table p in front)."""
+
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = f"WITH {SQL}{sql}" if sql.lstrip().startswith(",") else f"WITH {SQL} {sql}"
+        return fn
+
+    return keep
+
+
+def _r(c, n: int = 6):
+    return F.round(F.col(c).cast("double") if isinstance(c, str) else c, n)
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b})"
+
+
+def _norm(a: str) -> str:
+    return f"greatest(sqrt({_dot(a, a)}), 1e-12)"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"({_dot(a, b)} / ({_norm(a)} * {_norm(b)}))"
+
+
+def _euclid(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+# ------------------------------------------------------------------ similarity
+
+_SEED = "vec_id < 5"
+_REF = """, ref AS (SELECT list(m ORDER BY b) AS r FROM (
+  SELECT b, avg(e[b]) AS m FROM p, generate_series(1, 64) t(b) WHERE vec_id < 5 GROUP BY b))"""
+
+
+def _mean_reference(p: DataFrame) -> list[float]:
+    return S.aggregate_seeds(p.filter(_SEED), "mean", ("vec_id",))
+
+
+@query(_REF + f" SELECT vec_id, round((({_cos('e', 'r')} + 1) / 2)::FLOAT::DOUBLE, 6) AS similarity FROM p, ref")
+def sim_map_rescaled(spark, sf):
+    p = pixels(spark, sf)
+    return S.similarity_map(p, _mean_reference(p)).select("vec_id", _r("similarity").alias("similarity"))
+
+
+@query(_REF + f" SELECT vec_id, round({_cos('e', 'r')}::FLOAT::DOUBLE, 6) AS similarity FROM p, ref")
+def sim_map_raw(spark, sf):
+    p = pixels(spark, sf)
+    return S.similarity_map(p, _mean_reference(p), rescale=False).select("vec_id", _r("similarity").alias("similarity"))
+
+
+_MANY = f", s AS (SELECT vec_id AS k, e AS r FROM p WHERE vec_id < 5) SELECT vec_id, round(max({_cos('e', 'r')})::FLOAT::DOUBLE, 6) AS similarity FROM p, s GROUP BY vec_id"
+
+
+@query(_MANY)
+def sim_multi_seed_max(spark, sf):
+    p = pixels(spark, sf)
+    return S.similarity_to_table(p, p.filter(_SEED), ["vec_id"], rescale=False).select("vec_id", _r("similarity").alias("similarity"))
+
+
+@query(_MANY)
+def sim_multi_seed_vectorised(spark, sf):
+    p = pixels(spark, sf)
+    block = [r["embedding"] for r in p.filter(_SEED).collect()]
+    return S.similarity_map_vectorised(p, block, rescale=False).select("vec_id", _r("similarity").alias("similarity"))
+
+
+@query(_REF + f" SELECT vec_id, (((({_cos('e', 'r')} + 1) / 2)::FLOAT) >= 0.55::FLOAT)::SMALLINT AS mask FROM p, ref")
+def sim_threshold_mask(spark, sf):
+    p = pixels(spark, sf)
+    return S.threshold_mask(S.similarity_map(p, _mean_reference(p)), 0.55).select("vec_id", "mask")
+
+
+@query(_REF + f" SELECT vec_id, round({_cos('e', 'r')}::FLOAT::DOUBLE, 6) AS similarity FROM p, ref ORDER BY {_cos('e', 'r')}::FLOAT DESC, vec_id LIMIT 20")
+def sim_top_k(spark, sf):
+    p = pixels(spark, sf)
+    return S.top_k(p, _mean_reference(p), 20, ["vec_id"]).select("vec_id", _r("similarity").alias("similarity"))
+
+
+@query(f""", seeds AS (SELECT DISTINCT row, col FROM p WHERE vec_id < 25), m AS (
+  SELECT b, avg(e[b]) AS m FROM p JOIN seeds USING (row, col), generate_series(1, 64) t(b) WHERE year = 2021 GROUP BY b),
+ref AS (SELECT list(m ORDER BY b) AS r FROM m), s AS (SELECT row, col, ((({_cos('e', 'r')}) + 1) / 2)::FLOAT AS v FROM p, ref WHERE year = 2021)
+SELECT row, col, round(v::DOUBLE, 6) AS similarity, (v >= 0.5::FLOAT)::SMALLINT AS mask FROM s""")
+def similarity_operator(spark, sf):
+    p = one_year(spark, sf)
+    seeds = pixels(spark, sf).filter("vec_id < 25").select(*PIXEL)
+    return S.search(p, seeds, "mean", True, 0.5).select("row", "col", _r("similarity").alias("similarity"), "mask")
+
+
+@query(_REF + f" SELECT b AS band, round(r[b] / {_norm('r')}, 6) AS value FROM ref, generate_series(1, 64) t(b)")
+def seed_mean_reference(spark, sf):
+    reference = _mean_reference(pixels(spark, sf))
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(reference)], "band long, value double").select("band", _r("value").alias("value"))
+
+
+@query(f""", s AS (SELECT vec_id, e FROM p WHERE vec_id % 10 = 0),
+w AS (SELECT a.vec_id, sum({_cos('a.e', 'b.e')}) AS t FROM s a, s b GROUP BY a.vec_id),
+best AS (SELECT s.vec_id, s.e FROM s JOIN w USING (vec_id) ORDER BY round(t, 9) DESC, vec_id LIMIT 1)
+SELECT b AS band, round(e[b] / {_norm('e')}, 6) AS value FROM best, generate_series(1, 64) t(b)""")
+def seed_medoid(spark, sf):
+    vector = S.aggregate_seeds(pixels(spark, sf).filter("vec_id % 10 = 0"), "medoid", ("vec_id",))
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(vector)], "band long, value double").select("band", _r("value").alias("value"))
+
+
+# ------------------------------------------------------------------ vectors and no-data
+
+_HOLES = """, h AS (SELECT vec_id, CASE WHEN vec_id % 17 = 3 THEN list_transform(e, lambda x: -9999.0)
+  WHEN vec_id % 17 = 4 THEN list_concat([-9999.0], e[2:]) WHEN vec_id % 17 = 5 THEN list_concat(['NaN'::DOUBLE], e[2:]) ELSE e END AS e FROM p)"""
+
+
+def _holes(p: DataFrame) -> DataFrame:
+    rest = F.slice("embedding", 2, 63)
+    first = lambda x: F.concat(F.array(F.lit(x).cast("float")), rest)
+    e = F.when(F.col("vec_id") % 17 == 3, F.transform("embedding", lambda x: F.lit(V.FILL).cast("float"))).when(F.col("vec_id") % 17 == 4, first(V.FILL)).when(F.col("vec_id") % 17 == 5, first(float("nan")))
+    return p.withColumn("embedding", F.coalesce(e, F.col("embedding")))
+
+
+@query(_HOLES + " SELECT vec_id, len(list_filter(e, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> -9999.0)) > 0 AS valid FROM h")
+def valid_mask(spark, sf):
+    return _holes(pixels(spark, sf)).select("vec_id", V.valid("embedding", V.FILL).alias("valid"))
+
+
+@query(""" SELECT vec_id, b AS band, round((greatest(-127, least(127, round_even(e[b] * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE, 6) AS value
+FROM p, generate_series(1, 64) t(b)""")
+def dequantise_roundtrip(spark, sf):
+    q = pixels(spark, sf).withColumn("embedding", V.dequantise(V.quantise("embedding")))
+    return q.select("vec_id", F.posexplode("embedding").alias("band", "value")).select("vec_id", (F.col("band") + 1).cast("long").alias("band"), _r("value").alias("value"))
+
+
+@query(f" SELECT vec_id, b AS band, round(e[b] / {_norm('e')}, 6) AS value FROM p, generate_series(1, 64) t(b) WHERE vec_id < 100")
+def l2_normalise(spark, sf):
+    n = pixels(spark, sf).filter("vec_id < 100").select("vec_id", F.posexplode(V.normalise("embedding")).alias("band", "value"))
+    return n.select("vec_id", (F.col("band") + 1).cast("long").alias("band"), _r("value").alias("value"))
+
+
+@query(_HOLES + " SELECT vec_id, CASE WHEN isnan(e[1]) OR e[1] = -9999.0 THEN NULL ELSE round(e[1], 6) END AS value FROM h")
+def band_values(spark, sf):
+    return _holes(pixels(spark, sf)).select("vec_id", _r(V.band("embedding", 1, V.FILL)).alias("value"))
+
+
+# ------------------------------------------------------------------ change
+
+_YEARS = ", y AS (SELECT row, col, list(e ORDER BY year) AS s, count(*) AS n FROM p GROUP BY row, col), k AS (SELECT max(n) AS k FROM y)"
+
+
+def _change(metric: str, mode: str):
+    def fn(spark, sf):
+        return C.change(pixels(spark, sf), metric, mode).select("row", "col", _r("value").alias("value"))
+
+    return fn
+
+
+def _register_changes() -> None:
+    for metric, f in (("cosine", lambda a, b: f"(1 - {_cos(a, b)})"), ("euclidean", _euclid)):
+        mean = "list_transform(generate_series(1, 64), lambda b: list_avg(list_transform(s, lambda v: v[b])))"
+        modes = {
+            "pairwise": f("s[1]", "s[len(s)]"),
+            "trajectory": " + ".join(f(f"s[{i}]", f"s[{i + 1}]") for i in range(1, 5)),
+            "anomaly": f("s[len(s)]", "m"),
+        }
+        for mode, value in modes.items():
+            fn = _change(metric, mode)
+            fn.__name__ = f"change_{mode}_{metric}"
+            query(f"{_YEARS}, z AS (SELECT *, {mean if mode == 'anomaly' else 'NULL'} AS m FROM y, k) SELECT row, col, CASE WHEN n = k THEN round(({value})::FLOAT::DOUBLE, 6) END AS value FROM z")(fn)
+
+
+_register_changes()
+
+
+@query(f""", l AS (SELECT row, col, year, e, lag(year) OVER w AS y0, lag(e) OVER w AS e0 FROM p WINDOW w AS (PARTITION BY row, col ORDER BY year))
+SELECT row, col, y0 AS year_from, year AS year_to, round((1 - {_cos('e0', 'e')})::FLOAT::DOUBLE, 6) AS value FROM l WHERE y0 IS NOT NULL""")
+def change_consecutive_pairs(spark, sf):
+    return C.consecutive(pixels(spark, sf)).select("row", "col", "year_from", "year_to", _r("value").alias("value"))
+
+
+@query(""" SELECT row, col, b AS band, round(avg(e[b]), 6) AS value FROM p, generate_series(1, 64) t(b) GROUP BY ALL""")
+def change_baseline_mean(spark, sf):
+    return C.baseline(pixels(spark, sf)).select("row", "col", F.posexplode("embedding").alias("band", "value")).select("row", "col", (F.col("band") + 1).cast("long").alias("band"), _r("value").alias("value"))
+
+
+@query(f"""{_YEARS}, bad AS (SELECT row, col, max((vec_id % 17 = 3)::INT) AS bad FROM p GROUP BY row, col)
+SELECT row, col, CASE WHEN bad = 0 AND n = k THEN round((1 - {_cos('s[1]', 's[len(s)]')})::FLOAT::DOUBLE, 6) END AS value FROM y JOIN bad USING (row, col), k""")
+def change_with_nodata(spark, sf):
+    p = pixels(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 17 == 3, F.transform("embedding", lambda x: F.lit(V.FILL).cast("float"))).otherwise(F.col("embedding")))
+    return C.change(p, nodata=V.FILL).select("row", "col", _r("value").alias("value"))
+
+
+# ------------------------------------------------------------------ rendering
+
+
+@query(""", b AS (SELECT quantile_cont(e[1], [0.02, 0.98]) AS q1, quantile_cont(e[22], [0.02, 0.98]) AS q2, quantile_cont(e[43], [0.02, 0.98]) AS q3 FROM p)
+SELECT vec_id, round_even(255 * least(1, greatest(0, (e[1] - q1[1]) / greatest(q1[2] - q1[1], 1e-12))), 0)::SMALLINT AS red,
+       round_even(255 * least(1, greatest(0, (e[22] - q2[1]) / greatest(q2[2] - q2[1], 1e-12))), 0)::SMALLINT AS green,
+       round_even(255 * least(1, greatest(0, (e[43] - q3[1]) / greatest(q3[2] - q3[1], 1e-12))), 0)::SMALLINT AS blue FROM p, b""")
+def rgb_bands_stretch(spark, sf):
+    return rgb.render(pixels(spark, sf), "bands", (0, 21, 42)).select("vec_id", "red", "green", "blue")
+
+
+@query()
+def rgb_pca_stretch(spark, sf):
+    return rgb.render(pixels(spark, sf)).select("vec_id", "red", "green", "blue")
+
+
+@query()
+def pca_components(spark, sf):
+    fitted = rgb.fit_components(pixels(spark, sf))
+    return spark.createDataFrame([(k + 1, b + 1, v) for k, axis in enumerate(fitted.axes) for b, v in enumerate(axis)], "component int, band int, loading double")
+
+
+# ------------------------------------------------------------------ sampling
+
+
+def _points(spark, sf) -> DataFrame:
+    t = one_year(spark, sf).filter("vec_id % 3 = 0").select(F.col("vec_id").alias("feature_id"), (F.col("col") * 10 + 5.0).alias("x"), (1000 - (F.col("row") * 10 + 5.0)).alias("y"), "label")
+    return sampling.point_features(t, "x", "y")
+
+
+@query(""" SELECT f.vec_id AS feature_id, f.label, (col * 10 + 5)::DOUBLE AS pixel_x, (1000 - row * 10 - 5)::DOUBLE AS pixel_y, row AS pixel_row, col AS pixel_col,
+ round(e[1], 6) AS "A00", round(e[2], 6) AS "A01" FROM p f WHERE year = 2021 AND vec_id % 3 = 0""")
+def extract_points(spark, sf):
+    got = sampling.extract(one_year(spark, sf), _points(spark, sf), GRID, bands=2)
+    return got.withColumns({"A00": _r("A00"), "A01": _r("A01")})
+
+
+def _boxes(spark, sf) -> DataFrame:
+    corner = lambda x, y: F.struct((F.col("x0") + x).alias("x"), (F.col("y0") + y).alias("y"))
+    t = one_year(spark, sf).filter("vec_id % 40 = 4").select(F.col("vec_id").alias("feature_id"), (F.col("col") * 10 + 1.0).alias("x0"), (1000 - F.col("row") * 10 - 29.0).alias("y0"), "label")
+    return t.select("feature_id", F.lit("polygon").alias("geom_type"), F.array(F.array(corner(0, 0), corner(27, 0), corner(27, 27), corner(0, 27))).alias("rings"), "label")
+
+
+@query(""", f AS (SELECT vec_id AS feature_id, col * 10 + 1.0 AS x0, 1000 - row * 10 - 29.0 AS y0 FROM p WHERE year = 2021 AND vec_id % 40 = 4),
+c AS (SELECT r AS row, c AS col, c * 10 + 5.0 AS x, 1000 - r * 10 - 5.0 AS y FROM generate_series(0, 199) a(r), generate_series(0, 19) b(c))
+SELECT feature_id, row::INT AS row, col::INT AS col FROM f JOIN c ON x > x0 AND x < x0 + 27 AND y > y0 AND y < y0 + 27""")
+def polygon_pixels(spark, sf):
+    return sampling.feature_pixels(_boxes(spark, sf), GRID)
+
+
+@query(""", f AS (SELECT vec_id, col * 10 + 1.0 AS x0, 1000 - row * 10 - 29.0 AS y0, label FROM p WHERE year = 2021 AND vec_id % 40 = 4)
+SELECT f.vec_id AS feature_id, f.label, q.row, q.col, round(q.e[1], 6) AS a00 FROM f JOIN p q ON q.year = 2021 AND q.col * 10 + 5.0 > x0 AND q.col * 10 + 5.0 < x0 + 27 AND 1000 - q.row * 10 - 5.0 > y0 AND 1000 - q.row * 10 - 5.0 < y0 + 27""")
+def training_rows(spark, sf):
+    rows, _ = sampling.training_rows(one_year(spark, sf), _boxes(spark, sf), GRID, "label")
+    return rows.select("feature_id", "label", "row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
+
+
+@query(""" SELECT vec_id, trunc((vec_id * 1.7 - 20) / 10)::INT AS col, trunc((1000 + 7.5 - vec_id * 1.3 - 1000) / -10)::INT AS row FROM p""")
+def pixel_index(spark, sf):
+    p = pixels(spark, sf)
+    return p.select("vec_id", G.column_of(F.col("vec_id") * 1.7 - 20, F.lit(0.0), F.lit(10.0)).alias("col"), G.row_of(F.lit(1000 + 7.5) - F.col("vec_id") * 1.3, F.lit(1000.0), F.lit(-10.0)).alias("row"))
+
+
+@query(" SELECT vec_id, (col + 0.5) * 10.0::DOUBLE AS x, 1000 + (row + 0.5) * -10.0::DOUBLE AS y FROM p")
+def pixel_centre(spark, sf):
+    return pixels(spark, sf).select("vec_id", G.centre_x(F.col("col"), 0.0, 10.0).alias("x"), G.centre_y(F.col("row"), 1000.0, -10.0).alias("y"))
+
+
+@query(""" SELECT c::INT AS col, r::INT AS row, coalesce(label, -1)::INT AS value FROM generate_series(0, 199) a(r), generate_series(0, 19) b(c)
+LEFT JOIN (SELECT row, col, label FROM p WHERE year = 2021 AND label > 4) z ON z.row = r AND z.col = c""")
+def scatter_to_grid(spark, sf):
+    values = one_year(spark, sf).filter("label > 4").select("row", "col", F.col("label").cast("int").alias("value"))
+    return sampling.scatter_to_grid(sampling.cells(spark, GRID), values, "value", -1).select("col", "row", "value")
+
+
+# ------------------------------------------------------------------ labels, folds, metrics
+
+
+def _named(p: DataFrame) -> DataFrame:
+    return p.withColumn("name", F.concat(F.lit("c"), F.lpad((9 - F.col("label")).cast("string"), 2, "0")))
+
+
+@query(" SELECT vec_id, (dense_rank() OVER (ORDER BY 'c' || lpad((9 - label)::VARCHAR, 2, '0')) - 1)::INT AS code FROM p")
+def label_encode(spark, sf):
+    return L.encode(_named(pixels(spark, sf)), "name")[0].select("vec_id", "code")
+
+
+@query(" SELECT c::INT AS code, count(label)::BIGINT AS n FROM generate_series(0, 11) t(c) LEFT JOIN p ON label = c GROUP BY c")
+def class_counts(spark, sf):
+    return L.class_counts(pixels(spark, sf).select(F.col("label").cast("int").alias("code")), 12)
+
+
+@query(""", c AS (SELECT label, count(*) AS n FROM p GROUP BY label) SELECT sum(n)::BIGINT AS total, arg_min(label, n * 1000 + label)::INT AS rarest,
+arg_max(label, n * 1000 - label)::INT AS commonest, round(max(n) / min(n), 6) AS ratio, max(n) / min(n) >= 10 AS imbalanced FROM c""")
+def class_balance(spark, sf):
+    p = pixels(spark, sf).select(F.col("label").cast("int").alias("code"))
+    b = L.class_balance(L.class_counts(p, 10), list(range(10)))
+    return spark.createDataFrame([(b["total"], b["rarest"], b["commonest"], round(b["ratio"], 6), b["imbalanced"])], "total long, rarest int, commonest int, ratio double, imbalanced boolean")
+
+
+@query(" SELECT vec_id, (ntile(7) OVER (ORDER BY vec_id) - 1)::INT AS fold FROM p")
+def kfold_assignment(spark, sf):
+    return L.folds(pixels(spark, sf), 7, None, "vec_id").select("vec_id", "fold")
+
+
+@query(", f AS (SELECT ntile(5) OVER (ORDER BY vec_id) - 1 AS fold FROM p) SELECT fold::INT AS fold, count(*) AS n FROM f GROUP BY fold")
+def kfold_assignment_sizes(spark, sf):
+    return L.folds(pixels(spark, sf), 5, 42, "vec_id").groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query(", f AS (SELECT label, ntile(5) OVER (PARTITION BY label ORDER BY vec_id) - 1 AS fold FROM p) SELECT label, fold::INT AS fold, count(*) AS n FROM f GROUP BY ALL")
+def stratified_fold_sizes(spark, sf):
+    return L.folds(pixels(spark, sf), 5, 42, "vec_id", within="label").groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+_CV = f""", f AS (SELECT vec_id, label, e, ntile(3) OVER (PARTITION BY label ORDER BY vec_id) - 1 AS fold FROM p),
+m AS (SELECT k, label, b, avg(e[b]) AS m FROM f, generate_series(0, 2) g(k), generate_series(1, 64) t(b) WHERE fold <> k GROUP BY ALL),
+c AS (SELECT k, label, list(m ORDER BY b) AS r FROM m GROUP BY ALL),
+d AS (SELECT vec_id, f.label, fold, c.label AS guess, {_euclid('e', 'r')} AS d FROM f JOIN c ON c.k = fold),
+g AS (SELECT vec_id, label, fold, arg_min(guess, struct_pack(d := d, guess := guess)) AS prediction FROM d GROUP BY ALL)"""
+
+
+def _cv(spark, sf) -> DataFrame:
+    p = pixels(spark, sf).withColumnRenamed("vec_id", "sample_id").withColumn("code", F.col("label").cast("int"))
+    dealt = L.folds(p, 3, None, "sample_id", within="code")
+    return L.out_of_fold(dealt, 3, lambda train, test: L.nearest_centroid(train, test, ("sample_id", "code", "fold")))
+
+
+@query(_CV + " SELECT vec_id AS sample_id, label::INT AS code, fold::INT AS fold, prediction::INT AS prediction FROM g")
+def cv_nearest_centroid(spark, sf):
+    return _cv(spark, sf)
+
+
+@query(_CV + """ SELECT t::INT AS truth, q::INT AS predicted, count(g.label)::BIGINT AS n FROM generate_series(0, 9) a(t), generate_series(0, 9) b(q)
+LEFT JOIN g ON g.label = t AND g.prediction = q GROUP BY t, q""")
+def confusion_matrix(spark, sf):
+    return L.confusion(_cv(spark, sf), 10, "code")
+
+
+_METRICS = _CV + """, s AS (SELECT label AS c, count(*) AS support, count(*) FILTER (prediction = label) AS hits FROM g GROUP BY label),
+u AS (SELECT prediction AS c, count(*) AS guessed FROM g GROUP BY prediction),
+v AS (SELECT s.c, support, coalesce(hits / nullif(guessed, 0), 0) AS pr, coalesce(hits / nullif(support, 0), 0) AS re FROM s LEFT JOIN u USING (c)),
+w AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM v)"""
+
+
+@query(_METRICS + """ SELECT round(sum(re * support) / sum(support), 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+round(sum(pr * support) / sum(support), 6) AS weighted_precision, round(sum(re * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM w""")
+def classification_metrics(spark, sf):
+    got = L.metrics(L.confusion(_cv(spark, sf), 10, "code"))
+    return got.select(*(_r(c).alias(c) for c in got.columns))
+
+
+@query(_METRICS + " SELECT c::INT AS code, support::BIGINT AS support, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1 FROM w")
+def class_metrics(spark, sf):
+    return L.class_metrics(L.confusion(_cv(spark, sf), 10, "code")).select("code", "support", *(_r(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(""" SELECT count(*) AS n, round(1 - sum((label - 10 * e[1] - 4) ** 2) / sum((label - (SELECT avg(label) FROM p)) ** 2), 6) AS r2,
+round(sqrt(avg((label - 10 * e[1] - 4) ** 2)), 6) AS rmse, round(avg(abs(label - 10 * e[1] - 4)), 6) AS mae FROM p""")
+def regression_metrics(spark, sf):
+    p = pixels(spark, sf).withColumn("prediction", 10 * F.get("embedding", F.lit(0)).cast("double") + 4)
+    got = L.regression_metrics(p)
+    return got.select("n", *(_r(c).alias(c) for c in ("r2", "rmse", "mae")))
+
+
+def _maps(spark, sf):
+    code = F.when(F.col("vec_id") % 13 == 0, -1).otherwise(F.col("label")).cast("int").alias("code")
+    p = pixels(spark, sf)
+    return tuple(p.filter(F.col("year") == y).select(*PIXEL, code) for y in (2017, 2021))
+
+
+_TRANS = ", t AS (SELECT row, col, year, CASE WHEN vec_id % 13 = 0 THEN -1 ELSE label END AS code FROM p), z AS (SELECT a.row, a.col, a.code AS a, b.code AS b FROM t a JOIN t b USING (row, col) WHERE a.year = 2017 AND b.year = 2021)"
+
+
+@query(_TRANS + " SELECT row, col, (CASE WHEN a = -1 OR b = -1 THEN -1 ELSE a * 10 + b END)::INT AS transition FROM z")
+def transition_codes(spark, sf):
+    return L.transition_codes(*_maps(spark, sf), 10).select("row", "col", "transition")
+
+
+@query(_TRANS + " SELECT row, col, (CASE WHEN a = -1 OR b = -1 THEN -1 ELSE (a <> b)::INT END)::INT AS changed FROM z")
+def changed_mask(spark, sf):
+    return L.changed_mask(*_maps(spark, sf)).select("row", "col", "changed")
+
+
+@query(_TRANS + " SELECT 'c' || a || ' -> c' || b AS label, count(*) AS n FROM z WHERE a >= 0 AND b >= 0 GROUP BY ALL")
+def transition_counts(spark, sf):
+    names = L.transition_labels([f"c{i}" for i in range(10)])
+    table = spark.createDataFrame(list(enumerate(names)), "transition int, label string")
+    return L.transition_codes(*_maps(spark, sf), 10).join(F.broadcast(table), "transition").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(""" SELECT * FROM (SELECT a AS n_estimators, b AS max_depth, c AS max_features, d AS min_samples_leaf FROM (VALUES (100), (200), (400)) x(a),
+(VALUES (NULL::INT), (10), (20)) y(b), (VALUES ('sqrt'), ('log2'), ('0.5')) z(c), (VALUES (1), (2), (5)) w(d))""")
+def param_grid(spark, sf):
+    from gridlore.operators.models import tuning_grid
+
+    rows = [(p["n_estimators"], p["max_depth"], str(p["max_features"]), p["min_samples_leaf"]) for p in L.parameter_grid(tuning_grid("rf"))]
+    return spark.createDataFrame(rows, "n_estimators int, max_depth int, max_features string, min_samples_leaf int")
+
+
+@query(" SELECT label AS trial, round(max(e[1]), 6) AS score FROM p GROUP BY label ORDER BY round(max(e[1]), 6) DESC, label LIMIT 1")
+def search_best(spark, sf):
+    scores = pixels(spark, sf).groupBy(F.col("label").alias("trial")).agg(_r(F.max(F.get("embedding", F.lit(0)))).alias("score"))
+    return L.best_trial(scores.withColumn("score", _r("score")))
+
+
+# ------------------------------------------------------------------ report
+
+
+def _events(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.col("value").alias("value"))
+
+
+@query(""" SELECT count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95 FROM events""")
+def report_summary(spark, sf):
+    got = R.summarise(_events(spark, sf))
+    return got.select("n", *(_r(c).alias(c) for c in got.columns if c != "n"))
+
+
+@query(""", m AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT least(floor((value - lo) / (hi - lo) * 30), 29)::INT AS bin FROM events, m)
+SELECT i::INT AS bin, round(lo + i * ((hi - lo) / 30), 6) AS low, round(CASE WHEN i = 29 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 30) END, 6) AS high, count(b.bin)::BIGINT AS n
+FROM m, generate_series(0, 29) t(i) LEFT JOIN b ON b.bin = i GROUP BY i, lo, hi""")
+def report_histogram(spark, sf):
+    return R.histogram(_events(spark, sf), 30).select("bin", _r("low").alias("low"), _r("high").alias("high"), "n")
+
+
+@query(""" SELECT t::DOUBLE AS threshold, count(*) FILTER (value >= t) AS n, round(count(*) FILTER (value >= t) / count(value), 6) AS fraction,
+round(count(*) FILTER (value >= t) * 100.0 / 1e4, 6) AS hectares FROM events, (VALUES (10.5), (50.25), (200.75)) x(t) GROUP BY t""")
+def report_area(spark, sf):
+    return R.area_fractions(_events(spark, sf), (200.75, 10.5, 50.25), GRID.pixel_area()).select("threshold", "n", _r("fraction").alias("fraction"), _r("hectares").alias("hectares"))
+
+
+@query(" SELECT event_type AS period, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, count(value) AS n FROM events GROUP BY event_type")
+def report_series(spark, sf):
+    return R.series_points(_events(spark, sf), "event_type").select("period", _r("mean").alias("mean"), _r("median").alias("median"), "n")
+
+
+@query(f"""{_YEARS} SELECT y.row, y.col, round(q.e[3]::FLOAT::DOUBLE, 6) AS x, round((1 - {_cos('s[1]', 's[len(s)]')})::FLOAT::DOUBLE, 6) AS y
+FROM y JOIN p q ON q.row = y.row AND q.col = y.col AND q.year = 2021, k WHERE n = k""")
+def report_scatter(spark, sf):
+    p = pixels(spark, sf)
+    got = R.band_scatter(C.change(p), p.filter("year = 2021"), 3)
+    return got.select("row", "col", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query()
+def report_sections(spark, sf):
+    p = pixels(spark, sf)
+    report = R.change_report(p, C.change(p), pixel_area=GRID.pixel_area())
+    return spark.createDataFrame([(i, line) for i, line in enumerate(R.to_csv(report).splitlines())], "line int, text string")
+
+
+# ------------------------------------------------------------------ intake
+
+_BOXES_SQL = """, b(id, a, b, c, d) AS (VALUES (1, 150.5, -34.0, 151.5, -33.0), (2, 149.0, -35.0, 151.0, -34.0), (3, 150.0, -1.0, 156.0, 1.0), (4, -180.0, 10.0, -175.0, 20.0), (5, 179.0, -5.0, 180.0, 5.0))"""
+
+
+def _areas(spark) -> DataFrame:
+    return spark.createDataFrame([(1, 150.5, -34.0, 151.5, -33.0), (2, 149.0, -35.0, 151.0, -34.0), (3, 150.0, -1.0, 156.0, 1.0), (4, -180.0, 10.0, -175.0, 20.0), (5, 179.0, -5.0, 180.0, 5.0)], "id int, a double, b double, c double, d double")
+
+
+@query(_BOXES_SQL + """ SELECT id, z || h AS zone FROM b, generate_series(1, 60) t(z), (VALUES ('S'), ('N')) u(h)
+WHERE c > z * 6 - 186 AND a < z * 6 - 180 AND (h = 'S' AND b.b < 0 OR h = 'N' AND d >= 0)""")
+def utm_zones(spark, sf):
+    return _areas(spark).select("id", F.explode(G.utm_zones_of_box(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).alias("zone"))
+
+
+@query(" SELECT vec_id, least(60, greatest(1, floor((vec_id * 0.7 - 181 + 180) / 6) + 1))::INT AS zone FROM p")
+def utm_zone_of_longitude(spark, sf):
+    return pixels(spark, sf).select("vec_id", G.utm_zone(F.col("vec_id") * 0.7 - 181).alias("zone"))
+
+
+_NAMES = ", t AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'lone' || vec_id || '.tif' ELSE 's' || label || '-' || lpad((row * 100)::VARCHAR, 10, '0') || '-' || lpad((col * 100)::VARCHAR, 10, '0') || CASE WHEN vec_id % 2 = 0 THEN '.tiff' ELSE '.TIF' END END AS name, col, row FROM p)"
+
+
+def _tiles(spark, sf) -> DataFrame:
+    pad = lambda c: F.lpad((F.col(c) * 100).cast("string"), 10, "0")
+    name = F.when(F.col("vec_id") % 11 == 0, F.concat(F.lit("lone"), F.col("vec_id"), F.lit(".tif"))).otherwise(F.concat(F.lit("s"), F.col("label"), F.lit("-"), pad("row"), F.lit("-"), pad("col"), F.when(F.col("vec_id") % 2 == 0, ".tiff").otherwise(".TIF")))
+    return pixels(spark, sf).select("vec_id", name.alias("name"), "row", "col")
+
+
+@query(_NAMES + r""" SELECT vec_id, regexp_replace(name, '(?i)-\d+-\d+\.tiff?$', '') AS scene_key, nullif(regexp_extract(name, '(?i)-(\d+)-(\d+)\.tiff?$', 1), '')::INT AS offset_a,
+nullif(regexp_extract(name, '(?i)-(\d+)-(\d+)\.tiff?$', 2), '')::INT AS offset_b FROM t""")
+def tile_names(spark, sf):
+    return I.with_scene(_tiles(spark, sf)).select("vec_id", "scene_key", "offset_a", "offset_b")
+
+
+@query(_NAMES + r" SELECT regexp_replace(name, '(?i)-\d+-\d+\.tiff?$', '') AS scene_key, count(*) AS n_tiles, min(name) AS first_name FROM t GROUP BY ALL")
+def scene_groups(spark, sf):
+    return I.scene_groups(_tiles(spark, sf)).select("scene_key", "n_tiles", F.col("names")[0].alias("first_name"))
+
+
+_ANCHOR = _NAMES + r""", w AS (SELECT vec_id, name, regexp_replace(name, '(?i)-\d+-\d+\.tiff?$', '') AS s, nullif(regexp_extract(name, '(?i)-(\d+)-(\d+)\.tiff?$', 1), '')::INT AS oa,
+nullif(regexp_extract(name, '(?i)-(\d+)-(\d+)\.tiff?$', 2), '')::INT AS ob FROM t),
+a AS (SELECT s, oa AS a0, ob AS b0, lon AS x0, lat AS y0 FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY name) AS n, 140 + (length(s) * 7 + ascii(s[2:2])) % 20 AS lon, -34.0 AS lat FROM w) WHERE n = 1 AND s LIKE 's%' AND s <> 's3'),
+r AS (SELECT a.s, x0, y0, max(greatest(abs(oa - a0), abs(ob - b0))) AS reach FROM w JOIN a USING (s) GROUP BY a.s, x0, y0),
+x AS (SELECT s, x0 - pad AS min_lon, y0 - pad AS min_lat, x0 + 0.1 + pad AS max_lon, y0 + 0.1 + pad AS max_lat FROM (SELECT *, greatest(0.1 / 100, 0.1 / 100) * (reach + 100) * 1.5 AS pad FROM r))"""
+
+
+def _anchors(spark, sf) -> DataFrame:
+    first = I.first_tile(_tiles(spark, sf)).filter("scene_key LIKE 's%' AND scene_key <> 's3'")
+    lon = (F.lit(140) + (F.length("scene_key") * 7 + F.ascii(F.substr("scene_key", F.lit(2), F.lit(1)))) % 20).cast("double")
+    return first.select("scene_key", "name", lon.alias("min_lon"), F.lit(-34.0).alias("min_lat"), (lon + 0.1).alias("max_lon"), F.lit(-33.9).alias("max_lat"), F.lit(100).alias("x_pixels"), F.lit(100).alias("y_pixels"), "offset_a", "offset_b")
+
+
+@query(_ANCHOR + " SELECT s AS scene_key, round(min_lon, 6) AS min_lon, round(min_lat, 6) AS min_lat, round(max_lon, 6) AS max_lon, round(max_lat, 6) AS max_lat FROM x")
+def scene_bounds(spark, sf):
+    got = I.scene_bounds(_tiles(spark, sf), _anchors(spark, sf))
+    return got.select("scene_key", *(_r(c).alias(c) for c in got.columns if c != "scene_key"))
+
+
+@query(_ANCHOR + " SELECT vec_id FROM w LEFT JOIN x USING (s) WHERE x.s IS NULL OR (max_lon > 148 AND min_lon < 151 AND max_lat > -36 AND min_lat < -30)")
+def scene_cull(spark, sf):
+    return I.cull(_tiles(spark, sf), _anchors(spark, sf), (148, -36, 151, -30)).select("vec_id")
+
+
+@query(_NAMES + " SELECT vec_id FROM t WHERE 140 + col * 0.5 + 0.5 > 143 AND 140 + col * 0.5 < 146.5 AND -30 - row * 0.5 > -34 AND -30.5 - row * 0.5 < -31")
+def tiles_intersecting(spark, sf):
+    f = _tiles(spark, sf).select("vec_id", "name", (140 + F.col("col") * 0.5).alias("min_lon"), (-30.5 - F.col("row") * 0.5).alias("min_lat"), (140.5 + F.col("col") * 0.5).alias("max_lon"), (-30 - F.col("row") * 0.5).alias("max_lat"))
+    return I.tiles_meeting(f, (143, -34, 146.5, -31)).select("vec_id")
+
+
+@query(_NAMES + ", k AS (SELECT name FROM t WHERE vec_id % 3 = 0) SELECT vec_id, name IN (SELECT name FROM k) AS kept FROM t")
+def cache_split(spark, sf):
+    names = _tiles(spark, sf).select("vec_id", "name")
+    have, miss = I.split_by_cache(names, names.filter("vec_id % 3 = 0"))
+    return have.select("vec_id", F.lit(True).alias("kept")).unionByName(miss.select("vec_id", F.lit(False).alias("kept")))
+
+
+@query(""" SELECT id, greatest(1, ceil((x1 - x0) / r))::INT AS width, greatest(1, ceil((y1 - y0) / r))::INT AS height, (y1 - greatest(1, ceil((y1 - y0) / r)) * r)::DOUBLE AS bottom, (x0 + greatest(1, ceil((x1 - x0) / r)) * r)::DOUBLE AS "right"
+FROM (VALUES (1, 0.0, 0.0, 100.0, 100.0, 10.0), (2, 0.0, 0.0, 95.0, 95.0, 10.0), (3, 5.0, 5.0, 6.0, 6.0, 30.0)) v(id, x0, y0, x1, y1, r)""")
+def grid_dimensions(spark, sf):
+    rows = []
+    for i, (bounds, r) in enumerate([((0, 0, 100, 100), 10), ((0, 0, 95, 95), 10), ((5, 5, 6, 6), 30)], 1):
+        w, h, (_, bottom, right, _) = G.plan_grid(bounds, r)
+        rows.append((i, w, h, float(bottom), float(right)))
+    return spark.createDataFrame(rows, "id int, width int, height int, bottom double, right double")
+
+
+_HALF = G.Grid("half", "EPSG:3577", 10, 100, 0.0, 20.0, 0.0, 1000.0, 0.0, -20.0)
+
+
+@query(""" SELECT r::INT AS row, c::INT AS col, round(e[1], 6) AS a00 FROM generate_series(0, 99) a(r), generate_series(0, 9) b(c)
+JOIN p ON year = 2021 AND p.row = floor((1000 - (r + 0.5) * 20 - 1000) / -10) AND p.col = floor((c + 0.5) * 20 / 10)""")
+def warp_nearest(spark, sf):
+    got = I.warp_nearest(one_year(spark, sf).drop("grid_id"), GRID, _HALF)
+    return got.select("row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
+
+
+@query(""", t AS (SELECT row, col, year, e, vec_id % 7 <> 2 AS ok FROM p WHERE year >= 2020)
+SELECT row, col, round(CASE WHEN arg_max(ok, struct_pack(ok := ok, year := year)) THEN arg_max(e[1], struct_pack(ok := ok, year := year)) ELSE -9999 END, 6) AS a00 FROM t GROUP BY row, col""")
+def mosaic_overlap(spark, sf):
+    p = pixels(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 7 == 2, F.transform("embedding", lambda x: F.lit(V.FILL).cast("float"))).otherwise(F.col("embedding")))
+    tiles = [(f"t{y}", p.filter(F.col("year") == y).select("row", "col", "embedding"), GRID) for y in (2020, 2021)]
+    return I.mosaic(tiles, GRID).select("row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
+
+
+def _archive(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = pixels(spark, sf).select(F.when(F.col("col") < 10, "west").otherwise("east").alias("tile"), "year", "row", (F.col("col") % 10).alias("col"), V.quantise("embedding").alias("embedding"))
+    rows = [(t, y, x, 1000.0, 10.0, -10.0, 0.0, 0.0, 1.0, 1.0) for y in range(2017, 2022) for t, x in (("west", 0.0), ("east", 100.0))]
+    return p, spark.createDataFrame(rows, "tile string, year int, origin_x double, origin_y double, pixel_w double, pixel_h double, min_lon double, min_lat double, max_lon double, max_lat double")
+
+
+@query(""" SELECT year, row, col, round((greatest(-127, least(127, round_even(e[7] * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE, 6) AS a06 FROM p WHERE year IN (2018, 2020)""")
+def load_years(spark, sf):
+    archive, grids = _archive(spark, sf)
+    return I.load_years(archive, [2020, 2018], GRID, grids).select("year", "row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
+
+
+@query(f""", q AS (SELECT row, col, year, list_transform(e, lambda x: (greatest(-127, least(127, round_even(x * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE) AS e FROM p)
+SELECT a.row, a.col, round({_euclid('a.e', 'b.e')}::FLOAT::DOUBLE, 6) AS value FROM q a JOIN q b USING (row, col) WHERE a.year = 2018 AND b.year = 2021""")
+def change_over_years(spark, sf):
+    archive, grids = _archive(spark, sf)
+    return I.change_years(archive, [2018, 2021], GRID, grids, "euclidean")[0].select("row", "col", _r("value").alias("value"))
+
+
+# ------------------------------------------------------------------ learning (rows only: the estimators are Spark's own)
+
+
+def _samples(spark, sf) -> DataFrame:
+    return one_year(spark, sf).select("vec_id", "row", "col", "embedding", "label").withColumnRenamed("vec_id", "sample_id")
+
+
+@query()
+def classify_rf(spark, sf):
+    fitted = M.fit_classifier(_samples(spark, sf), n_estimators=20, max_depth=8)
+    return M.classify(pixels(spark, sf), fitted, confidence=True).select("vec_id", "code", "label", "confidence")
+
+
+@query()
+def classify_gbt(spark, sf):
+    s = _samples(spark, sf).withColumn("label", F.col("label") % 2)
+    return M.classify(one_year(spark, sf).drop("label"), M.fit_classifier(s, algorithm="gb", n_estimators=5), confidence=True).select("vec_id", "code", "confidence")
+
+
+@query()
+def regress_rf(spark, sf):
+    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf), n_estimators=20, max_depth=8)).select("vec_id", "value")
+
+
+@query()
+def regress_gbt(spark, sf):
+    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf), algorithm="gb", n_estimators=5)).select("vec_id", "value")
+
+
+@query()
+def cluster_kmeans(spark, sf):
+    return M.cluster(one_year(spark, sf), 6, restarts=2)[0].select("vec_id", "code")
+
+
+@query()
+def cluster_auto_k(spark, sf):
+    k, scores = M.choose_k(one_year(spark, sf), 2, 4, restarts=1)
+    return spark.createDataFrame([(n, s, n == k) for n, s in scores], "k int, silhouette double, chosen boolean")
+
+
+@query()
+def classify_over_years(spark, sf):
+    out = M.classify_years(pixels(spark, sf).drop("label"), [2019, 2021], _samples(spark, sf), transition=True, changed=True, n_estimators=10, max_depth=6)
+    return out["transition"].join(out["changed"], list(PIXEL)).select("row", "col", "transition", "changed")
