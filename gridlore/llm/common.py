@@ -59,7 +59,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return df.mapInArrow(run, schema)
 
 
 def row_ids() -> Iterator[int]:

@@ -42,6 +42,8 @@ BITMAP_BITS = 24
 FRAGMENT_BITS = 2
 BLOCK_SETS = 384
 BLOCK_GRAMS = 1 << 20
+#: places (node, cluster, block; 40 bytes) up to which they are broadcast; more are joined by a shuffle
+BROADCAST_PLACES = 500_000
 _CHUNK = 1 << 16
 
 
@@ -185,6 +187,8 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks and fragment, how many n-grams of the fragment each two sets share."""
     for key, group in grouped(batches, "cluster", "bi", "bj", "fragment"):
+        if len(own := np.unique(group.column("node").to_numpy(), return_index=True)[1]) < group.num_rows:
+            group = group.take(pa.array(own))  # equal sets from several tasks
         a, b = _sides(group)
         if key[1] == key[2]:
             b = a
@@ -259,7 +263,13 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     sized = rows.filter("n > 0").select("node", "n").distinct().join(cluster, "node")
     sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
     placed = sized.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    paired = _segments(texts, size, bits).dropDuplicates(["node"]).join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    placed = stash(placed.select("node", "cluster", "n", "blocks", "block"), "placed")
+    segments = _segments(texts, size, bits)
+    if placed.count() <= BROADCAST_PLACES:
+        segments = segments.join(F.broadcast(placed), "node")
+    else:
+        segments = segments.dropDuplicates(["node"]).join(placed, "node")
+    paired = segments.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("long").alias("side"), "node", "n", "grams"
     )
     found = arrow_map(paired, _cut, "cluster long, bi long, bj long, fragment long, side long, node long, n long, grams binary")

@@ -178,7 +178,7 @@ def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
-def bites(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bites(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of a text column (at least one row each), so that a kernel's arrays stay small."""
     texts = batch.column(column)
     size = np.cumsum(np.diff(flat_offsets(texts)))

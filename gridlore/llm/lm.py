@@ -32,6 +32,8 @@ from .common import arrow_map, row_ids, stash
 
 OWN, TAILS, KNOWN = 8192, 2048, 1 << 18
 _FLUSH = 1_000_000
+#: text laid out at a time: a step of the recursion costs the same for few documents as for many
+_LATTICE_BYTES = 4 << 20
 
 
 def _tail(words: K.Words, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -257,7 +259,7 @@ def baum_welch(train: DataFrame, vocab: Vocabulary, states: int = 8, passes: int
             now, voc = shared.value, shared_vocab.value
             total = np.zeros(states + states * states + states * symbols)
             for batch in batches:
-                for part in K.bites(batch, "text"):
+                for part in K.bites(batch, "text", _LATTICE_BYTES):
                     seq, bounds, *_ = _sequences(part.column("text"), voc)
                     start, move, emit, _ = Lattice(seq, bounds).expected(now)
                     total += np.concatenate((start, move.ravel(), emit.ravel()))
@@ -294,13 +296,13 @@ def _score(docs: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, now, voc = row_ids(), shared.value, shared_vocab.value
         for batch in batches:
-            for part in K.bites(batch, "text"):
+            for part in K.bites(batch, "text", _LATTICE_BYTES):
                 seq, bounds, words, h, symbol, count = _sequences(part.column("text"), voc)
                 lattice, n = Lattice(seq, bounds), part.num_rows
                 _, scale, _ = lattice.forward(now)
                 per_token = np.log10(scale[lattice.place]) - voc.inside[seq]
                 doc = words.docs()
-                add = lambda x: np.bincount(doc, weights=x, minlength=n)
+                add = lambda x: np.bincount(doc, weights=x, minlength=n).astype(np.float64)
                 logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
                 rare = count < 0
                 key = np.stack((doc[rare].astype(np.int64), h[rare]))

@@ -157,7 +157,8 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-_CACHED_WORDS = 2_000_000
+_CACHED_WORDS = 1_000_000
+_ENCODED_AT_ONCE = 4096
 
 
 class Encoder:
@@ -181,9 +182,12 @@ class Encoder:
         self.held, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        new = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
+        sizes, parts = [], []
+        for a in range(0, len(words), _ENCODED_AT_ONCE):  # the library's results are large
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + _ENCODED_AT_ONCE]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            parts.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
+        size, new = np.concatenate(sizes), np.concatenate(parts)
         if self.used + len(new) > len(self.held):
             grown = np.zeros(2 * (self.used + len(new)), np.uint32)
             grown[: self.used] = self.held[: self.used]
