@@ -143,10 +143,11 @@ def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, s
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int = 64, seed: int = 20) -> DataFrame:
-    """The rows that the mix takes, repeats as repeated rows, with all columns of docs."""
+    """The rows that the mix takes, repeats as repeated rows, with all columns of docs; shard by shard, shuffled within each."""
     counted = stash(sized(docs, seed), "sized")
     chosen, _ = plan(counted, weights, most, shards, seed)
     columns = list(docs.columns)
     row = sized(docs, seed, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
-    taken = _taking(row, chosen).filter("size > 0 AND copies > 0").select("_row", F.explode("shards").alias("_shard"))
+    taken = _taking(row, chosen).filter("size > 0 AND copies > 0").select("_row", "doc_id", F.posexplode("shards").alias("_turn", "_shard"))
+    taken = taken.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 2), "doc_id", "_turn"))
     return taken.select(*(F.col("_row").getField(c).alias(c) for c in columns))
