@@ -27,13 +27,13 @@ from .common import stash
 _TITLES_M = r"Mr|Herr|Señor|Sr|Monsieur|господин|г-н"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 ACCESS_KEY = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])"
-SECRET = r"""(?<=(?:token|secret|password|passwd|api_key|apikey|key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_/+-]{12,}"""
+SECRET = r"""(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_/+-]{12,}"""
 NAME = rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, PHONE, SSN, CARD, IP, NAME))
 #: No text without one of these has an entity, and they are cheap to look for.
@@ -61,7 +61,8 @@ def entities(text: str) -> str:
 
 def _kind(e):
     return (
-        F.when(e.rlike(rf"^(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?$"), "name")
+        F.when(e.rlike(r"^(?:token|secret|password|passwd|key)\s{0,2}[=:]"), "secret")
+        .when(e.rlike(rf"^(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?$"), "name")
         .when(e.rlike(r"^[^@]+@[^@]+$"), "email")
         .when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(e.rlike(r"^(?:\+|\()[\d(]"), "phone")
@@ -85,6 +86,7 @@ def _units(e, kind):
         .when(kind.isin("card", "ssn"), F.array(unit(kind, digits)))
         .when((kind == "name") & (F.size(words) == 2), F.array(unit(given, words[0]), unit("surname", words[1])))
         .when(kind == "name", F.array(unit("surname", words[0])))
+        .when(kind == "secret", F.array(unit("secret", F.regexp_extract(e, "[A-Za-z0-9_/+-]+$", 0))))
         .otherwise(F.array(unit(kind, e)))
     )
 
@@ -168,6 +170,7 @@ def _written(entity: str, kind: str, parts: str) -> str:
         WHEN {kind} = 'email' THEN concat({parts}[0], '@', {parts}[1])
         WHEN {kind} = 'name' THEN concat(regexp_extract({entity}, {_quoted(rf'^(?:{_TITLES_M}|{_TITLES_F})\.? ')}, 0), array_join({parts}, ' '))
         WHEN {kind} IN ('phone', 'card', 'ssn') THEN {filled}
+        WHEN {kind} = 'secret' THEN concat(regexp_replace({entity}, '[A-Za-z0-9_/+-]+$', ''), {parts}[0])
         ELSE {parts}[0] END"""
 
 
