@@ -140,7 +140,12 @@ def _prefixes(texts: DataFrame, size: int, num: int, den: int, sketch) -> DataFr
 
 
 def _segments(texts: DataFrame, size: int, bitmap) -> DataFrame:
-    """node and its sorted set, for sets whose node the bitmap holds, once a task."""
+    """node, fragment and grams, for sets whose node the bitmap holds, once a task.
+
+    Fragments of the n-gram order are ranges of the hash, so slices of the sorted set.
+    """
+    parts = 1 << FRAGMENT_BITS
+    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bitmap.value, set()
@@ -154,9 +159,13 @@ def _segments(texts: DataFrame, size: int, bitmap) -> DataFrame:
                     if (x := int(node[i])) not in seen:
                         seen.add(x)
                         rows.append(i)
-                yield pa.RecordBatch.from_pydict({"node": node[rows].view(np.int64), "grams": pa.array([g[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())})
+                pieces = []
+                for i in rows:
+                    own = g[cuts[i] : cuts[i + 1]]
+                    pieces += [x.tobytes() for x in np.split(own, np.searchsorted(own, edges))]
+                yield pa.RecordBatch.from_pydict({"node": np.repeat(node[rows].view(np.int64), parts), "fragment": np.tile(np.arange(parts, dtype=np.int64), len(rows)), "grams": pa.array(pieces, pa.binary())})
 
-    return arrow_map(texts.select("text"), run, "node long, grams binary")
+    return arrow_map(texts.select("text"), run, "node long, fragment long, grams binary")
 
 
 def _nodes(texts: DataFrame, size: int) -> DataFrame:
@@ -268,13 +277,12 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     if placed.count() <= BROADCAST_PLACES:
         segments = segments.join(F.broadcast(placed), "node")
     else:
-        segments = segments.dropDuplicates(["node"]).join(placed, "node")
+        segments = segments.dropDuplicates(["node", "fragment"]).join(placed, "node")
     paired = segments.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("long").alias("side"), "node", "n", "grams"
+        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "fragment", (F.col("block") > F.col("other")).cast("long").alias("side"), "node", "n", "grams"
     )
-    found = arrow_map(paired, _cut, "cluster long, bi long, bj long, fragment long, side long, node long, n long, grams binary")
     keys = ("cluster", "bi", "bj")
-    partial = arrow_map(found.repartition(*keys, "fragment").sortWithinPartitions(*keys, "fragment"), _overlaps, _PARTIAL)
+    partial = arrow_map(paired.repartition(*keys, "fragment").sortWithinPartitions(*keys, "fragment"), _overlaps, _PARTIAL)
     forest = arrow_map(partial.repartition(*keys).sortWithinPartitions(*keys), _forest(num, den), "a long, b long")
     joined = stash(components(forest, "links"), "joined")
     discard(cluster)
@@ -284,23 +292,6 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set in the fragments of the n-gram order: ranges of the hash, so slices of the sorted set."""
-    parts = 1 << FRAGMENT_BITS
-    edge = (np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)).tolist()
-    for batch in batches:
-        pieces = []
-        for raw in batch.column("grams").to_pylist():
-            g = np.frombuffer(raw, dtype="<u8")
-            at = [0, *(8 * np.searchsorted(g, np.array(edge, dtype=np.uint64))).tolist(), len(raw)]
-            pieces += [raw[x:y] for x, y in zip(at, at[1:])]
-        rows = pa.array(np.repeat(np.arange(batch.num_rows), parts))
-        out = {c: batch.column(c).take(rows) for c in ("cluster", "bi", "bj", "side", "node", "n")}
-        out["fragment"] = pa.array(np.tile(np.arange(parts), batch.num_rows), pa.int64())
-        out["grams"] = pa.array(pieces, pa.binary())
-        yield pa.RecordBatch.from_pydict({c: out[c] for c in ("cluster", "bi", "bj", "fragment", "side", "node", "n", "grams")})
-
-
 def one_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs with one document of each component, that of the smallest id; rows without an id stay."""
     kept = links(docs, size, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
