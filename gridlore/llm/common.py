@@ -49,6 +49,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: rows of two or three numbers up to which a table is broadcast: about 20 MB
+BROADCAST_ROWS = 500_000
+
+
+def lean(df: DataFrame, label: str) -> DataFrame:
+    """A written table, marked for broadcast if its rows (of a few numbers each) are few; Spark shuffles a larger one."""
+    held = stash(df, label)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

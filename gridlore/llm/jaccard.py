@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, discard, grouped, stash, texts_only
+from .common import BROADCAST_ROWS, arrow_map, discard, grouped, lean, stash, texts_only
 from .graph import components
 
 SKETCH_BITS = 23
@@ -42,8 +42,6 @@ BITMAP_BITS = 24
 FRAGMENT_BITS = 2
 BLOCK_SETS = 384
 BLOCK_GRAMS = 1 << 20
-#: places (node, cluster, block; 40 bytes) up to which they are broadcast; more are joined by a shuffle
-BROADCAST_PLACES = 500_000
 _CHUNK = 1 << 16
 
 
@@ -274,7 +272,7 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     placed = sized.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = stash(placed.select("node", "cluster", "n", "blocks", "block"), "placed")
     segments = _segments(texts, size, bits)
-    if placed.count() <= BROADCAST_PLACES:
+    if placed.count() <= BROADCAST_ROWS:
         segments = segments.join(F.broadcast(placed), "node")
     else:
         segments = segments.dropDuplicates(["node", "fragment"]).join(placed, "node")
@@ -293,9 +291,13 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
 
 
 def one_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs with one document of each component, that of the smallest id; rows without an id stay."""
-    kept = links(docs, size, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The rows of docs with one document of each component, that of the smallest id (one row for each text that has this id); rows without an id stay."""
+    found = stash(links(docs, size, num, den), "linked")
+    key = (F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    go = found.filter("doc_id <> component_id").select(*key).distinct()
+    again = found.filter("doc_id = component_id").groupBy(*key).count().filter("count > 1").drop("count")  # an id and text that several rows have
     keyed = docs.withColumn("_own", F.xxhash64("text"))
     same = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    stay = keyed.filter("doc_id IS NOT NULL").join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return stay.union(keyed.filter("doc_id IS NULL")).drop("_own")
+    stay, again = keyed.join(lean(go, "duplicates"), same, "left_anti"), lean(again, "repeated")
+    once = stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"])
+    return stay.join(again, same, "left_anti").union(once).drop("_own")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, row_ids, stash, texts_only
+from .common import arrow_map, lean, row_ids, stash, texts_only
 
 GRAM = 5
 BITMAP_BITS = 24
@@ -206,4 +206,4 @@ def _item_prints(items: DataFrame, window: int, k: int) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int = GRAM) -> DataFrame:
     """The rows of docs that are not contaminated: a row goes if a twentieth of its words or more are hit."""
     bad = contamination(docs, items, window, k).filter("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return docs.join(lean(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
