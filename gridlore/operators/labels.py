@@ -56,31 +56,37 @@ def folds(samples: DataFrame, k: int, seed: int | None = 42, key: str = "sample_
     """
     if k < 2:
         raise ValueError("two folds or more")
-    shuffled = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)] if seed is not None else [F.col(key)]
-    if within is not None:
-        window = Window.partitionBy(within).orderBy(*shuffled)
-        sized = samples.withColumn("_n", F.count("*").over(Window.partitionBy(within)))
-        fold = F.when(F.col("_n") < k, F.raise_error(F.lit(f"a class has fewer than {k} samples")).cast("int")).otherwise(F.ntile(k).over(window) - 1)
-        return sized.withColumn("fold", fold).drop("_n")
-    return _global_tiles(samples, k, shuffled)
-
-
-def _global_tiles(samples: DataFrame, k: int, order: Sequence) -> DataFrame:
-    """Tiles of one global order without sorting all rows in one task: ranks within ranges, and the ranges' sizes."""
-    parts = samples.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)))
-    keys = [f"_o{i}" for i in range(len(order))]
-    ranged = parts.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
-    n = sum(c for _, c in sizes)
-    if n < k:
-        raise ValueError("fewer samples than folds")
-    before = dict(zip([p for p, _ in sizes], itertools.accumulate([0] + [c for _, c in sizes])))
-    offsets = F.create_map(*itertools.chain.from_iterable((F.lit(p), F.lit(b).cast("long")) for p, b in before.items()))
-    place = offsets[F.col("_part")] + F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    big, small = n % k, n // k
+    if seed is not None:
+        order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+        part = F.shiftright(order[0], 54)  # 1,024 ranges of the hash
+    else:
+        order, part = [F.col(key)], _ranges(samples, key)
+    group = F.lit(0) if within is None else F.col(within)
+    parted = samples.withColumns({"_group": group, "_part": part})
+    held = parted.groupBy("_group", "_part").count().collect()  # 1,024 rows a class at most
+    total: dict[Any, int] = {}
+    rows = []
+    for r in sorted(held, key=lambda r: r["_part"]):
+        rows.append((r["_group"], r["_part"], total.get(r["_group"], 0)))
+        total[r["_group"]] = total.get(r["_group"], 0) + r["count"]
+    if not total or min(total.values()) < k:
+        raise ValueError(f"a class has fewer than {k} samples" if within is not None else "fewer samples than folds")
+    before = samples.sparkSession.createDataFrame([(*r, total[r[0]]) for r in rows], parted.select(F.col("_group").alias("_g"), F.col("_part").alias("_p")).schema.add("_before", T.LongType()).add("_n", T.LongType()))
+    placed = parted.join(F.broadcast(before), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order)) - 1
+    big, small = F.col("_n") % k, F.floor(F.col("_n") / k)
     edge = big * (small + 1)
-    fold = F.when(place < edge, F.floor(place / (small + 1))).otherwise(big + F.floor((place - edge) / max(small, 1)))
-    return ranged.withColumn("fold", fold.cast("int")).drop("_part", *keys)
+    fold = F.when(place < edge, F.floor(place / (small + 1))).otherwise(big + F.floor((place - edge) / small))
+    return placed.withColumn("fold", fold.cast("int")).drop("_group", "_part", "_g", "_p", "_before", "_n")
+
+
+def _ranges(samples: DataFrame, key: str):
+    """A number for ranges of a column in its order: bounds are constants, so every run deals the rows alike."""
+    if not isinstance(samples.schema[key].dataType, T.NumericType):
+        return F.lit(0)
+    shares = [i / 64 for i in range(1, 64)]
+    bounds = samples.agg(F.percentile_approx(F.col(key), shares, 1000)).first()[0] or []
+    return F.size(F.filter(F.lit([float(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b < F.col(key))) if bounds else F.lit(0)
 
 
 def out_of_fold(samples: DataFrame, k: int, fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

@@ -23,6 +23,7 @@ ALGORITHMS = ("rf", "gb")
 KINDS = ("classifier", "regressor")
 #: Spark's deepest tree, for an unlimited depth
 UNLIMITED = 30
+# The parameter grids that a search draws from.
 TUNING = {
     "rf": {"n_estimators": [100, 200, 400], "max_depth": [None, 10, 20], "max_features": ["sqrt", "log2", 0.5], "min_samples_leaf": [1, 2, 5]},
     "gb": {"n_estimators": [100, 200, 400], "learning_rate": [0.03, 0.1, 0.3], "max_depth": [2, 3, 4]},

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions import vectors as V
+from gridlore.functions.quantiles import SMALL, quantiles
 
 PERCENTILES = (5, 25, 50, 75, 95)
 SECTIONS = ("distribution", "area", "series", "scatter")
@@ -29,9 +30,10 @@ def finite_values(values: DataFrame, column: str = "value") -> DataFrame:
 def summarise(values: DataFrame, column: str = "value") -> DataFrame:
     """One row: n, min, max, mean, median, std (of the population) and p5 to p95, linear between ranks."""
     good = finite_values(values, column)
-    wanted = F.percentile("value", F.array(*(F.lit(p / 100) for p in PERCENTILES)))
-    got = good.agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), wanted.alias("_p"))
-    return got.select("n", "min", "max", "mean", F.get("_p", F.lit(PERCENTILES.index(50))).alias("median"), "std", *(F.get("_p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)))
+    got = good.agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    ranked = dict(zip(PERCENTILES, quantiles(good, "value", [p / 100 for p in PERCENTILES])))
+    lit = lambda p: F.lit(ranked[p]).cast("double")
+    return got.select("n", "min", "max", "mean", lit(50).alias("median"), "std", *(lit(p).alias(f"p{p}") for p in PERCENTILES))
 
 
 def histogram(values: DataFrame, bins: int = BINS, column: str = "value") -> DataFrame:
@@ -61,9 +63,13 @@ def area_fractions(values: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
 
 
 def series_points(values: DataFrame, period: str = "period", column: str = "value") -> DataFrame:
-    """period, mean, median and n of each period that has a value."""
+    """period, mean, median and n of each period that has a value; periods are steps between years, so few."""
     good = values.select(F.col(period).alias("period"), V.finite_or_null(column).alias("value")).filter("value IS NOT NULL")
-    return good.groupBy("period").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.count("value").alias("n"))
+    table = good.groupBy("period").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    if (found := table.agg(F.max("n")).first()[0]) is None or found <= SMALL:
+        return good.groupBy("period").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.count("value").alias("n"))
+    rows = [(r["period"], r["mean"], quantiles(good.filter(F.col("period").eqNullSafe(F.lit(r["period"]))), "value", [0.5])[0], r["n"]) for r in table.collect()]
+    return values.sparkSession.createDataFrame(rows, good.schema["period"].dataType.simpleString().join(("period ", ", mean double, median double, n long")))
 
 
 def pair_labels(years: Sequence[Any]) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions import vectors as V
+from gridlore.functions.quantiles import quantiles
 from gridlore.operators.similarity import literal
 
 METHODS = ("pca", "bands")
@@ -116,9 +117,12 @@ def stretch_bounds(scores: DataFrame, low: float = 2.0, high: float = 98.0, chan
     """The percentiles of each channel, linear between ranks; exact=False uses Spark's bounded-memory sketch."""
     if not 0 <= low < high <= 100:
         raise ValueError("percentiles must be 0 <= low < high <= 100")
-    pick = F.percentile if exact else F.percentile_approx
-    row = scores.agg(*(pick(V.finite_or_null(c), F.array(F.lit(low / 100), F.lit(high / 100))).alias(c) for c in channels)).first()
-    return [(float("nan"), float("nan")) if row[c] is None else (row[c][0], row[c][1]) for c in channels]
+    if exact:
+        rows = [quantiles(scores, c, (low / 100, high / 100)) for c in channels]
+    else:
+        row = scores.agg(*(F.percentile_approx(V.finite_or_null(c), [low / 100, high / 100]).alias(c) for c in channels)).first()
+        rows = [row[c] or [None, None] for c in channels]
+    return [(float("nan"), float("nan")) if r[0] is None else (r[0], r[1]) for r in rows]
 
 
 def to_byte(value: Column | str, low: float, high: float) -> Column:

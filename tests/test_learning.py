@@ -92,3 +92,11 @@ def test_compatibility():
     for kind, bands in (("other", 3), ("classifier", 0)):
         with pytest.raises(ValueError):
             B.save_model(B.Bundle(None, kind, bands, "rf"), "/tmp/never")
+
+
+def test_subsample_is_the_same_from_few_rows_or_all(spark):
+    df = spark.range(20000).selectExpr("'g' AS grid_id", "cast(id AS int) AS row", "0 AS col")
+    from pyspark.sql import functions as F
+
+    got = {r["row"] for r in M.subsample(df, 50).collect()}
+    assert got == {r["row"] for r in df.orderBy(F.xxhash64("grid_id", "row", "col", F.lit(42))).limit(50).collect()}

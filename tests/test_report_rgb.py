@@ -103,3 +103,15 @@ def test_presets():
         presets.by_key(presets.RGB, "x")
     with pytest.raises(IndexError):
         presets.by_index(presets.RGB, 4)
+
+
+def test_quantiles_of_large_tables_equal_those_of_small(spark):
+    from gridlore.functions.quantiles import quantiles
+
+    x = np.concatenate((np.random.default_rng(8).exponential(size=4000), [0.5] * 3000, [1e9]))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    shares = [0, 0.02, 0.05, 0.5, 0.501, 0.98, 1]
+    want = np.quantile(x, shares)
+    assert quantiles(df, "x", shares) == pytest.approx(want)
+    assert quantiles(df, "x", shares, small=10, few=50) == pytest.approx(want)
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]
