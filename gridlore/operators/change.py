@@ -21,23 +21,25 @@ def _check(metric: str, mode: str = "pairwise") -> str:
     return name
 
 
-def series(pixels: DataFrame, years: Sequence[int] | None = None, nodata: float | None = None, keys: Sequence[str] = PIXEL) -> DataFrame:
+def series(pixels: DataFrame, years: Sequence[int] | None = None, nodata: float | None = None, keys: Sequence[str] = PIXEL, ends_only: bool = False) -> DataFrame:
     """Each pixel's vectors in order of year (array of year, embedding), and whether it is valid in every one of the years.
 
     A pixel that misses one of the years is not valid.  One shuffle on the
-    pixel; a group is as long as there are years.
+    pixel; a group is as long as there are years.  ends_only: of the years in
+    between only their validity is shuffled, not their vectors.
     """
     used = pixels if years is None else pixels.filter(F.col("year").isin([int(y) for y in years]))
     if years is not None:
-        wanted = len(set(years))
+        first, last, wanted = min(years), max(years), len(set(years))
     else:
-        wanted = used.agg(F.count_distinct("year").alias("n")).first()["n"]
+        first, last, wanted = used.agg(F.min("year"), F.max("year"), F.count_distinct("year")).first()
     if wanted < 2:
         raise ValueError("change needs two years or more")
-    return used.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("year", "embedding"))).alias("years"),
-        (F.every(V.valid("embedding", nodata)) & (F.count_distinct("year") == wanted)).alias("valid"),
-    )
+    vector = F.when(F.col("year").isin(first, last), F.col("embedding")) if ends_only else F.col("embedding")
+    slim = used.select(*keys, "year", vector.alias("embedding"), V.valid("embedding", nodata).alias("_ok"))
+    grouped = slim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("year", "embedding"))).alias("years"), F.every("_ok").alias("_ok"))
+    # a distinct count inside the aggregation would shuffle everything twice
+    return grouped.select(*keys, "years", (F.col("_ok") & (F.size(F.array_distinct("years.year")) == wanted)).alias("valid"))
 
 
 def _mean_vector(stack):
@@ -55,7 +57,7 @@ def change(pixels: DataFrame, metric: str = "cosine", mode: str = "pairwise", ye
     anomaly: last year against the mean of all years, the last included.
     """
     name = _check(metric, mode)
-    grouped = series(pixels, years, nodata, keys)
+    grouped = series(pixels, years, nodata, keys, ends_only=name == "pairwise")
     stack = F.col("years")
     first, last = stack[0]["embedding"], F.element_at(stack, -1)["embedding"]
     if name == "pairwise":

@@ -57,3 +57,10 @@ def test_errors(spark):
         C.change(cubes(spark, [[1, 0]], [[0, 1, 2]])).collect()
     with pytest.raises(ValueError):
         C.require_any(C.change(cubes(spark, [[float("nan"), 0]], [[0, 1]])))
+
+
+def test_one_shuffle(spark):
+    df = cubes(spark, [[1, 0]], [[0, 1]], [[1, 0]])
+    for mode in C.MODES:
+        plan = C.change(df, mode=mode, years=[2017, 2018, 2019])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
