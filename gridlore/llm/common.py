@@ -49,6 +49,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that operators have written to the shared folder; results that still read them end with it, so write those first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridlore")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: rows of two or three numbers up to which a table is broadcast: about 20 MB
 BROADCAST_ROWS = 500_000
 

@@ -112,3 +112,42 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
        coalesce(l_.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(l.score, 0)::DOUBLE AS score
 FROM d LEFT JOIN b l_ USING (r) LEFT JOIN l USING (r)
 """
+
+op6_suffix_array_dedup = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (
+  SELECT r, i, substr(x, 2 * i + 1, 400) AS s
+  FROM (SELECT r, x, unnest(generate_series(0, length(x) // 2 - 200)) AS i FROM d WHERE length(x) >= 400)),
+h AS (SELECT r, i, md5_number(s) AS k FROM w),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM h) WHERE c > 1),
+-- runs of covered bytes: a window opens a new one if it starts after the end of all before it
+m AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 200, -1))::INT AS new FROM hit),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM m),
+span AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+cut AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY run), 0) AS p FROM span),
+kept AS (
+  SELECT c.r, sum(b - a) AS n, count(*) AS spans, max(b) AS last,
+         string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY run) AS y
+  FROM cut c JOIN d USING (r) GROUP BY c.r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE y || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+op9_ngram_jaccard = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pr JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.node WHERE link.y > reach.root)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(root))::BIGINT AS component_id
+FROM d JOIN reach ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
