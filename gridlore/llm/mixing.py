@@ -28,12 +28,15 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 
 BLOCKS = 1024
+#: words of a shard, while shards times sources stay below MOST_QUOTAS, which the driver holds; then shards grow instead
+SHARD_WORDS = 2_000_000
+MOST_QUOTAS = 4_000_000
 _BROADCAST_ROWS = 200_000
 
 
@@ -87,6 +90,23 @@ def _choose(seed: int, target: dict, most: int):
     return run
 
 
+def _deal(cuts):
+    def run(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        """The shards of each block's copies: a source's draws, pass after pass and each in the permuted order, go to the shards by their quotas."""
+        no = int(key[0])
+        blocks = blocks[blocks["copies"] > 0].sort_values("place", kind="stable")
+        copies = blocks["copies"].to_numpy()
+        row = np.repeat(np.arange(len(blocks)), copies)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        order = np.lexsort((row, turn))
+        shard = np.empty(len(row), dtype=np.int64)
+        shard[order] = np.searchsorted(cuts.value[:, no], np.arange(len(row)), side="right")
+        parts = np.split(shard, np.cumsum(copies)[:-1]) if len(blocks) else []
+        return pd.DataFrame({"source_no": np.full(len(blocks), no), "block": blocks["block"].to_numpy(), "copies": copies, "shards": pd.Series([np.sort(p).tolist() for p in parts], dtype=object)})
+
+    return run
+
+
 def sized(docs: DataFrame, seed: int, *carry: str) -> DataFrame:
     """doc_id, source, size and block of every document, and what else is asked for."""
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -99,7 +119,7 @@ def sized(docs: DataFrame, seed: int, *carry: str) -> DataFrame:
     )
 
 
-def plan(counted: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int = 64, seed: int = 20) -> tuple[DataFrame, list[tuple]]:
+def plan(counted: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int | None = None, seed: int = 20) -> tuple[DataFrame, list[tuple]]:
     """(source, block) -> copies and the shards they go to; and a row a source: name, number, size, target."""
     spark = counted.sparkSession
     blocks = stash(counted.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
@@ -112,15 +132,10 @@ def plan(counted: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     exact = {i: (t.numerator, t.denominator) for i, t in enumerate(want)}
     chosen = stash(ranked.groupBy("source_no").applyInPandas(_choose(seed, exact, most), "source_no int, block int, copies long, place long"), "chosen")
     quota = {r["source_no"]: r["n"] for r in chosen.groupBy("source_no").agg(F.sum("copies").alias("n")).collect()}
-    cuts = np.cumsum(split([quota.get(i, 0) for i in range(len(named))], shards, seed), axis=0)
-    ends = spark.createDataFrame([(i, cuts[:, i].tolist()) for i in range(len(named))], "source_no int, ends array<long>")
-    # draws of a source in order: pass after pass, each in the permuted order of its blocks
-    turns = chosen.filter("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    order = Window.partitionBy("source_no").orderBy("turn", "place")  # at most `most` * BLOCKS rows each
-    drawn = turns.withColumn("draw", F.row_number().over(order).cast("long") - 1).join(ends, "source_no")
-    drawn = drawn.withColumn("shard", F.expr("cast(size(filter(ends, e -> e <= draw)) as int)"))
-    by_block = drawn.drop("copies").groupBy("source_no", "block").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    return stash(by_block.join(numbers, "source_no").select("source", F.col("block"), "copies", "shards"), "plan"), named
+    parts = shards or max(1, min(-(-sum(n for _, n in rows) // SHARD_WORDS), MOST_QUOTAS // max(1, len(rows))))
+    cuts = spark.sparkContext.broadcast(np.cumsum(split([quota.get(i, 0) for i in range(len(named))], parts, seed), axis=0))
+    dealt = chosen.groupBy("source_no").applyInPandas(_deal(cuts), "source_no int, block int, copies long, shards array<int>")
+    return stash(dealt.join(numbers, "source_no").select("source", "block", "copies", "shards"), "plan"), named
 
 
 def _taking(left: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -130,7 +145,7 @@ def _taking(left: DataFrame, chosen: DataFrame) -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
 
 
-def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int = 64, seed: int = 20) -> DataFrame:
+def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int | None = None, seed: int = 20) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words, repeats counted) and shards of every document."""
     counted = stash(sized(docs, seed), "sized")
     chosen, named = plan(counted, weights, most, shards, seed)
@@ -142,7 +157,7 @@ def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, s
     return got.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.when(copies > 0, F.col("shards")).alias("shards"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int = 64, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, shards: int | None = None, seed: int = 20) -> DataFrame:
     """The rows that the mix takes, repeats as repeated rows, with all columns of docs; shard by shard, shuffled within each."""
     counted = stash(sized(docs, seed), "sized")
     chosen, _ = plan(counted, weights, most, shards, seed)
