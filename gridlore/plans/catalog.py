@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def _r(c, n: int = 6):
-    return F.round(F.col(c).cast("double") if isinstance(c, str) else c, n)
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), n)
 
 
 def _dot(a: str, b: str) -> str:

@@ -21,7 +21,7 @@ def duck(sf_dir: str):
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else v + 0.0  # exact: the driver compares hashes of values
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return v
