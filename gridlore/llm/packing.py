@@ -21,6 +21,7 @@ long texts are read whole, a batch at a time; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -157,17 +158,42 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 1_500_000
+_NEW_WORDS = 100_000
 _ENCODED_AT_ONCE = 4096
 
 
+class _Known:
+    """Sorted hashes of words, and where each one's ids lie."""
+
+    def __init__(self, hashes=None, where=None, size=None):
+        none = np.zeros(0, np.int64)
+        self.hashes = none.astype(np.uint64) if hashes is None else hashes
+        self.where, self.size = (none, none) if where is None else (where, size)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self):
+            return np.full(len(wanted), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+    def with_more(self, other: _Known) -> _Known:
+        hashes = np.concatenate((self.hashes, other.hashes))
+        order = np.argsort(hashes, kind="stable")
+        return _Known(hashes[order], np.concatenate((self.where, other.where))[order], np.concatenate((self.size, other.size))[order])
+
+
 class Encoder:
     """A tokenizer that encodes each distinct word once, as long as its cache has room.
 
     The vocabulary's normaliser and splitter never let a token cross ASCII white
     space, so a text's ids are its words' ids.  Words are known by their 64-bit
-    hash; the cache is a sorted array of hashes and one array of ids, about 40
-    bytes a word.
+    hash; the cache is two sorted arrays of hashes, the new ones apart until they
+    are many, and one array of ids, about 40 bytes a word.
     """
 
     def __init__(self, path: str):
@@ -178,7 +204,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.old, self.new = _Known(), _Known()
         self.held, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
@@ -186,35 +212,40 @@ class Encoder:
         for a in range(0, len(words), _ENCODED_AT_ONCE):  # the library's results are large
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + _ENCODED_AT_ONCE]], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            parts.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
-        size, new = np.concatenate(sizes), np.concatenate(parts)
-        if self.used + len(new) > len(self.held):
-            grown = np.zeros(2 * (self.used + len(new)), np.uint32)
+            parts.append(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes[-1].sum())))
+        size, ids = np.concatenate(sizes), np.concatenate(parts)
+        if self.used + len(ids) > len(self.held):
+            grown = np.zeros((self.used + len(ids)) * 3 // 2, np.uint32)
             grown[: self.used] = self.held[: self.used]
             self.held = grown
-        self.held[self.used : self.used + len(new)] = new
-        all_hashes = np.concatenate((self.hashes, hashes))
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[order]
-        self.where = np.concatenate((self.where, self.used + np.cumsum(size) - size))[order]
-        self.size = np.concatenate((self.size, size))[order]
-        self.used += len(new)
+        self.held[self.used : self.used + len(ids)] = ids
+        self.new = self.new.with_more(_Known(hashes, self.used + np.cumsum(size) - size, size))
+        self.used += len(ids)
+        if len(self.new) > _NEW_WORDS:
+            self.old, self.new = self.old.with_more(self.new), _Known()
+
+    def _places(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word lie and how many they are; -1 for words that are not known."""
+        where, size = np.full(len(distinct), -1, dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        for known in (self.old, self.new):
+            at = known.find(distinct)
+            there = at >= 0
+            where[there], size[there] = known.where[at[there]], known.size[at[there]]
+        return where, size
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and where each text's ids end."""
         words = K.split_words(texts, K.NON_SPACE, lower=False)
         distinct, first, code = np.unique(K.hash_words(words), return_index=True, return_inverse=True)
-        if len(self.hashes) > _CACHED_WORDS:
+        if len(self.old) + len(self.new) > _CACHED_WORDS:
             self._forget()
-        at = np.searchsorted(self.hashes, distinct)
-        at[at == len(self.hashes)] = 0
-        fresh = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), dtype=bool)
+        where, size = self._places(distinct)
+        fresh = where < 0
         if fresh.any():
             rows = np.sort(first[fresh])
             spelt = K.spans(words.data, words.starts[rows], words.ends[rows]).to_pylist()
             self._learn(spelt, K.hash_spans(words.data, words.starts[rows], words.ends[rows]))
-            at = np.searchsorted(self.hashes, distinct)
-        size, where = self.size[at], self.where[at]
+            where, size = self._places(distinct)
         n = size[code]
         upto = np.concatenate(([0], np.cumsum(n)))
         ends = upto[words.bounds[1:]] + np.arange(1, len(words.bounds))  # with one end id for each text
@@ -244,7 +275,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, out_dir: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, path, writer = TaskContext.get().partitionId(), "", None
         for batch in batches:
-            for piece in K.bites(batch, "text"):
+            for piece in K.bites(batch, "text", 4 << 20):
                 if writer is None:
                     path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}.pack"
                     writer = Writer(path, bits)
