@@ -359,6 +359,7 @@ def near_rows(n=150):
 @pytest.mark.parametrize("block", [5, 384])
 def test_jaccard_components(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if block == 5 else 500_000)  # by shuffle, and by broadcast
     rows = near_rows()
     got = jaccard.links(docs(spark, rows), 4, 85, 100)
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == linked(rows, 4, 85, 100)
