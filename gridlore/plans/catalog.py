@@ -131,7 +131,7 @@ w AS (SELECT a.vec_id, sum({_cos('a.e', 'b.e')}) AS t FROM s a, s b GROUP BY a.v
 best AS (SELECT s.vec_id, s.e FROM s JOIN w USING (vec_id) ORDER BY round(t, 9) DESC, vec_id LIMIT 1)
 SELECT b AS band, round(e[b] / {_norm('e')}, 6) AS value FROM best, generate_series(1, 64) t(b)""")
 def seed_medoid(spark, sf):
-    vector = S.aggregate_seeds(pixels(spark, sf).filter("vec_id % 10 = 0"), "medoid", ("vec_id",))
+    vector = S.aggregate_seeds(pixels(spark, sf), "medoid", ("vec_id",))
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(vector)], "band long, value double").select("band", _r("value").alias("value"))
 
 
@@ -244,7 +244,7 @@ def pca_components(spark, sf):
 
 
 def _points(spark, sf) -> DataFrame:
-    t = one_year(spark, sf).filter("vec_id % 3 = 0").select(F.col("vec_id").alias("feature_id"), (F.col("col") * 10 + 5.0).alias("x"), (1000 - (F.col("row") * 10 + 5.0)).alias("y"), "label")
+    t = one_year(spark, sf).select(F.col("vec_id").alias("feature_id"), (F.col("col") * 10 + 5.0).alias("x"), (1000 - (F.col("row") * 10 + 5.0)).alias("y"), "label")
     return sampling.point_features(t, "x", "y")
 
 
