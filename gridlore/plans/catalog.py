@@ -7,6 +7,7 @@ rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from gridlore.operators import learning as M
 from gridlore.operators import report as R
 from gridlore.operators import rgb, sampling
 from gridlore.operators import similarity as S
-from gridlore.plans.tables import GRID, SQL, one_year, pixels
+from gridlore.plans.tables import GRID, SQL, grid, one_year, pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -251,7 +252,7 @@ def _points(spark, sf) -> DataFrame:
 @query(""" SELECT f.vec_id AS feature_id, f.label, (col * 10 + 5)::DOUBLE AS pixel_x, (1000 - row * 10 - 5)::DOUBLE AS pixel_y, row AS pixel_row, col AS pixel_col,
  round(e[1], 6) AS "A00", round(e[2], 6) AS "A01" FROM p f WHERE year = 2021 AND vec_id % 3 = 0""")
 def extract_points(spark, sf):
-    got = sampling.extract(one_year(spark, sf), _points(spark, sf), GRID, bands=2)
+    got = sampling.extract(one_year(spark, sf), _points(spark, sf), grid(spark, sf), bands=2)
     return got.withColumns({"A00": _r("A00"), "A01": _r("A01")})
 
 
@@ -265,13 +266,13 @@ def _boxes(spark, sf) -> DataFrame:
 c AS (SELECT r AS row, c AS col, c * 10 + 5.0 AS x, 1000 - r * 10 - 5.0 AS y FROM generate_series(0, 199) a(r), generate_series(0, 19) b(c))
 SELECT feature_id, row::INT AS row, col::INT AS col FROM f JOIN c ON x > x0 AND x < x0 + 27 AND y > y0 AND y < y0 + 27""")
 def polygon_pixels(spark, sf):
-    return sampling.feature_pixels(_boxes(spark, sf), GRID)
+    return sampling.feature_pixels(_boxes(spark, sf), grid(spark, sf))
 
 
 @query(""", f AS (SELECT vec_id, col * 10 + 1.0 AS x0, 1000 - row * 10 - 29.0 AS y0, label FROM p WHERE year = 2021 AND vec_id % 40 = 4)
 SELECT f.vec_id AS feature_id, f.label, q.row, q.col, round(q.e[1], 6) AS a00 FROM f JOIN p q ON q.year = 2021 AND q.col * 10 + 5.0 > x0 AND q.col * 10 + 5.0 < x0 + 27 AND 1000 - q.row * 10 - 5.0 > y0 AND 1000 - q.row * 10 - 5.0 < y0 + 27""")
 def training_rows(spark, sf):
-    rows, _ = sampling.training_rows(one_year(spark, sf), _boxes(spark, sf), GRID, "label")
+    rows, _ = sampling.training_rows(one_year(spark, sf), _boxes(spark, sf), grid(spark, sf), "label")
     return rows.select("feature_id", "label", "row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
 
 
@@ -290,7 +291,7 @@ def pixel_centre(spark, sf):
 LEFT JOIN (SELECT row, col, label FROM p WHERE year = 2021 AND label > 4) z ON z.row = r AND z.col = c""")
 def scatter_to_grid(spark, sf):
     values = one_year(spark, sf).filter("label > 4").select("row", "col", F.col("label").cast("int").alias("value"))
-    return sampling.scatter_to_grid(sampling.cells(spark, GRID), values, "value", -1).select("col", "row", "value")
+    return sampling.scatter_to_grid(sampling.cells(spark, grid(spark, sf)), values, "value", -1).select("col", "row", "value")
 
 
 # ------------------------------------------------------------------ labels, folds, metrics
@@ -565,7 +566,8 @@ _HALF = G.Grid("half", "EPSG:3577", 10, 100, 0.0, 20.0, 0.0, 1000.0, 0.0, -20.0)
 @query(""" SELECT r::INT AS row, c::INT AS col, round(e[1], 6) AS a00 FROM generate_series(0, 99) a(r), generate_series(0, 9) b(c)
 JOIN p ON year = 2021 AND p.row = floor((1000 - (r + 0.5) * 20 - 1000) / -10) AND p.col = floor((c + 0.5) * 20 / 10)""")
 def warp_nearest(spark, sf):
-    got = I.warp_nearest(one_year(spark, sf).drop("grid_id"), GRID, _HALF)
+    g = grid(spark, sf)
+    got = I.warp_nearest(one_year(spark, sf).drop("grid_id"), g, replace(_HALF, height=-(-g.height // 2)))
     return got.select("row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
 
 
@@ -573,8 +575,9 @@ def warp_nearest(spark, sf):
 SELECT row, col, round(CASE WHEN arg_max(ok, struct_pack(ok := ok, year := year)) THEN arg_max(e[1], struct_pack(ok := ok, year := year)) ELSE -9999 END, 6) AS a00 FROM t GROUP BY row, col""")
 def mosaic_overlap(spark, sf):
     p = pixels(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 7 == 2, F.transform("embedding", lambda x: F.lit(V.FILL).cast("float"))).otherwise(F.col("embedding")))
-    tiles = [(f"t{y}", p.filter(F.col("year") == y).select("row", "col", "embedding"), GRID) for y in (2020, 2021)]
-    return I.mosaic(tiles, GRID).select("row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
+    g = grid(spark, sf)
+    tiles = [(f"t{y}", p.filter(F.col("year") == y).select("row", "col", "embedding"), g) for y in (2020, 2021)]
+    return I.mosaic(tiles, g).select("row", "col", _r(F.get("embedding", F.lit(0))).alias("a00"))
 
 
 def _archive(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -586,14 +589,14 @@ def _archive(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query(""" SELECT year, row, col, round((greatest(-127, least(127, round_even(e[7] * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE, 6) AS a06 FROM p WHERE year IN (2018, 2020)""")
 def load_years(spark, sf):
     archive, grids = _archive(spark, sf)
-    return I.load_years(archive, [2020, 2018], GRID, grids).select("year", "row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
+    return I.load_years(archive, [2020, 2018], grid(spark, sf), grids).select("year", "row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
 
 
 @query(f""", q AS (SELECT row, col, year, list_transform(e, lambda x: (greatest(-127, least(127, round_even(x * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE) AS e FROM p)
 SELECT a.row, a.col, round({_euclid('a.e', 'b.e')}::FLOAT::DOUBLE, 6) AS value FROM q a JOIN q b USING (row, col) WHERE a.year = 2018 AND b.year = 2021""")
 def change_over_years(spark, sf):
     archive, grids = _archive(spark, sf)
-    return I.change_years(archive, [2018, 2021], GRID, grids, "euclidean")[0].select("row", "col", _r("value").alias("value"))
+    return I.change_years(archive, [2018, 2021], grid(spark, sf), grids, "euclidean")[0].select("row", "col", _r("value").alias("value"))
 
 
 # ------------------------------------------------------------------ learning (rows only: the estimators are Spark's own)

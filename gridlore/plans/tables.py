@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions.geometry import Grid
 
 WIDTH = 20
+#: as high as it is at least; grid() makes it as high as its table
 GRID = Grid("g", "EPSG:3577", WIDTH, 200, 0.0, 10.0, 0.0, 1000.0, 0.0, -10.0, None, 64)
 
 #: the same table in SQL; e is the vector as doubles
@@ -30,5 +33,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """GRID, with more rows where the table has pixels below its last."""
+    last = pixels(spark, sf_dir).agg(F.max("row")).first()[0]
+    return replace(GRID, height=max(GRID.height, (last or 0) + 1))
+
+
 def one_year(spark: SparkSession, sf_dir: str, year: int = 2021) -> DataFrame:
     return pixels(spark, sf_dir).filter(F.col("year") == year)
