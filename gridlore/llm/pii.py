@@ -4,7 +4,8 @@ One pattern finds e-mail and IP addresses, phone, card and social-security
 numbers, access keys, quoted or assigned secrets and names after a title.  Each
 distinct entity gets a replacement made from a keyed SHA-256 stream: same kind,
 same format (groups, case, script, length; cards pass the Luhn test), names by
-the gender of their title.  An entity is replaced alike wherever it occurs, also
+the gender of their title; where a format has too few, phone numbers, secrets,
+addresses and names get longer.  An entity is replaced alike wherever it occurs, also
 in another format (digits of a phone number, case of an address, a surname with
 or without a given name), so references stay together; replacements that fall on
 another replacement or on any real entity of their kind are drawn again until
@@ -119,6 +120,7 @@ def _drawn() -> str:
     """SQL for the surrogate of (kind, value) in the given round; later rounds have more room."""
     cyr = "value rlike '\\\\p{IsCyrillic}'"
     longer = f"IF(round < 4, '', {_syllables('round - 3', 'false')})"
+    more_digits = f"IF(round < 4, '', array_join(transform(sequence(1, round - 3), j -> {_BYTE.format(i='j + 32')} % 10), ''))"
     octet = f"""array_join(transform(split(value, '[.]'), (o, i) -> CASE
         WHEN round >= 8 THEN cast(1 + {_BYTE.format(i='i')} % 254 as string)
         WHEN length(o) = 1 THEN cast(1 + {_BYTE.format(i='i')} % 9 as string)
@@ -131,7 +133,7 @@ def _drawn() -> str:
     return f"""CASE kind
         WHEN 'local' THEN concat({_like("substring_index(value, '@', 1)")}, {longer})
         WHEN 'domain' THEN concat({_like("regexp_replace(value, '[.][^.]*$', '')", "20")}, {longer}, '.example')
-        WHEN 'phone' THEN concat(substring_index(value, ':', 1), ':', {_like("substring_index(value, ':', -1)")})
+        WHEN 'phone' THEN concat(substring_index(value, ':', 1), ':', {_like("substring_index(value, ':', -1)")}, {more_digits})
         WHEN 'card' THEN concat({body}, cast((10 - {luhn} % 10) % 10 as string))
         WHEN 'ssn' THEN {_like("value")}
         WHEN 'ip' THEN {octet}
@@ -139,7 +141,7 @@ def _drawn() -> str:
         WHEN 'surname' THEN initcap({_syllables('3 + round', cyr)})
         WHEN 'given_m' THEN concat({given['given_m']}, {more})
         WHEN 'given_f' THEN concat({given['given_f']}, {more})
-        ELSE IF(value rlike '^[0-9a-f]+$', array_join(transform(split(value, ''), (c, i) -> substr('0123456789abcdef', {_BYTE.format(i='i')} % 16 + 1, 1)), ''), {_like("value")}) END"""
+        ELSE concat(IF(value rlike '^[0-9a-f]+$', array_join(transform(split(value, ''), (c, i) -> substr('0123456789abcdef', {_BYTE.format(i='i')} % 16 + 1, 1)), ''), {_like("value")}), {longer}) END"""
 
 
 def surrogates(units: DataFrame, secret_key: str) -> DataFrame:
@@ -166,10 +168,11 @@ def _written(entity: str, kind: str, parts: str) -> str:
     """SQL for an entity written with its units' surrogates (an array, in the order of the units)."""
     digits = f"replace({parts}[0], ':', '')"
     filled = f"array_join(transform(split({entity}, ''), (c, i) -> IF(c rlike '[0-9]', substr({digits}, length(regexp_replace(substr({entity}, 1, i + 1), '[^0-9]', '')), 1), c)), '')"
+    rest = f"substr({digits}, length(regexp_replace({entity}, '[^0-9]', '')) + 1)"  # a phone number's further digits
     return f"""CASE
         WHEN {kind} = 'email' THEN concat({parts}[0], '@', {parts}[1])
         WHEN {kind} = 'name' THEN concat(regexp_extract({entity}, {_quoted(rf'^(?:{_TITLES_M}|{_TITLES_F})\.? ')}, 0), array_join({parts}, ' '))
-        WHEN {kind} IN ('phone', 'card', 'ssn') THEN {filled}
+        WHEN {kind} IN ('phone', 'card', 'ssn') THEN concat({filled}, {rest})
         WHEN {kind} = 'secret' THEN concat(regexp_replace({entity}, '[A-Za-z0-9_/+-]+$', ''), {parts}[0])
         ELSE {parts}[0] END"""
 
