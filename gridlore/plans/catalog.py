@@ -462,7 +462,8 @@ def report_series(spark, sf):
 FROM y JOIN p q ON q.row = y.row AND q.col = y.col AND q.year = 2021, k WHERE n = k""")
 def report_scatter(spark, sf):
     p = pixels(spark, sf)
-    got = R.band_scatter(C.change(p), p.filter("year = 2021"), 3)
+    last = p.filter("year = 2021")
+    got = R.band_scatter(C.change(p), last, 3, n=max(1, last.count()))
     return got.select("row", "col", _r("x").alias("x"), _r("y").alias("y"))
 
 
