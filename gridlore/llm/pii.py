@@ -30,15 +30,17 @@ _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+#: with all eight groups, or with :: after a first group of four
+IP6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}]|:[0-9A-Fa-f])"
+PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])(?:1[.-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d|[.-]\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 ACCESS_KEY = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])"
-SECRET = r"""(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_/+-]{12,}"""
+SECRET = r"""(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_/+-]{12,}"""
 NAME = rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, PHONE, SSN, CARD, IP, NAME))
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, PHONE, SSN, CARD, IP, IP6, NAME))
 #: No text without one of these has an entity, and they are cheap to look for.
-_HINT = rf"[0-9@]|token|secret|pass|key|(?:{_TITLES_M}|{_TITLES_F})\.? "
+_HINT = rf"[0-9@]|(?i:token|secret|pass|key)|(?:{_TITLES_M}|{_TITLES_F})\.? "
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LATIN = "àáâãäåçèéêëìíîïñòóôõöùúûüý"
@@ -62,11 +64,12 @@ def entities(text: str) -> str:
 
 def _kind(e):
     return (
-        F.when(e.rlike(r"^(?:token|secret|password|passwd|key)\s{0,2}[=:]"), "secret")
+        F.when(e.rlike(r"^(?i:token|secret|password|passwd|key)\s{0,2}[=:]"), "secret")
         .when(e.rlike(rf"^(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?$"), "name")
         .when(e.rlike(r"^[^@]+@[^@]+$"), "email")
         .when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
-        .when(e.rlike(r"^(?:\+|\()[\d(]"), "phone")
+        .when(e.rlike(r"^[0-9A-Fa-f:]+$") & e.contains(":"), "ip")
+        .when(e.rlike(r"^(?:\+|\()[\d(]|^(?:1[.-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})$"), "phone")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^AKIA[A-Z0-9]{16}$"), "access_key")
         .when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
@@ -88,6 +91,7 @@ def _units(e, kind):
         .when((kind == "name") & (F.size(words) == 2), F.array(unit(given, words[0]), unit("surname", words[1])))
         .when(kind == "name", F.array(unit("surname", words[0])))
         .when(kind == "secret", F.array(unit("secret", F.regexp_extract(e, "[A-Za-z0-9_/+-]+$", 0))))
+        .when(kind == "ip", F.array(unit("ip", F.lower(e))))
         .otherwise(F.array(unit(kind, e)))
     )
 
@@ -126,6 +130,7 @@ def _drawn() -> str:
         WHEN length(o) = 1 THEN cast(1 + {_BYTE.format(i='i')} % 9 as string)
         WHEN length(o) = 2 THEN cast(10 + {_BYTE.format(i='i')} % 90 as string)
         ELSE cast(100 + {_BYTE.format(i='i')} % 156 as string) END), '.')"""
+    groups = f"array_join(transform(split(IF(round < 8, value, regexp_replace(value, '[0-9a-f]+', '0000')), ''), (c, i) -> IF(c = ':', c, substr('0123456789abcdef', {_BYTE.format(i='i')} % 16 + 1, 1))), '')"
     body = f"concat(substr(value, 1, 1), {_like('substr(value, 2, length(value) - 2)')})"
     luhn = f"""aggregate(transform(split({body}, ''), (d, i) -> IF((length(value) - i) % 2 = 0, cast(d as int) * 2 - IF(cast(d as int) > 4, 9, 0), cast(d as int))), 0, (s, d) -> s + d)"""
     given = {k: "IF({c}, element_at(array({r}), {b} % 16 + 1), element_at(array({l}), {b} % 16 + 1))".format(c=cyr, r=", ".join(f"'{n}'" for n in v[1]), l=", ".join(f"'{n}'" for n in v[0]), b=_BYTE.format(i=0)) for k, v in _GIVEN.items()}
@@ -136,7 +141,7 @@ def _drawn() -> str:
         WHEN 'phone' THEN concat(substring_index(value, ':', 1), ':', {_like("substring_index(value, ':', -1)")}, {more_digits})
         WHEN 'card' THEN concat({body}, cast((10 - {luhn} % 10) % 10 as string))
         WHEN 'ssn' THEN {_like("value")}
-        WHEN 'ip' THEN {octet}
+        WHEN 'ip' THEN IF(value LIKE '%:%', {groups}, {octet})
         WHEN 'access_key' THEN concat('AKIA', {_like("substr(value, 5)")})
         WHEN 'surname' THEN initcap({_syllables('3 + round', cyr)})
         WHEN 'given_m' THEN concat({given['given_m']}, {more})

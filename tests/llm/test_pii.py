@@ -17,3 +17,15 @@ def test_formats_with_too_few_surrogates(spark):
     assert len(set(phones)) == len(real) and not set(phones) & set(real)
     assert len(set(keys)) == len(secrets) and not set(keys) & set(secrets)
     assert all(re.fullmatch(pii.PHONE, p) for p in phones)
+
+
+def test_keywords_of_any_case_and_more_formats(spark):
+    held = ["PASSWORD=Abcdefgh1234", "API_KEY: abcd1234efgh5678", 'Token = "abcd1234efgh5678"', "743-555-3824", "743.555.3825", "2001:db8::8a2e:370:7334", "FE80:0:0:0:202:B3FF:FE1E:8329"]
+    plain = ["a[1::2]", "std::vector", "12:30:45", "978-0-306-40615-7", "1.2.3", "x :: Int"]
+    rows = [(i, f"see {t} there", "", "a") for i, t in enumerate(held + plain)]
+    got = {r["doc_id"]: r for r in pii.replace(docs(spark, rows)).collect()}
+    for i, t in enumerate(held):
+        secret = re.split(r"[=:] ?\"?(?=[A-Za-z])", t)[-1].strip('"') if i < 3 else t
+        assert got[i]["n_entities"] == 1 and secret not in got[i]["text"] and len(got[i]["text"]) == len(rows[i][1]), got[i]
+    assert [got[i]["kinds"] for i in range(len(held))] == [["secret"]] * 3 + [["phone"]] * 2 + [["ip"]] * 2
+    assert all(got[len(held) + i]["text"] == f"see {t} there" for i, t in enumerate(plain))
