@@ -105,6 +105,16 @@ def texts_only(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`") for c in more))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of a row), _id and _hash (of the text): no name of a column can clash with one of an operator."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
 def translate_lower(c):
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

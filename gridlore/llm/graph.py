@@ -28,11 +28,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(least, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
         small = stash(small, label)
-        seen = small.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        seen = small.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.bit_xor(F.xxhash64("b", "a")).alias("g")).first()
         discard(now, large)
         now = small
-        if (seen["n"], seen["h"]) == state:
+        if tuple(seen) == state:
             break
-        state = (seen["n"], seen["h"])
+        state = tuple(seen)
     heads = now.select(F.col("a").alias("node")).distinct()
     return heads.select("node", F.col("node").alias("component")).union(now.select(F.col("b").alias("node"), F.col("a").alias("component")))

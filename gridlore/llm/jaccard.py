@@ -19,7 +19,8 @@ Equal sets are one node, so copies never multiply.  No row is made per pair.
 Defined cases: a null or empty text has an empty set, no links and its own id as
 component; fewer words than the n-gram size make one n-gram of the whole
 sequence; rows that share an id are nodes by their text, each row returned; a
-null id never names a component unless no other row does (then null); empty
+null id never names a component unless no other row does (then null), but such
+rows are grouped like all others; empty
 tables give no rows; very long texts are read whole; other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BROADCAST_ROWS, arrow_map, discard, grouped, lean, stash, texts_only
+from .common import BROADCAST_ROWS, arrow_map, discard, grouped, lean, packed, stash, texts_only, unpacked
 from .graph import components
 
 SKETCH_BITS = 23
@@ -256,8 +257,8 @@ def _forest(num: int, den: int):
     return run
 
 
-def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n_shingles and component_id of every row; two texts link when den * intersection >= num * union."""
+def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """links(), and group, which all texts of a component have in common (null for an empty set)."""
     spark = docs.sparkSession
     texts = texts_only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, size))
@@ -286,18 +287,26 @@ def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFra
     discard(cluster)
     group = F.coalesce("component", "node")
     named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").select("node", "least", group.alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", F.col("component").alias("group"), "component_id")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("group"))
+
+
+def links(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles and component_id of every row; two texts link when den * intersection >= num * union."""
+    return _linked(docs, size, num, den).drop("group")
 
 
 def one_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs with one document of each component, that of the smallest id (one row for each text that has this id); rows without an id stay."""
-    found = stash(links(docs, size, num, den), "linked")
-    key = (F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    go = found.filter("doc_id <> component_id").select(*key).distinct()
-    again = found.filter("doc_id = component_id").groupBy(*key).count().filter("count > 1").drop("count")  # an id and text that several rows have
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    stay, again = keyed.join(lean(go, "duplicates"), same, "left_anti"), lean(again, "repeated")
-    once = stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return stay.join(again, same, "left_anti").union(once).drop("_own")
+    """The rows of docs with one row of each component: the least by id (none last) and then by the text's hash; rows with an empty set are linked with nothing and stay."""
+    found = stash(_linked(docs, size, num, den).filter("n_shingles > 0").select("doc_id", "text_hash", "group"), "linked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")
+    crowds = found.groupBy("group").agg(least, F.count("*").alias("rows")).filter("rows > 1").select("group", F.col("r.doc_id").alias("rep_id"), F.col("r.text_hash").alias("rep_hash"))
+    members = found.join(crowds, "group").withColumn("is_rep", F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+    counted = stash(members.groupBy(F.col("doc_id").alias("_member"), F.col("text_hash").alias("_member_hash"), "is_rep").agg(F.count("*").alias("rows")), "members")
+    go = lean(counted.filter("NOT is_rep").select("_member", "_member_hash"), "duplicates")
+    again = lean(counted.filter("is_rep AND rows > 1").select("_member", "_member_hash"), "repeated")  # representatives that several rows are
+    same = F.col("_id").eqNullSafe(F.col("_member")) & (F.col("_hash") == F.col("_member_hash"))
+    stay = packed(docs).join(go, same, "left_anti")
+    once = stay.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"])
+    return unpacked(stay.join(again, same, "left_anti").union(once), docs)

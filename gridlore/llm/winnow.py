@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, lean, row_ids, stash, texts_only
+from .common import arrow_map, lean, packed, row_ids, stash, texts_only, unpacked
 
 GRAM = 5
 BITMAP_BITS = 24
@@ -152,6 +152,15 @@ def _extend(pairs: DataFrame, window: int, k: int) -> DataFrame:
     return arrow_map(pairs.select("uid", "tag", "pos", "context", "item_context", "context_id"), run, "uid long, context_id binary, first long, last long")
 
 
+def _merged(hits: DataFrame) -> DataFrame:
+    """uid, n_hit and spans of the words that the hits (uid, first, last) cover: sorted, and opened anew where a hit starts after the end of all before it."""
+    by_place = Window.partitionBy("uid").orderBy("first", "last")
+    new = F.coalesce(F.col("first") > F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    run = F.sum(F.col("new").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    spans = hits.withColumn("new", new).withColumn("run", run).groupBy("uid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return spans.groupBy("uid").agg(F.sum(F.col("last") - F.col("first")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int = GRAM) -> DataFrame:
     """One row a document: doc_id, text_hash, n_words, n_hit, item_ids (sorted texts), spans (merged, in words).
 
@@ -165,20 +174,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
     contexts = theirs.select("tag", "fp", F.col("context").alias("item_context"), "context_id").distinct()
     hits = _extend(_flat(found).join(contexts, ["tag", "fp"]), window, k)
     hits = stash(hits, "hits")
-    spans = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = _merged(hits.select("uid", "first", "last").distinct())
     named = hits.select("uid", "context_id").distinct().join(theirs.select("context_id", "item").distinct(), "context_id").groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    merged = F.expr("""aggregate(spans, array(struct(-1L AS first, -1L AS last)), (done, x) ->
-        IF(x.first <= done[size(done) - 1].last,
-           concat(slice(done, 1, size(done) - 1), array(struct(done[size(done) - 1].first AS first, greatest(done[size(done) - 1].last, x.last) AS last))),
-           concat(done, array(struct(x.first AS first, x.last AS last)))),
-        done -> slice(done, 2, size(done)))""")
-    spans = spans.select("uid", merged.alias("spans"))
-    n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first)"), F.lit(0).cast("long"))
     return (
         found.select("uid", "doc_id", "text_hash", "n_words")
         .join(spans, "uid", "left")
         .join(named, "uid", "left")
-        .select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans")
+        .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans")
     )
 
 
@@ -205,5 +207,6 @@ def _item_prints(items: DataFrame, window: int, k: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int = GRAM) -> DataFrame:
     """The rows of docs that are not contaminated: a row goes if a twentieth of its words or more are hit."""
-    bad = contamination(docs, items, window, k).filter("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(lean(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    bad = contamination(docs, items, window, k).filter("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    here = F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("_bad_hash"))
+    return unpacked(packed(docs).join(lean(bad, "contaminated"), here, "left_anti"), docs)

@@ -25,7 +25,7 @@ ROWS = [
 def docs(spark, rows=ROWS, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) AS n_chars")
     # columns that clash with names inside the operators
-    return df.selectExpr("*", "1 AS key", "'k' AS uid", "2 AS node", "3 AS block", "'h' AS h", "4 AS n") if extra else df
+    return df.selectExpr("*", "1 AS key", "'k' AS uid", "2 AS node", "3 AS block", "'h' AS h", "4 AS n", "5 AS _id", "'x' AS _hash", "6 AS _own", "7 AS _row", "8 AS copies", "'s' AS shards", "9 AS rid", "1 AS size", "2 AS bin", "3 AS text_hash", "0 AS run", "1 AS n_hit") if extra else df
 
 
 def empty(spark):

@@ -45,6 +45,8 @@ def test_chat_round_trip(spark):
         said.sort()
         assert [(t["role"], t["text"]) for t in back[c]["turns"]] == [s[1:] for s in said]
         assert back[c]["loss"] == "".join(s[2] for s in said if s[1] == "assistant")
+    by_shape = chat.format_trees(chat.from_turns(turns(spark, rows)), shape=chat.chains(turns(spark, rows)))
+    assert {r["tree_id"]: r["formatted"] for r in by_shape.collect()} == {c: r["formatted"] for c, r in back.items()}
     assert chat.format_trees(chat.from_turns(turns(spark, rows).limit(0))).count() == 0
 
 
@@ -60,6 +62,43 @@ def test_chat_branches(spark):
     assert chat.format_trees(nodes, 1).count() == 2
 
 
+def test_chat_trees_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for tree in (None, 1, 2, 3, 4):
+        for i in range(1, 60):
+            parent = None if i == 1 else rng.randrange(1, i) if tree != 4 else 1  # the last tree is flat
+            rows.append((tree, i, parent, float(rng.randint(-3, 9)), rng.choice(["user", "assistant", None]), rng.choice([f"text {i}", "", None, "</s>[INST]"])))
+        rows += [(tree, None, 1, 9.0, "user", "no id"), (tree, 70, 71, 99.0, "user", "loop"), (tree, 71, 70, 99.0, "user", "loop"), (tree, 72, 71, 99.0, "user", "hangs on a loop")]
+    rows += rows[3:9] + [(1, 7, 1, 99.0, "zzz", "another row of this node, which does not count")]
+    rows.append((5, 1, None, 0.0, "assistant", LONG * 5))
+    rows = [(r[0], r[1], 1 if r[0] == 1 and r[1] == 7 else r[2], *r[3:]) for r in rows]
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double, role string, text string").selectExpr("*", "1 AS leaf", "2 AS node", "'x' AS up", "'p' AS piece", "0 AS rank")
+    trees = {}
+    for t, i, p, score, role, text in rows:
+        if i is not None:
+            new = (p is not None, p or 0, role or "", text or "", score)
+            held = trees.setdefault(t, {})
+            held[i] = min(held.get(i, new), new)
+    expected = {}
+    for t, held in trees.items():
+        parents = {n[1] for n in held.values() if n[0]}
+        ranked = []
+        for leaf in set(held) - parents:
+            path, at = [leaf], leaf
+            while held[at][0] and held[at][1] in held and len(path) < 99:
+                at = held[at][1]
+                path.append(at)
+            if len(path) < 99:
+                ranked.append((-sum(held[n][4] for n in path), leaf, [(held[n][2], held[n][3]) for n in reversed(path)]))
+        for rank, (score, leaf, said) in enumerate(sorted(ranked)[:4], 1):
+            expected[t, rank] = (leaf, -score, said)
+    got = chat.read_back(chat.format_trees(df, 4)).collect()
+    assert {(r["tree_id"], r["rank"]): (r["leaf_id"], r["score"], [tuple(x) for x in r["turns"]]) for r in got} == expected
+
+
 # ------------------------------------------------------------------ 2
 
 
@@ -370,7 +409,12 @@ def test_one_of_each_group(spark):
     kept = jaccard.one_each(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
     groups = linked(rows, 5, 4, 5)
-    assert sorted_rows(kept, "doc_id") == sorted({(c,) for d, _, c in groups if c is not None} | {(None,) for d, *_ in groups if d is None}, key=repr)
+    # one a component; each row with an empty set; the text without an id is alone in its component
+    assert sorted_rows(kept, "doc_id") == sorted([(c,) for c in {c for d, n, c in groups if n and c is not None}] + [(d,) for d, n, _ in groups if not n] + [(None,)], key=repr)
+    nameless = [(None, PROSE, "", "")] * 3 + [(None, PROSE + " more", "", ""), (None, None, "", ""), (None, "other words here", "", "")]
+    got = sorted_rows(jaccard.one_each(docs(spark, nameless)), "text")
+    assert len(got) == 3 and {(None,), ("other words here",)} < set(got)
+    assert sorted_rows(jaccard.one_each(docs(spark, nameless + [(9, PROSE, "", "")])).filter("length(text) > 99"), "doc_id") == [(9,)]
     assert jaccard.links(empty(spark)).count() == 0 and jaccard.one_each(empty(spark)).count() == 0
 
 
