@@ -303,35 +303,55 @@ def test_repeated_strings_of_crowded_grams(spark, monkeypatch):
 def test_targets_and_tree():
     from fractions import Fraction
 
-    t = mixing.targets([10, 1000, 90], [5, 2, 1])
-    assert t[0] == 30 and sum(t) == 1100 and t[1] == Fraction(1070 * 2, 3) and t[2] == 270 or t[2] == 270
+    # 5 : 2 : 1 of 1100 is 687.5 : 275 : 137.5; the first stops at 30; 2 : 1 of 1070 is 713.3 : 356.7; the last stops at 270
+    assert mixing.targets([10, 1000, 90], [5, 2, 1]) == [30, 800, 270]
+    assert mixing.targets([100, 100, 100, 100], [5, 2, 1, 5]) == [Fraction(2000, 13), Fraction(800, 13), Fraction(400, 13), Fraction(2000, 13)]
     assert mixing.targets([0, 5], [5, 2])[0] == 0 and mixing.targets([], []) == []
     cuts = mixing.split([100, 7, 0, 33], 8, 1)
     assert cuts.sum(axis=0).tolist() == [100, 7, 0, 33] and np.ptp(cuts.sum(axis=1)) <= 1 and (cuts >= 0).all()
     assert (mixing.split([100, 7, 0, 33], 8, 1) == cuts).all()
 
 
-def test_mix(spark):
+def filled(sizes, weights):
+    """Targets by pouring words in by weight, a thousandth of a word at a time at the end: the water level at which all are poured."""
+    total, low, high = sum(sizes), 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * n, level * w) for n, w in zip(sizes, weights)) < total else (low, level)
+    return [min(3 * n, low * w) for n, w in zip(sizes, weights)]
+
+
+@pytest.mark.parametrize("bins,shuffled", [(1, False), (5, True)])
+def test_mix(spark, monkeypatch, bins, shuffled):
     rng = np.random.default_rng(1)
-    rows = ROWS + [(1000 + i, "w " * int(rng.integers(1, 80)), "en", "abc"[i % 3]) for i in range(600)]
+    rows = ROWS + [(1000 + i, "w " * int(rng.integers(1, 80)), "en", "abc"[i % 3]) for i in range(600)] + [(None, f"{i} " + "v " * 49, "en", "d") for i in range(400)]
+    total = sum(len(w) for w in (re.findall(SPACE, t or "") for _, t, *_ in rows))
+    monkeypatch.setattr(mixing, "BIN_WORDS", -(-total // bins))
+    monkeypatch.setattr(mixing, "SOURCE_BIN_WORDS", 4000)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
+    if shuffled:
+        monkeypatch.setattr(mixing, "_BROADCAST_ROWS", 0)
     got = mixing.shares(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     size = {}
     for _, t, _, s in rows:
         size[s] = size.get(s, 0) + len(re.findall(SPACE, t or ""))
     names = sorted((s for s in size if s is not None)) + [None]
-    expected = dict(zip(names, mixing.targets([size[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    expected = dict(zip(names, filled([size[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
     taken = Counter()
     for r in got:
-        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(float(expected[r["source"]]))
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(expected[r["source"]], rel=1e-6)
         assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 3 * r["size"] and len(r["shards"] or []) * r["size"] == r["taken"]
         taken[r["source"]] += r["taken"]
-    for s in "ac":
-        assert taken[s] == pytest.approx(float(expected[s]), rel=0.02)
-    again = mixing.shares(docs(spark, rows)).collect()
+    for s in "acd":
+        assert taken[s] == pytest.approx(expected[s], rel=0.02)
+    again = mixing.shares(docs(spark, rows).repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     mixed = mixing.mix(docs(spark, rows))
     assert mixed.columns == docs(spark, rows).columns and mixed.count() == sum(len(r["shards"] or []) for r in got)
+    where = Counter(s for r in got for s in r["shards"] or [])
+    lands = Counter(r[0] for r in mixed.select(F.spark_partition_id()).collect())
+    assert lands == where and len(where) >= bins  # a partition a shard
     assert mixing.shares(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
