@@ -61,7 +61,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = license.scan(table(spark, sf_dir, "documents"))
+    got = license.scan(table(spark, sf_dir, "documents")).drop("spans")
     return got.withColumns({"base_labels": F.concat_ws(",", "base_labels"), "labels": F.concat_ws(",", "labels")})
 
 

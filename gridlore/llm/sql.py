@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .license import PASSAGES
+from .license import DRIFT, GRAM, PASSAGES, SHARE, _templates
 
 op10_quality_rules = r"""
 WITH d AS (
@@ -80,7 +80,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_PASSAGES = ",\n".join(f"({i}, '{label}', '{text}')" for i, (text, label) in enumerate(PASSAGES.items()))
+_PASSAGES = ",\n".join(f"({i}, '{t.label}', '{' '.join(t.words)}', {list(t.must)}::INT[])" for i, t in enumerate(_templates({}, PASSAGES)))
 op8_license_scan = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -93,20 +93,24 @@ base AS (SELECT r, i - 1 AS w, label FROM pl, p WHERE array_to_string(ws[i:i + n
 b AS (
   SELECT r, count(*) AS n_base, min(w) AS f, max(w) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM base GROUP BY r),
-t(template, label, words) AS (VALUES
-""" + _PASSAGES + r"""),
+t(template, label, words, must) AS (VALUES
+""" + _PASSAGES + rf"""),
 tp AS (
-  SELECT template, label, len(x) - 1 AS pairs, j, x[j] || ' ' || x[j + 1] AS gram
-  FROM (SELECT template, label, x, unnest(generate_series(1, len(x) - 1)) AS j
-        FROM (SELECT template, label, string_split(words, ' ') AS x FROM t))),
+  SELECT template, j - 1 AS t_at, array_to_string(x[j:j + {GRAM - 1}], ' ') AS gram
+  FROM (SELECT template, x, unnest(generate_series(1, len(x) - {GRAM - 1})) AS j FROM (SELECT template, string_split(words, ' ') AS x FROM t))),
 hit AS (
-  SELECT r, template, label, pairs, i - j AS diagonal, count(DISTINCT j) AS votes
-  FROM pl JOIN tp ON ws[i] || ' ' || ws[i + 1] = gram GROUP BY ALL),
+  SELECT DISTINCT r, template, t_at, i - 1 - t_at AS diagonal
+  FROM pl JOIN tp ON i + {GRAM - 1} <= len(ws) AND array_to_string(ws[i:i + {GRAM - 1}], ' ') = gram),
+-- for each diagonal the template words that hits on it or up to {DRIFT} further cover
+cw AS (
+  SELECT a.r, a.template, a.diagonal, count(DISTINCT b.t_at + s) AS covered, list(DISTINCT b.t_at) AS ts
+  FROM (SELECT DISTINCT r, template, diagonal FROM hit) a
+  JOIN hit b ON b.r = a.r AND b.template = a.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + {DRIFT},
+  generate_series(0, {GRAM - 1}) g(s) GROUP BY ALL),
 v AS (
-  SELECT r, label, least(1.0, sum(votes) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)
-         / pairs::DOUBLE) AS share
-  FROM hit),
-m AS (SELECT r, label, share FROM v WHERE share >= 0.6 UNION ALL SELECT r, label, 1.0 FROM base),
+  SELECT r, label, covered / len(string_split(words, ' '))::DOUBLE AS share
+  FROM cw JOIN t USING (template) WHERE list_has_all(ts, must)),
+m AS (SELECT r, label, share FROM v WHERE share >= {SHARE} UNION ALL SELECT r, label, 1.0 FROM base),
 l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM m GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l_.l::BIGINT AS last_word,
        coalesce(l_.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(l.score, 0)::DOUBLE AS score
