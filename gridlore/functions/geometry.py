@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_YEAR, LAST_YEAR = 2017, 2025
@@ -161,9 +161,12 @@ _GRS = 1 / 298.257222101
 _N = _F / (2 - _F)
 
 
-def to_utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Column]:
+_K0 = 0.9996
+_BIG_A = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def to_utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column) -> tuple[Column, Column]:
     """WGS 84 degrees to UTM metres, by the Krüger series to the third order (well under a millimetre within a zone)."""
-    big_a = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
     alpha = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
     phi, lam = F.radians(lat), F.radians(lon - F.lit(zone * 6 - 183.0))
     k = 2 * math.sqrt(_N) / (1 + _N)
@@ -173,7 +176,23 @@ def to_utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Co
     for j, a in enumerate(alpha, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000.0 + 0.9996 * big_a * east, (1e7 if south else 0.0) + 0.9996 * big_a * north
+    return 500000.0 + _K0 * _BIG_A * east, F.when(F.lit(south), 1e7).otherwise(0.0) + _K0 * _BIG_A * north
+
+
+def from_utm(x: Column, y: Column, zone: int | Column, south: bool | Column) -> tuple[Column, Column]:
+    """UTM metres to WGS 84 degrees, the inverse series."""
+    beta = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+    delta = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+    xi, eta = (y - F.when(F.lit(south), 1e7).otherwise(0.0)) / (_K0 * _BIG_A), (x - 500000.0) / (_K0 * _BIG_A)
+    up, across = xi, eta
+    for j, b in enumerate(beta, 1):
+        up = up - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        across = across - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(across))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.lit(zone * 6 - 183.0) + F.degrees(F.atan2(F.sinh(across), F.cos(up))), F.degrees(phi)
 
 
 def _albers_constants() -> tuple[float, float, float, float]:
@@ -203,13 +222,108 @@ def to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
-def project(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
-    """Degrees to a supported coordinate system: EPSG:4326, 3577, 326zz or 327zz."""
+def from_albers(x: Column, y: Column) -> tuple[Column, Column]:
+    """EPSG:3577 metres to degrees, by the series for the authalic latitude (well under a millimetre)."""
+    n, c, rho0, e = _albers_constants()
+    e2 = e * e
+    # n is negative here, as both parallels are southern
+    sign = math.copysign(1.0, n)
+    rho = F.sqrt(x * x + (rho0 - y) * (rho0 - y))
+    lon = 132.0 + F.degrees(F.atan2(sign * x, sign * (rho0 - y)) / n)
+    q = (c - F.pow(rho * (n / _A), F.lit(2.0))) / n
+    qp = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
+    beta = F.asin(q / qp)
+    m = _GRS / (2 - _GRS)
+    phi = beta + (4 * m / 3 + 4 * m**2 / 45 - 16 * m**3 / 35) * F.sin(2 * beta) + (46 * m**2 / 45 + 152 * m**3 / 945) * F.sin(4 * beta) + 3044 * m**3 / 2835 * F.sin(6 * beta)
+    return lon, F.degrees(phi)
+
+
+def _code(crs: str) -> str:
     code = crs.upper().removeprefix("EPSG:")
-    if code == "4326":
-        return lon, lat
-    if code == "3577":
-        return to_albers(lon, lat)
-    if len(code) == 5 and code[:3] in {"326", "327"} and 1 <= int(code[3:]) <= 60:
-        return to_utm(lon, lat, int(code[3:]), code[:3] == "327")
+    if code in {"4326", "3577"} or (len(code) == 5 and code[:3] in {"326", "327"} and 1 <= int(code[3:]) <= 60):
+        return code
     raise ValueError(f"no projection to {crs}")
+
+
+def _by_crs(crs: str | Column, geographic: tuple, albers, utm) -> tuple[Column, Column]:
+    """The pair for a system that is named, or that a column names (NULL for one that is not known)."""
+    if isinstance(crs, str):
+        code = _code(crs)
+        return geographic if code == "4326" else albers() if code == "3577" else utm(int(code[3:]), code[:3] == "327")
+    code = F.regexp_replace(F.upper(crs), "^EPSG:", "")
+    zoned = utm(F.substring(code, 4, 2).try_cast("int"), code.startswith("327"))
+    return tuple(F.when(code == "4326", g).when(code == "3577", a).when(code.rlike("^32[67](0[1-9]|[1-5][0-9]|60)$"), u) for g, a, u in zip(geographic, albers(), zoned))
+
+
+def project(lon: Column, lat: Column, crs: str | Column) -> tuple[Column, Column]:
+    """Degrees to a supported coordinate system: EPSG:4326, 3577, 326zz or 327zz."""
+    return _by_crs(crs, (lon, lat), lambda: to_albers(lon, lat), lambda zone, south: to_utm(lon, lat, zone, south))
+
+
+def unproject(x: Column, y: Column, crs: str | Column) -> tuple[Column, Column]:
+    """A supported coordinate system to degrees."""
+    return _by_crs(crs, (x, y), lambda: from_albers(x, y), lambda zone, south: from_utm(x, y, zone, south))
+
+
+def reproject(x: Column, y: Column, source: str | Column, target: str | Column) -> tuple[Column, Column]:
+    """One system to another; what is in the same one already stays exactly as it is."""
+    if isinstance(source, str) and isinstance(target, str) and source.upper() == target.upper():
+        return x, y
+    moved = project(*unproject(x, y, source), target)
+    if isinstance(source, str) and isinstance(target, str):
+        return moved
+    same = F.upper(F.lit(source)) == F.upper(F.lit(target))
+    return F.when(same, x).otherwise(moved[0]), F.when(same, y).otherwise(moved[1])
+
+
+#: points a side by which a box is carried to another system; its sides become curves there
+EDGE_POINTS = 8
+
+
+def box_in(origin_x: Column, origin_y: Column, pixel_w: Column, pixel_h: Column, width: Column, height: Column, source: str | Column, target: str | Column) -> Column:
+    """struct(min_x, min_y, max_x, max_y) of a raster in another system, from points along its sides."""
+    steps = F.sequence(F.lit(0), F.lit(EDGE_POINTS))
+    along = lambda origin, size, n: F.transform(steps, lambda i: origin + size * n * i / F.lit(float(EDGE_POINTS)))
+    xs, ys = along(origin_x, pixel_w, width), along(origin_y, pixel_h, height)
+    right, bottom = origin_x + pixel_w * width, origin_y + pixel_h * height
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    sides = F.concat(F.transform(xs, lambda x: at(x, F.lit(origin_y))), F.transform(xs, lambda x: at(x, bottom)), F.transform(ys, lambda y: at(F.lit(origin_x), y)), F.transform(ys, lambda y: at(right, y)))
+
+    def degrees(p: Column) -> Column:
+        lon, lat = unproject(p["x"], p["y"], source)
+        return F.struct(lon.alias("lon"), lat.alias("lat"), p.alias("p"))
+
+    def moved(d: Column) -> Column:
+        x, y = project(d["lon"], d["lat"], target)
+        same = F.upper(F.lit(source)) == F.upper(F.lit(target))
+        return F.struct(F.when(same, d["p"]["x"]).otherwise(x).alias("x"), F.when(same, d["p"]["y"]).otherwise(y).alias("y"))
+
+    same_system = isinstance(source, str) and isinstance(target, str) and source.upper() == target.upper()
+    points = sides if same_system else F.transform(F.transform(sides, degrees), moved)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that come out of a generator of one row: later filters and projections take them instead of repeating their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def with_reprojected(df: DataFrame, x: Column, y: Column, source: str | Column, target: str | Column) -> DataFrame:
+    """df with columns _x and _y: reproject() in steps, so that each intermediate value is computed once."""
+    if isinstance(source, str) and isinstance(target, str) and source.upper() == target.upper():
+        return df.withColumns({"_x": x, "_y": y})
+    df = held(df, _x0=x, _y0=y)
+    lon, lat = unproject(F.col("_x0"), F.col("_y0"), source)
+    df = held(df, _lon=lon, _lat=lat)
+    mx, my = project(F.col("_lon"), F.col("_lat"), target)
+    same = F.upper(F.lit(source)) == F.upper(F.lit(target))
+    return held(df, _x=F.when(same, F.col("_x0")).otherwise(mx), _y=F.when(same, F.col("_y0")).otherwise(my)).drop("_x0", "_y0", "_lon", "_lat")
+
+
+def or_default(crs: str | None, default: str = TARGET_CRS) -> str:
+    """A coordinate system that can be projected to, or the default."""
+    try:
+        return f"EPSG:{_code(crs or '')}"
+    except ValueError:
+        return default

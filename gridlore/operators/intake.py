@@ -174,14 +174,17 @@ def zones_of_area(spark: SparkSession, aoi: Sequence[float]) -> list[str]:
 
 
 def warp_nearest(pixels: DataFrame, source: G.Grid, target: G.Grid) -> DataFrame:
-    """The source's pixels on the target's grid (same coordinate system), nearest neighbour; cells outside the source have none.
+    """The source's pixels on the target's grid, nearest neighbour; cells outside the source have none.
 
-    One equi-join on the source's row and column; a source pixel may serve many cells.
+    Each target cell's centre is carried to the source's coordinate system, as
+    column arithmetic, then one equi-join on the source's row and column; a source
+    pixel may serve many cells.
     """
     from gridlore.operators.sampling import cells
 
     x, y = G.centre_x(F.col("col"), target.origin_x, target.pixel_w), G.centre_y(F.col("row"), target.origin_y, target.pixel_h)
-    asked = cells(pixels.sparkSession, target).select("row", "col", F.floor((y - source.origin_y) / source.pixel_h).cast("int").alias("_row"), F.floor((x - source.origin_x) / source.pixel_w).cast("int").alias("_col"))
+    placed = G.with_reprojected(cells(pixels.sparkSession, target), x, y, target.crs, source.crs)
+    asked = placed.select("row", "col", F.floor((F.col("_y") - source.origin_y) / source.pixel_h).cast("int").alias("_row"), F.floor((F.col("_x") - source.origin_x) / source.pixel_w).cast("int").alias("_col"))
     inside = asked.filter(G.in_grid(F.col("_row"), F.col("_col"), source.height, source.width))
     held = pixels.withColumnsRenamed({"row": "_row", "col": "_col"})
     return inside.join(held, ["_row", "_col"]).drop("_row", "_col").withColumn("grid_id", F.lit(target.grid_id))
@@ -213,25 +216,65 @@ def grid_of_area(grid_id: str, aoi: Sequence[float], crs: str, resolution: float
     return G.grid_for(grid_id, (min(xs), min(ys), max(xs), max(ys)), resolution, crs, V.FILL)
 
 
+def _with_size(archive: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The tiles with width and height: their own, or as far as the archive has pixels of them."""
+    if {"width", "height"} <= set(tiles.columns):
+        return tiles
+    sizes = archive.groupBy("tile").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"))
+    return tiles.drop("width", "height").join(sizes, "tile")
+
+
+def cells_of_tiles(tiles: DataFrame, target: G.Grid) -> DataFrame:
+    """row and col of every target cell whose centre lies in a tile, with the tile and its _row and _col there.
+
+    tiles: tile, origin_x, origin_y, pixel_w, pixel_h, width, height and, if it
+    is not the target's, crs.  A tile's box in the target's system, a little wider, names the cells to try, so
+    no cell is compared with tiles that are not near; cells are made by tile and
+    row, spread over all partitions.
+    """
+    col = F.col
+    crs = col("crs") if "crs" in tiles.columns else target.crs
+    box = G.box_in(col("origin_x"), col("origin_y"), col("pixel_w"), col("pixel_h"), col("width"), col("height"), crs, target.crs)
+    boxed = G.held(tiles, box=box)
+    spare = lambda low, high, size: F.lit(2 * abs(size)) + (col(f"box.{high}") - col(f"box.{low}")) * 0.002  # noqa: E731 - what the sides bulge between points
+    wide, high = spare("min_x", "max_x", target.pixel_w), spare("min_y", "max_y", target.pixel_h)
+    ends = lambda a, b, origin, size: ((a - F.lit(origin)) / F.lit(size), (b - F.lit(origin)) / F.lit(size))
+    c = ends(col("box.min_x") - wide, col("box.max_x") + wide, target.origin_x, target.pixel_w)
+    r = ends(col("box.min_y") - high, col("box.max_y") + high, target.origin_y, target.pixel_h)
+    near = boxed.withColumns({
+        "r0": F.greatest(F.lit(0), F.floor(F.least(*r)).cast("int")), "r1": F.least(F.lit(target.height - 1), F.floor(F.greatest(*r)).cast("int")),
+        "c0": F.greatest(F.lit(0), F.floor(F.least(*c)).cast("int")), "c1": F.least(F.lit(target.width - 1), F.floor(F.greatest(*c)).cast("int")),
+    }).filter("r0 <= r1 AND c0 <= c1").drop("box")
+    rows = near.withColumn("row", F.explode(F.sequence("r0", "r1")))
+    rows = rows.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile", "row")
+    every = rows.withColumn("col", F.explode(F.sequence("c0", "c1")))
+    moved = G.with_reprojected(every, G.centre_x(col("col"), target.origin_x, target.pixel_w), G.centre_y(col("row"), target.origin_y, target.pixel_h), target.crs, crs)
+    placed = moved.select("tile", "row", "col", "width", "height", F.floor((col("_y") - col("origin_y")) / col("pixel_h")).cast("int").alias("_row"), F.floor((col("_x") - col("origin_x")) / col("pixel_w")).cast("int").alias("_col"))
+    return placed.filter((col("_row") >= 0) & (col("_row") < col("height")) & (col("_col") >= 0) & (col("_col") < col("width"))).select("tile", "row", "col", "_row", "_col")
+
+
 def load_year(archive: DataFrame, year: int, target: G.Grid, tile_grids: DataFrame, aoi: Sequence[float] | None = None) -> DataFrame:
-    """One year's floats on the target's grid from an archive of signed bytes.
+    """One year's floats on the target's grid from an archive of signed bytes, nearest neighbour.
 
     archive: tile (its name), year, row, col and embedding (array<tinyint>),
     partitioned by year; tile_grids: tile, year, footprint, origin_x, origin_y,
-    pixel_w and pixel_h.  All tiles are placed by one join: a tile's grid row is
-    small, and what it covers is computed, not searched.
+    pixel_w and pixel_h, and where known width, height and crs (the target's where
+    there is none).  Each target cell's centre is carried to the system of the
+    tiles around it, so finer and coarser grids are filled alike and tiles of
+    several zones meet on one grid; one equi-join fetches the pixels.
     """
     if not G.is_supported_year(year):
         raise ValueError(f"years run from {G.FIRST_YEAR} to {G.LAST_YEAR}")
     chosen = tile_grids.filter(F.col("year") == year)
     if aoi is not None:
         chosen = chosen.filter(G.boxes_overlap(tuple(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")), tuple(aoi)))
-    placed = chosen.select("tile", "origin_x", "origin_y", "pixel_w", "pixel_h")
-    held = archive.filter(F.col("year") == year).join(placed, "tile")
-    x, y = F.col("origin_x") + (F.col("col") + 0.5) * F.col("pixel_w"), F.col("origin_y") + (F.col("row") + 0.5) * F.col("pixel_h")
-    cell = held.select(F.floor((y - target.origin_y) / target.pixel_h).cast("int").alias("row"), F.floor((x - target.origin_x) / target.pixel_w).cast("int").alias("col"), F.col("tile").alias("_tile"), "embedding")
-    inside = cell.filter(G.in_grid(F.col("row"), F.col("col"), target.height, target.width))
-    one = resolve_overlap(inside)
+    held = archive.filter(F.col("year") == year)
+    crs = [F.coalesce(F.col("crs"), F.lit(target.crs)).alias("crs")] if "crs" in chosen.columns else []
+    size = [c for c in ("width", "height") if c in chosen.columns]
+    tiles = _with_size(held, chosen.select("tile", "origin_x", "origin_y", "pixel_w", "pixel_h", *size, *crs))
+    wanted = cells_of_tiles(tiles, target)
+    got = wanted.join(held.select("tile", F.col("row").alias("_row"), F.col("col").alias("_col"), "embedding"), ["tile", "_row", "_col"])
+    one = resolve_overlap(got.select("row", "col", F.col("tile").alias("_tile"), "embedding"))
     return one.select(F.lit(target.grid_id).alias("grid_id"), F.lit(year).alias("year"), "row", "col", V.dequantise("embedding").alias("embedding"))
 
 
@@ -275,3 +318,74 @@ def change_years(archive: DataFrame, years: Sequence[int], target: G.Grid, tile_
 def first_tile(names: DataFrame) -> DataFrame:
     """The anchor to read of each scene: its first name."""
     return with_scene(names).withColumn("_n", F.row_number().over(Window.partitionBy("scene_key").orderBy("name"))).filter("_n = 1").drop("_n")
+
+
+# ------------------------------------------------------------------ the whole fetch
+
+
+@dataclass
+class Fetched:
+    """What a fetch found: the pixels, lazily, and a report of what it did."""
+
+    pixels: DataFrame
+    tiles: DataFrame
+    zones: list[str]
+    listed: int
+    headers_read: int
+    unreadable: list[str]
+    warnings: list[str]
+
+
+HEADERS = "name string, crs string, width int, height int, origin_x double, origin_y double, pixel_w double, pixel_h double"
+_TILES = f"{HEADERS}, min_lon double, min_lat double, max_lon double, max_lat double"
+
+
+def with_footprints(headers: DataFrame) -> DataFrame:
+    """min_lon, min_lat, max_lon and max_lat of each header; NULL where its system is not known or the header could not be read."""
+    c = F.col
+    box = G.box_in(c("origin_x"), c("origin_y"), c("pixel_w"), c("pixel_h"), c("width"), c("height"), c("crs"), "EPSG:4326")
+    return G.held(headers, _box=box).select(*headers.columns, *(c(f"_box.{a}").alias(b) for a, b in (("min_x", "min_lon"), ("min_y", "min_lat"), ("max_x", "max_lon"), ("max_y", "max_lat"))))
+
+
+def fetch_year(spark: SparkSession, year: int, aoi: Sequence[float], target: G.Grid, read_headers: Callable[[DataFrame], DataFrame], read_tiles: Callable[[DataFrame], DataFrame], bucket: str = "", prefix: str = "", fetch: Callable[[str], dict[str, Any]] = fetch_json, cache: Cache | None = None) -> Fetched:
+    """A year of an area from the object store: zones, listing, anchors, cull, headers, footprints, mosaic.
+
+    read_headers: names -> HEADERS (NULL for what cannot be read), run on executors;
+    read_tiles: tiles -> tile, row, col, embedding (array<tinyint>).  A header is
+    read once a scene first; only tiles of scenes that may meet the area, and that
+    the cache has not, are read then.
+    """
+    zones = zones_of_area(spark, aoi)
+    warnings = [f"{target.width} x {target.height} cells are {G.output_bytes(target.width, target.height) / 2**30:.1f} GiB uncompressed"] if G.is_large(target.width, target.height) else []
+    found, listed, read, unreadable = [], 0, 0, []
+    for zone in zones:  # a box touches few zones
+        names = list_tiles(spark, year, zone, bucket, prefix, fetch).select("name").persist()
+        listed += names.count()
+        kept = cache.load(spark, year, zone, _TILES).drop("year", "zone") if cache else spark.createDataFrame([], _TILES)
+        have, miss = split_by_cache(names, kept)
+        seen = with_scene(kept).select("scene_key").distinct()
+        anchors = with_footprints(read_headers(first_tile(with_scene(miss).join(seen, "scene_key", "left_anti").select("name")).select("name"))).persist()
+        usable = with_scene(kept.unionByName(anchors.filter("min_lon IS NOT NULL")))
+        one = usable.withColumn("_n", F.row_number().over(Window.partitionBy("scene_key").orderBy("name"))).filter("_n = 1")
+        boxes = one.select("scene_key", "name", "min_lon", "min_lat", "max_lon", "max_lat", F.col("width").alias("x_pixels"), F.col("height").alias("y_pixels"), "offset_a", "offset_b")
+        left = cull(miss, boxes, aoi).join(anchors.select("name"), "name", "left_anti")
+        fresh = with_footprints(read_headers(left)).unionByName(anchors).persist()
+        read += fresh.count()
+        unreadable += [r["name"] for r in fresh.filter("min_lon IS NULL").select("name").collect()]
+        good = fresh.filter("min_lon IS NOT NULL")
+        if cache and not good.isEmpty():
+            # the folder that is replaced is also read, so its rows (a few thousand a zone) go through the driver
+            whole = spark.createDataFrame(kept.unionByName(good).toArrow(), _TILES)
+            if not cache.save(whole.select("*", F.lit(year).alias("year"), F.lit(zone).alias("zone"))):
+                warnings.append(f"what was read of zone {zone} could not be kept")
+        found.append(spark.createDataFrame(kept.join(have, "name", "left_semi").unionByName(good).toArrow(), _TILES))
+        for held in (names, anchors, fresh):
+            held.unpersist()
+    tiles = found[0]
+    for more in found[1:]:
+        tiles = tiles.unionByName(more)
+    meeting = tiles_meeting(tiles, aoi).withColumnRenamed("name", "tile").withColumn("year", F.lit(year))
+    if unreadable:
+        warnings.append(f"{len(unreadable)} tiles could not be read and are left out")
+    archive = read_tiles(meeting).withColumn("year", F.lit(year))
+    return Fetched(load_year(archive, year, target, meeting), meeting, zones, listed, read, sorted(unreadable), warnings)

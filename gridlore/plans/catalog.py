@@ -600,6 +600,107 @@ def change_over_years(spark, sf):
     return I.change_years(archive, [2018, 2021], grid(spark, sf), grids, "euclidean")[0].select("row", "col", _r("value").alias("value"))
 
 
+# ------------------------------------------------------------------ several coordinate systems
+
+#: the table's pixels as rasters of 100 m in the last strip of zone 55 south, and of zone 56 where that begins
+_ZONE55 = ("EPSG:32755", 786000.0, 6680000.0)
+_ZONE56 = ("EPSG:32756", 209100.0, 6674600.0)
+_ALBERS = G.Grid("albers", "EPSG:3577", 90, 0, 1706500.0, 60.0, 0.0, -3379000.0, 0.0, -60.0)
+
+
+def _albers(g: G.Grid) -> G.Grid:
+    return replace(_ALBERS, height=2 * g.height + 90)
+
+
+_HEIGHT = "(SELECT greatest(200, max(vec_id // 100) + 1) FROM embeddings)"
+
+
+def _degrees_sql() -> str:
+    """CTE ll: row, col, lon and lat (radians) of the cells' centres on the Albers grid, by the textbook series."""
+    n, c, rho0, e = G._albers_constants()
+    g, e2, a = _ALBERS, e * e, 6378137.0
+    qp = f"(1 - {1 - e2!r} / {2 * e!r} * ln({(1 - e) / (1 + e)!r}))"
+    return f"""cells AS (SELECT r::INT AS row, c::INT AS col, {g.origin_x} + (c + 0.5) * {g.pixel_w} AS x, {g.origin_y} + (r + 0.5) * {g.pixel_h} AS y
+  FROM (SELECT unnest(generate_series(0, 2 * {_HEIGHT} + 89)) AS r), (SELECT unnest(generate_series(0, {g.width - 1})) AS c)),
+polar AS (SELECT row, col, x * x + ({rho0!r} - y) * ({rho0!r} - y) AS rho2, atan2(-x, -({rho0!r} - y)) AS theta FROM cells),
+auth AS (SELECT row, col, radians(132) + theta / {n!r} AS lon, asin(({c!r} - rho2 * {n * n / a**2!r}) / {n!r} / {qp}) AS b FROM polar),
+ll AS (SELECT row, col, lon, b + {e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040!r} * sin(2 * b) + {23 * e2**2 / 360 + 251 * e2**3 / 3780!r} * sin(4 * b) + {761 * e2**3 / 45360!r} * sin(6 * b) AS lat FROM auth)"""
+
+
+def _utm_sql(name: str, zone: int, origin_x: float, origin_y: float) -> str:
+    """CTE of that name: row, col and the raster's row and column (100 m) at ll, by the series in powers of the longitude."""
+    f = 1 / 298.257223563
+    e2 = f * (2 - f)
+    p2 = e2 / (1 - e2)
+    m = f"6378137.0 * ({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r} * lat - {3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r} * sin(2 * lat) + {15 * e2**2 / 256 + 45 * e2**3 / 1024!r} * sin(4 * lat) - {35 * e2**3 / 3072!r} * sin(6 * lat))"
+    return f"""{name}_t AS (SELECT row, col, lat, 6378137.0 / sqrt(1 - {e2!r} * sin(lat) ** 2) AS n, tan(lat) ** 2 AS t, {p2!r} * cos(lat) ** 2 AS c, cos(lat) * (lon - radians({zone * 6 - 183})) AS a, {m} AS m FROM ll),
+{name} AS (SELECT row, col,
+  floor((500000 + 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - {58 * p2!r}) * a ** 5 / 120) - {origin_x}) / 100)::INT AS sc,
+  floor((1e7 + 0.9996 * (m + n * tan(lat) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - {330 * p2!r}) * a ** 6 / 720)) - {origin_y}) / -100)::INT AS sr FROM {name}_t)"""
+
+
+@query(f", {_degrees_sql()}, {_utm_sql('u', 55, *_ZONE55[1:])} SELECT u.row, u.col, vec_id FROM u JOIN p ON p.row = sr AND p.col = sc WHERE year = 2021")
+def warp_reprojected(spark, sf):
+    g = grid(spark, sf)
+    source = replace(g, crs=_ZONE55[0], origin_x=_ZONE55[1], origin_y=_ZONE55[2], pixel_w=100.0, pixel_h=-100.0)
+    return I.warp_nearest(one_year(spark, sf).select("row", "col", "vec_id"), source, _albers(g)).select("row", "col", "vec_id")
+
+
+def _two_zones(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """An archive of two tiles, the years 2020 and 2021 of the table, and their grids."""
+    g = grid(spark, sf)
+    p = pixels(spark, sf).filter("year >= 2020").select(F.when(F.col("year") == 2020, "a55").otherwise("b56").alias("tile"), F.lit(2021).alias("year"), "row", "col", V.quantise("embedding").alias("embedding"))
+    rows = [(t, 2021, crs, g.width, g.height, x, y, 100.0, -100.0) for t, (crs, x, y) in (("a55", _ZONE55), ("b56", _ZONE56))]
+    tiles = spark.createDataFrame(rows, "tile string, year int, crs string, width int, height int, origin_x double, origin_y double, pixel_w double, pixel_h double")
+    return p, tiles
+
+
+_SIGNED = "round((greatest(-127, least(127, round_even({}[7] * 127.5, 0)))::TINYINT / 127.5)::FLOAT::DOUBLE, 6)"
+_TWO_ZONES = f""", {_degrees_sql()}, {_utm_sql('u', 55, *_ZONE55[1:])}, {_utm_sql('w', 56, *_ZONE56[1:])},
+met AS (SELECT u.row, u.col, 0 AS rank, e FROM u JOIN p ON p.row = sr AND p.col = sc WHERE year = 2020
+  UNION ALL SELECT w.row, w.col, 1, e FROM w JOIN p ON p.row = sr AND p.col = sc WHERE year = 2021)
+SELECT row, col, {_SIGNED.format('arg_max(e, rank)')} AS a06 FROM met GROUP BY row, col"""
+
+
+@query(_TWO_ZONES)
+def mosaic_two_zones(spark, sf):
+    archive, tiles = _two_zones(spark, sf)
+    return I.load_year(archive, 2021, _albers(grid(spark, sf)), tiles).select("row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
+
+
+@query(f""" SELECT r::INT AS row, c::INT AS col, {_SIGNED.format('e')} AS a06
+FROM (SELECT unnest(generate_series(0, 2 * {_HEIGHT} - 1)) AS r), (SELECT unnest(generate_series(0, 39)) AS c) JOIN p ON year = 2018 AND p.row = r // 2 AND p.col = c // 2""")
+def load_year_finer_grid(spark, sf):
+    archive, grids = _archive(spark, sf)
+    g = grid(spark, sf)
+    fine = replace(g, width=2 * g.width, height=2 * g.height, pixel_w=g.pixel_w / 2, pixel_h=g.pixel_h / 2)
+    return I.load_year(archive, 2018, fine, grids).select("row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
+
+
+@query(_TWO_ZONES)
+def fetch_year(spark, sf):
+    """The whole fetch over a store that is made up: two zones with a tile each in the area, one far away and one that cannot be read."""
+    archive, tiles = _two_zones(spark, sf)
+    names = {"55S": ["s/a55.tif", "s/far-0000000000-0000000000.tif", "s/far-0000000000-0000008192.tif", "s/broken.tif"], "56S": ["s/b56.tif", "notes.txt"]}
+
+    def fetch(url):
+        return {"items": [{"name": n} for z, held in names.items() if f"%2F{z}%2F" in url for n in held]}
+
+    far = spark.createDataFrame([("far-0000000000-0000000000", 2021, "EPSG:32755", 10, 10, 300000.0, 9000000.0, 100.0, -100.0), ("far-0000000000-0000008192", 2021, "EPSG:32755", 10, 10, 301000.0, 9000000.0, 100.0, -100.0)], tiles.schema)
+    known = tiles.unionByName(far).withColumn("name", F.concat(F.lit("s/"), "tile", F.lit(".tif"))).drop("tile", "year")
+
+    def read_headers(asked):
+        return asked.join(known, "name", "left").select("name", "crs", "width", "height", "origin_x", "origin_y", "pixel_w", "pixel_h")
+
+    def read_tiles(chosen):
+        return archive.withColumn("tile", F.concat(F.lit("s/"), "tile", F.lit(".tif"))).join(chosen.select("tile"), "tile", "left_semi")
+
+    got = I.fetch_year(spark, 2021, (149.5, -32.0, 150.5, -29.5), _albers(grid(spark, sf)), read_headers, read_tiles, "bucket", "embeddings", fetch)
+    if (got.zones, got.listed, got.unreadable) != (["55S", "56S"], 5, ["s/broken.tif"]):
+        raise ValueError(f"another fetch was expected: {got}")
+    return got.pixels.select("row", "col", _r(F.get("embedding", F.lit(6))).alias("a06"))
+
+
 # ------------------------------------------------------------------ learning (rows only: the estimators are Spark's own)
 
 

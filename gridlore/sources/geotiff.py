@@ -3,8 +3,9 @@
     register(spark)
     spark.read.format("gridtiff").load("/folder/*.tif")   # grid_id, row, col, embedding
 
-Reads strips and tiles, uncompressed or deflated, band-interleaved or separate,
-with or without a horizontal predictor; writes deflated strips of one raster.
+Reads classic and big files, strips and tiles, uncompressed, deflated, LZW or
+zstandard, band-interleaved or separate, with a horizontal or floating-point
+predictor or none; writes deflated strips of one raster.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from gridlore.functions.geometry import Grid
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 13: 4, 16: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q"}
 _KINDS = {1: "u", 2: "i", 3: "f"}
-ROWS_A_PART = 512
 
 
 @dataclass
@@ -45,19 +45,24 @@ class Header:
 def read_header(path: str) -> Header:
     """A raster's tags and grid; the file's pixels stay unread."""
     with open(path, "rb") as f:
-        lead = f.read(8)
+        lead = f.read(16)
         order = {b"II": "<", b"MM": ">"}.get(lead[:2])
-        if order is None or struct.unpack(order + "H", lead[2:4])[0] != 42:
+        version = struct.unpack(order + "H", lead[2:4])[0] if order and len(lead) >= 8 else 0
+        if version not in (42, 43):
             raise ValueError(f"not a TIFF file: {path}")
-        f.seek(struct.unpack(order + "I", lead[4:8])[0])
+        big = version == 43
+        word, width, entry_size = ("Q", 8, 20) if big else ("I", 4, 12)
+        f.seek(struct.unpack(order + word, lead[8:16] if big else lead[4:8])[0])
         tags: dict[int, tuple] = {}
-        for entry in [f.read(12) for _ in range(struct.unpack(order + "H", f.read(2))[0])]:
-            tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+        (many,) = struct.unpack(order + ("Q" if big else "H"), f.read(8 if big else 2))
+        for entry in [f.read(entry_size) for _ in range(many)]:
+            tag, kind, n = struct.unpack(f"{order}HH{word}", entry[: 4 + width])
             size = _SIZES.get(kind, 1) * n
-            raw = entry[8 : 8 + size]
-            if size > 4:
+            value = entry[4 + width :]
+            raw = value[:size]
+            if size > width:
                 here = f.tell()
-                f.seek(struct.unpack(order + "I", entry[8:12])[0])
+                f.seek(struct.unpack(order + word, value)[0])
                 raw = f.read(size)
                 f.seek(here)
             tags[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{order}{n}{_CODES[kind]}", raw) if kind in _CODES else (raw,)
@@ -84,6 +89,39 @@ def bounds(path: str) -> tuple[float, float, float, float] | None:
     return (g.origin_x, g.origin_y + g.height * g.pixel_h, g.origin_x + g.width * g.pixel_w, g.origin_y)
 
 
+def _unlzw(raw: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, the highest bit first; 256 clears the table, 257 ends."""
+    out, table, width, last = bytearray(), [], 9, b""
+    held = bits = 0
+    for byte in raw:
+        held, bits = (held << 8) | byte, bits + 8
+        while bits >= width:
+            bits -= width
+            code = held >> bits
+            held &= (1 << bits) - 1
+            if code == 257:
+                return bytes(out)
+            if code == 256:
+                table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+                continue
+            now = table[code] if code < len(table) else last + last[:1]
+            out += now
+            if last:
+                table.append(last + now[:1])
+            last = now
+            width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+    return bytes(out)
+
+
+def _unzstd(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+
+
+_UNPACK = {1: bytes, 5: _unlzw, 8: zlib.decompress, 32946: zlib.decompress, 50000: _unzstd}
+
+
 def read_rows(path: str, first: int, last: int, header: Header | None = None) -> np.ndarray:
     """Rows first:last of all bands, (bands, rows, columns)."""
     h = header or read_header(path)
@@ -92,7 +130,7 @@ def read_rows(path: str, first: int, last: int, header: Header | None = None) ->
     bw, bh = (h.tags[322][0], h.tags[323][0]) if tiled else (g.width, min(h.tags.get(278, (g.height,))[0], g.height))
     offsets, sizes = (h.tags[324], h.tags[325]) if tiled else (h.tags[273], h.tags[279])
     packing, separate, predictor = h.tags.get(259, (1,))[0], h.tags.get(284, (1,))[0] == 2, h.tags.get(317, (1,))[0]
-    if packing not in (1, 8, 32946) or predictor not in (1, 2):
+    if packing not in _UNPACK or predictor not in (1, 2, 3):
         raise ValueError(f"compression {packing} with predictor {predictor} is not supported")
     across, down = -(-g.width // bw), -(-g.height // bh)
     out = np.zeros((bands, last - first, g.width), dtype=h.dtype.newbyteorder("="))
@@ -103,10 +141,16 @@ def read_rows(path: str, first: int, last: int, header: Header | None = None) ->
                     i = (plane * down + r) * across + c
                     f.seek(offsets[i])
                     raw = f.read(sizes[i])
-                    raw = raw if packing == 1 else zlib.decompress(raw)
+                    raw = _UNPACK[packing](raw)
                     samples = 1 if separate else bands
                     rows = bh if tiled else min(bh, g.height - r * bh)
-                    block = np.frombuffer(raw, dtype=h.dtype, count=rows * bw * samples).reshape(rows, bw, samples)
+                    if predictor == 3:
+                        # rows of byte planes, the highest byte first, each byte the difference to the one `samples` before it
+                        planes = np.frombuffer(raw, dtype=np.uint8, count=rows * bw * samples * h.dtype.itemsize).reshape(rows, -1, samples)
+                        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, h.dtype.itemsize, bw * samples)
+                        block = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(h.dtype.newbyteorder(">")).reshape(rows, bw, samples)
+                    else:
+                        block = np.frombuffer(raw, dtype=h.dtype, count=rows * bw * samples).reshape(rows, bw, samples)
                     if predictor == 2:
                         block = np.cumsum(block, axis=1, dtype=h.dtype)
                     top, bottom = max(first, r * bh), min(last, r * bh + rows, g.height)
@@ -160,9 +204,13 @@ def write_raster(path: str, cube: np.ndarray, grid: Grid, nodata: float | None =
     os.replace(own, path)
 
 
+#: bytes of a file that one partition reads, about
+PART_BYTES = 16 << 20
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, no: int, of: int):
+        self.path, self.no, self.of = path, no, of
 
 
 class _Reader(DataSourceReader):
@@ -170,16 +218,21 @@ class _Reader(DataSourceReader):
         self.paths = sorted(p for x in path.split(",") for p in glob.glob(os.path.join(x, "*.tif*") if os.path.isdir(x) else x))
 
     def partitions(self) -> list[InputPartition]:
+        """Parts of files by their size alone; headers are read by the tasks."""
         out = []
         for p in self.paths:
-            height = read_header(p).grid.height
-            out += [_Part(p, a, min(a + ROWS_A_PART, height)) for a in range(0, height, ROWS_A_PART)]
+            of = max(1, -(-os.path.getsize(p) // PART_BYTES))
+            out += [_Part(p, i, of) for i in range(of)]
         return out
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         header = read_header(part.path)
-        for a in range(part.first, part.last, 16):
-            cube = read_rows(part.path, a, min(a + 16, part.last), header)
+        # whole strips or rows of tiles, so that none is unpacked by two parts
+        step = header.tags[323][0] if 322 in header.tags else min(header.tags.get(278, (header.grid.height,))[0], header.grid.height)
+        blocks = -(-header.grid.height // step)
+        first, last = (min(header.grid.height, blocks * i // part.of * step) for i in (part.no, part.no + 1))
+        for a in range(first, last, 16):
+            cube = read_rows(part.path, a, min(a + 16, last), header)
             bands, rows, cols = cube.shape
             flat = pa.array(cube.reshape(bands, -1).T.astype(np.float32).ravel())
             n = rows * cols
@@ -231,9 +284,12 @@ def grids(spark: SparkSession, paths: list[str]) -> DataFrame:
 def write_geotiff(pixels: DataFrame, folder: str, grid: Grid, columns: list[str], nodata: float | None = None, name: str | None = None) -> DataFrame:
     """Write one raster a grid_id (and year, if there is one): a raster is one file, so one task's; large areas are many grids. Returns the paths.
 
-    columns: a band each, or one array column with all bands.
+    columns: a band each, or one array column with all bands.  name: the file's,
+    for a single raster only; ValueError if there are several.
     """
     keys = ["grid_id", *(["year"] if "year" in pixels.columns else [])]
+    if name is not None and len(pixels.select(*keys).distinct().take(2)) > 1:
+        raise ValueError(f"{name} cannot hold several rasters; without a name each gets its own file")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         os.makedirs(folder, exist_ok=True)

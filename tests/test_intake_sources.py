@@ -109,6 +109,107 @@ def test_geotiff_round_trip(spark, tmp_path):
         T.read_header(str(tmp_path / "bad.tif"))
 
 
+def _lzw(raw):
+    """A plain encoder: a new code for each byte string seen, the table cleared in time."""
+    out, bits, held = bytearray(), 0, 0
+    def put(code, width):
+        nonlocal bits, held
+        held, bits = (held << width) | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append((held >> bits) & 255)
+    table, width, now = {bytes([i]): i for i in range(256)}, 9, b""
+    put(256, 9)
+    size = 258
+    for b in raw:
+        if now + bytes([b]) in table:
+            now += bytes([b])
+            continue
+        put(table[now], width)
+        table[now + bytes([b])] = size
+        size += 1
+        width = 12 if size > 2047 else 11 if size > 1023 else 10 if size > 511 else 9
+        now = bytes([b])
+        if size >= 4094:
+            put(table[now], width)
+            put(256, width)
+            table, width, size, now = {bytes([i]): i for i in range(256)}, 9, 258, b""
+    if now:
+        put(table[now], width)
+        size += 1
+        width = 12 if size > 2047 else 11 if size > 1023 else 10 if size > 511 else 9
+    put(257, width)
+    put(0, 7)
+    return bytes(out)
+
+
+def test_geotiff_packings(tmp_path):
+    import struct, zlib
+
+    rng = np.random.default_rng(0)
+    for data in (b"", b"a" * 5000, bytes(rng.integers(0, 4, 20_000, dtype=np.uint8)), bytes(rng.integers(0, 256, 9000, dtype=np.uint8))):
+        assert T._unlzw(_lzw(data)) == data
+    cube = rng.normal(size=(1, 5, 7)).astype("<f4")
+
+    def write(path, raw, packing, predictor, big):
+        word, head = ("Q", 8) if big else ("I", 4)
+        start = (16 if big else 8) + len(raw)
+        tags = [(256, 4, 7), (257, 4, 5), (258, 3, 32), (259, 3, packing), (273, 4, 16 if big else 8), (277, 3, 1), (278, 4, 5), (279, 4, len(raw)), (317, 3, predictor), (339, 3, 3)]
+        lead = struct.pack("<2sHHHQ", b"II", 43, 8, 0, start) if big else struct.pack("<2sHI", b"II", 42, start)
+        table = struct.pack("<Q" if big else "<H", len(tags)) + b"".join(struct.pack(f"<HH{word}", t, k, 1) + struct.pack("<I" if k == 4 else "<H", v).ljust(head, b"\0") for t, k, v in tags) + bytes(head)
+        open(path, "wb").write(lead + raw + table)
+
+    plain = cube.tobytes()
+    planes = cube[0].astype(">f4").view(np.uint8).reshape(5, 7, 4).transpose(0, 2, 1).reshape(5, 28)
+    floating = np.diff(planes, axis=1, prepend=np.zeros((5, 1), np.uint8)).astype(np.uint8).tobytes()
+    import zstandard
+
+    for i, (raw, packing, predictor, big) in enumerate([(_lzw(plain), 5, 1, False), (zlib.compress(plain), 8, 1, True), (zstandard.compress(floating), 50000, 3, True), (zlib.compress(floating), 8, 3, False)]):
+        path = str(tmp_path / f"{i}.tif")
+        write(path, raw, packing, predictor, big)
+        assert (T.read_rows(path, 0, 5) == cube).all() and (T.read_rows(path, 2, 4) == cube[:, 2:4]).all()
+
+
+def test_one_name_one_raster(spark, tmp_path):
+    grid = G.Grid("r", "EPSG:3577", 2, 1, 0.0, 10.0, 0.0, 10.0, 0.0, -10.0, None, 1)
+    df = spark.createDataFrame([("r", y, 0, c, float(y)) for y in (2020, 2021) for c in (0, 1)], "grid_id string, year int, row int, col int, value float")
+    with pytest.raises(ValueError):
+        T.write_geotiff(df, str(tmp_path), grid, ["value"], name="x.tif")
+    assert [r["path"] for r in T.write_geotiff(df.filter("year = 2020"), str(tmp_path), grid, ["value"], name="x.tif").collect()] == [str(tmp_path / "x.tif")]
+    assert len({r["path"] for r in T.write_geotiff(df, str(tmp_path), grid, ["value"]).collect()}) == 2
+
+
+def test_systems_round_trip_and_fallback(spark):
+    df = spark.createDataFrame([(149.99, -30.0, "EPSG:32755"), (132.0, -20.0, "epsg:3577"), (118.3, -43.0, "EPSG:32750"), (10.0, 50.0, "EPSG:32632"), (1.0, 2.0, "EPSG:4326"), (1.0, 2.0, "EPSG:9999"), (1.0, 2.0, "")], "lon double, lat double, crs string")
+    x, y = G.project(F.col("lon"), F.col("lat"), F.col("crs"))
+    moved = G.held(df, x=x, y=y)
+    a, b = G.unproject(F.col("x"), F.col("y"), F.col("crs"))
+    for r in moved.select("lon", "lat", "x", a.alias("a"), b.alias("b"), "crs").collect():
+        if r["crs"] in ("EPSG:9999", ""):
+            assert r["x"] is None
+        else:
+            assert abs(r["a"] - r["lon"]) < 1e-8 and abs(r["b"] - r["lat"]) < 1e-8
+    assert G.or_default("epsg:32756") == "EPSG:32756" and G.or_default("EPSG:9999") == G.or_default(None) == G.TARGET_CRS
+
+
+def test_fetch_uses_its_cache(spark, tmp_path):
+    cache = I.Cache(str(tmp_path), "b", "p")
+    header = ("s/a.tif", "EPSG:32755", 20, 20, 786000.0, 6680000.0, 100.0, -100.0)
+    asked = []
+
+    def read_headers(names):
+        asked.extend(r["name"] for r in names.collect())
+        return names.join(spark.createDataFrame([header], I.HEADERS), "name", "left").select(*[c.split()[0] for c in I.HEADERS.split(", ")])
+
+    pixels = spark.createDataFrame([("s/a.tif", r, c, [1]) for r in range(20) for c in range(20)], "tile string, row int, col int, embedding array<tinyint>")
+    target = G.Grid("t", "EPSG:32755", 4, 4, 786200.0, 50.0, 0.0, 6679900.0, 0.0, -50.0)
+    fetch = lambda url: {"items": [{"name": "s/a.tif"}]}
+    for headers in (1, 0):
+        got = I.fetch_year(spark, 2021, (149.9, -30.1, 149.99, -29.9), target, read_headers, lambda tiles: pixels, "b", "p", fetch, cache)
+        assert got.zones == ["55S"] and got.headers_read == headers and got.pixels.count() == 16
+    assert asked == ["s/a.tif"]
+
+
 def test_warp(spark):
     source = G.Grid("s", "", 4, 4, 0.0, 10.0, 0.0, 40.0, 0.0, -10.0)
     target = G.Grid("t", "", 2, 2, 0.0, 20.0, 0.0, 40.0, 0.0, -20.0)
