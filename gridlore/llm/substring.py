@@ -5,14 +5,17 @@ anywhere else.  Sorting all suffixes of the corpus in one order needs all text
 in one place, so the corpus is sharded first such that no repeat crosses shards:
 
 1. Each window has an anchor chosen by content alone (``anchors``); equal windows
-   have equal anchors.  The stretches of windows with one anchor are counted by
-   anchor gram and content.  A gram that occurs once has no repeated window; all
-   windows of a stretch that occurs twice are repeated.
-2. The distinct stretches of grams that have several are dealt out by gram, the
-   bytes of each from one document, which brings all equal windows together.
-   Each task sorts the suffixes of its stretches, packed together, by induced
-   sorting, computes the permuted common prefixes, and marks windows that share
-   ``window`` bytes with a neighbour.
+   have equal anchors at equal places.  The stretches of windows with one anchor
+   are counted by anchor gram and content.  A gram that occurs once has no
+   repeated window and goes no further.
+2. The distinct stretches of the other grams are dealt out by gram, the bytes of
+   each from one document, a stretch that occurs more than once as two, which
+   brings all equal windows together.  A gram with more than ``GRAM_BYTES`` is
+   dealt again, by the anchor's place in the window and by the window's last
+   bytes, in which equal windows agree as well.  Each task sorts the suffixes of
+   its stretches, packed together, by induced sorting, computes the permuted
+   common prefixes, and marks windows that share ``window`` bytes with a
+   neighbour; whatever is removed is found there.
 3. Marked spans go back to the documents that hold the stretches; texts that
    lose some of their bytes are read again and cut.
 
@@ -28,6 +31,7 @@ worked on whole, in overlapping pieces; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +44,9 @@ from . import kernels as K
 from .common import arrow_map, discard, grouped, stash
 
 BITMAP_BITS = 26
-PACK_BYTES = 2 << 20
-_BIG_GRAM = 16 << 20
+PACK_BYTES = 1 << 20
+#: bytes of the stretches of one gram beyond which it is dealt again
+GRAM_BYTES = 1 << 20
 
 
 def _unseen(batch: pa.RecordBatch, seen: dict[int, int], most: int) -> pa.RecordBatch:
@@ -93,7 +98,7 @@ def _short(key: np.ndarray) -> np.ndarray:
 
 
 def _grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """gram, content, n and least short key of the stretches of a batch, of equal texts the first two a task."""
+    """gram, content, n, least short key and size of the stretches of a batch, of equal texts the first two a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -105,10 +110,10 @@ def _grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 content = found.content[order]
                 first = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(order) else order
                 yield pa.RecordBatch.from_pydict(
-                    {"gram": found.gram[order][first].view(np.int64), "content": content[first].view(np.int64), "n": np.diff(np.append(first, len(order))).astype(np.int32), "short": key[order][first]}
+                    {"gram": found.gram[order][first].view(np.int64), "content": content[first].view(np.int64), "n": np.diff(np.append(first, len(order))).astype(np.int32), "short": key[order][first], "size": found.size[order][first].astype(np.int32)}
                 )
 
-    return arrow_map(texts, run, "gram long, content long, n int, short long")
+    return arrow_map(texts, run, "gram long, content long, n int, short long, size int")
 
 
 def _occurrences(texts: DataFrame, window: int, gram: int, live, chosen) -> DataFrame:
@@ -137,11 +142,12 @@ def _occurrences(texts: DataFrame, window: int, gram: int, live, chosen) -> Data
                         "size": pa.array(found.size[keep].astype(np.int32)),
                         "gram": pa.array(found.gram[keep].view(np.int64), mask=np.array([r is None for r in raw], dtype=bool)),
                         "content": content.view(np.int64),
+                        "anchor": pa.array(found.anchor[keep].astype(np.int32)),
                         "bytes": pa.array(raw, pa.binary()),
                     }
                 )
 
-    return arrow_map(texts, run, "key long, n_bytes long, first long, size int, gram long, content long, bytes binary")
+    return arrow_map(texts, run, "key long, n_bytes long, first long, size int, gram long, content long, anchor int, bytes binary")
 
 
 _SPANS = "content long, low array<int>, high array<int>"
@@ -153,23 +159,35 @@ def _spans_of(starts: np.ndarray, size: int, window: int) -> tuple[list[int], li
     return a.tolist(), b.tolist()
 
 
-def _windows_one_by_one(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For a gram with very many contents: repeated windows by the hash of one place in the stretches after another (all are aligned at the anchor by the caller)."""
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts) + bytes(8), dtype=np.uint8)
-    start = np.cumsum(size) - size
-    out: list[list[int]] = [[] for _ in texts]
-    rows, places, codes = [], [], []
-    for p in range(int(size.max()) - window + 1):
-        has = np.flatnonzero(size >= p + window)
-        codes.append(K.hash_spans(data, start[has] + p, start[has] + p + window))
-        rows.append(has)
-        places.append(np.full(len(has), p))
-    row, place, code = np.concatenate(rows), np.concatenate(places), np.concatenate(codes)
-    _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
-    for r, p in zip(row[times[inverse] > 1].tolist(), place[times[inverse] > 1].tolist()):
-        out[r].append(p)
-    return [np.array(x, dtype=np.int64) for x in out]
+_PIECES = "gram long, content long, shift int, n int, bytes binary"
+
+
+def _dealt_again(window: int, gram: int):
+    """Pieces of the stretches of crowded grams: windows whose anchor lies in the same part of them, under a gram of their own.
+
+    `ways` says into how many shards the gram goes: first by the place of the
+    anchor, as far as there are places, then, window by window, by its last bytes.
+    """
+    places = window - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("gram", "content", "shift", "n", "bytes")}
+            for code, content, anchor, n, ways, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "anchor", "n", "ways", "bytes"))):
+                parts, count = min(ways, places), len(raw) - window + 1
+                # the window that starts at w has its anchor at place anchor - w
+                part = (anchor - np.arange(count)) * parts // places
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), count]
+                for a, b in zip(cuts, cuts[1:]):
+                    piece = raw[a : b + window - 1]
+                    key = f"{code}:{parts}:{part[a]}".encode()
+                    if parts < ways:
+                        key += b":" + str(zlib.crc32(piece[-16:]) % -(-ways // places)).encode()
+                    for c, v in zip(out, (int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), content, a, n, piece)):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=list(out))
+
+    return run
 
 
 def _sort_shards(window: int, gram: int):
@@ -177,29 +195,32 @@ def _sort_shards(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
-        names: list[int] = []
+        names: list[tuple[int, int]] = []
         waiting = 0
 
-        def solved(texts, names, solve):
-            got = [(n, *_spans_of(at, len(t), window)) for n, t, at in zip(names, texts, solve(texts)) if len(at)]
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["content", "low", "high"])
+        def solved():
+            got = {}
+            for name, t, at in zip(names, texts, suffix.repeated(texts, window, most)):
+                if len(at):
+                    got[name] = [[x + name[1] for x in side] for side in _spans_of(at, len(t), window)]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([g[0] for g in got.values()], pa.list_(pa.int32())), pa.array([g[1] for g in got.values()], pa.list_(pa.int32()))], names=["content", "low", "high"])
 
         for _, rows in grouped(batches, "gram"):
-            whole = dict(zip(rows.column("content").to_pylist(), rows.column("bytes").to_pylist()))
-            if len(whole) < 2:
-                continue
-            own = sum(map(len, whole.values()))
-            if own > _BIG_GRAM:
-                yield solved(list(whole.values()), list(whole), lambda t: _windows_one_by_one(t, window))
+            whole: dict[tuple[int, int], tuple[bytes, int]] = {}
+            for c, shift, n, raw in zip(*(rows.column(c).to_pylist() for c in ("content", "shift", "n", "bytes"))):
+                whole[c, shift] = (raw, n)
+            if len(whole) < 2 and all(n < 2 for _, n in whole.values()):
                 continue
-            texts += whole.values()
-            names += whole
-            waiting += own
+            for name, (raw, n) in whole.items():
+                for _ in range(min(n, 2)):  # a stretch that occurs again is its own neighbour
+                    texts.append(raw)
+                    names.append(name)
+                    waiting += len(raw)
             if waiting > PACK_BYTES:
-                yield solved(texts, names, lambda t: suffix.repeated(t, window, most))
+                yield solved()
                 texts, names, waiting = [], [], 0
         if texts:
-            yield solved(texts, names, lambda t: suffix.repeated(t, window, most))
+            yield solved()
 
     return run
 
@@ -257,22 +278,29 @@ def removed(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     texts = keyed.select("key", "text")
-    counted = _grams(texts, window, gram).repartition("gram").groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min("short").alias("short"))
+    counted = _grams(texts, window, gram).repartition("gram").groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min("short").alias("short"), F.first("size").alias("size"))
     own = Window.partitionBy("gram")
-    counted = counted.withColumns({"contents": F.count("*").over(own), "total": F.sum("n").over(own)}).filter("total > 1").drop("total")
-    counted = stash(counted, "counted")
+    ways = F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") * F.least(F.col("n"), F.lit(2))).over(own) / GRAM_BYTES)).cast("int")
+    counted = counted.withColumns({"total": F.sum("n").over(own), "ways": ways}).filter("total > 1").drop("total", "size")
+    counted = stash(counted.withColumn("n", F.least("n", F.lit(2)).cast("int")), "counted")
     share = spark.sparkContext.broadcast
     live = share(_bitmap(counted.select(F.col("gram").alias("h"))))
-    chosen = share(_bitmap(counted.filter("contents > 1").select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
+    chosen = share(_bitmap(counted.select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
     found = stash(_occurrences(texts, window, gram, live, chosen), "stretches")
-    shards = found.filter("bytes IS NOT NULL").select("gram", "content", "bytes").repartition("gram").sortWithinPartitions("gram")
+    # one row for the bytes of a content, wherever it was met, and for how often it occurs
+    met = found.filter("bytes IS NOT NULL").select("gram", "content", "anchor", "bytes", F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("ways"))
+    known = counted.select("gram", "content", F.lit(None).cast("int").alias("anchor"), F.lit(None).cast("binary").alias("bytes"), "n", "ways")
+    joined = met.unionByName(known).repartition("gram").groupBy("gram", "content").agg(*(F.max(c).alias(c) for c in ("anchor", "n", "ways", "bytes"))).filter("n IS NOT NULL AND bytes IS NOT NULL")
+    joined = stash(joined, "shards")
+    plain = joined.filter("ways = 1").select("gram", "content", F.lit(0).alias("shift"), "n", "bytes")
+    again = arrow_map(joined.filter("ways > 1"), _dealt_again(window, gram), _PIECES)
+    shards = plain.unionByName(again).repartition("gram").sortWithinPartitions("gram")
     sorted_out = arrow_map(shards, _sort_shards(window, gram), _SPANS)
-    twice = counted.filter("n > 1").select("content", F.array(F.lit(0)).alias("low"), F.lit(None).cast("array<int>").alias("high"))
-    places = found.select("key", "n_bytes", "first", "size", "content").join(twice.unionByName(sorted_out), "content")
-    places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", F.coalesce("high", F.array("size")).alias("high"))).alias("x"))
+    places = found.select("key", "n_bytes", "first", "content").join(sorted_out, "content")
+    places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", "high")).alias("x"))
     spans = places.groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.collect_set(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("s"))
     spans = stash(_merged(spans.select("key", "n_bytes", "s.low", "s.high")), "spans")
-    discard(found, counted)
+    discard(found, counted, joined)
     partly = spans.filter("NOT whole")
     cut = _cut(_only(texts, share(_bitmap(partly.select(F.col("key").alias("h"))))).dropDuplicates(["key"]).join(partly, "key"))
     nothing = hashlib.sha256(b"").hexdigest()

@@ -1,8 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Texts are byte strings put one after another: symbol 0 ends the whole, 1 each
 text, byte b is b + 2.  Buckets are induced one symbol at a time, each as a few
-array operations, so the work is linear with a small constant.
+array operations in numpy.  The names of the leftmost-smaller substrings have an
+alphabet as large as their string, where buckets hold an item or two, so that
+string is sorted by the same induction item by item, and its own names in turn,
+until all are distinct.  All levels are linear.
 """
 
 from __future__ import annotations
@@ -87,29 +90,81 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of a string of names; only what is still tied is sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    ordered = names[order]
-    new = np.ones(n, dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    tied, k = order[~(new & np.append(new[1:], True))], 1
-    while len(tied):
-        ahead = tied + k
-        key = rank[tied] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        tied, key = tied[order], key[order]
-        old = rank[tied]
-        here = np.arange(len(tied))
-        group, sub = np.ones(len(tied), dtype=bool), np.ones(len(tied), dtype=bool)
-        group[1:], sub[1:] = old[1:] != old[:-1], key[1:] != key[:-1]
-        rank[tied] = old + np.maximum.accumulate(np.where(sub, here, 0)) - np.maximum.accumulate(np.where(group, here, 0))
-        tied = tied[~(sub & np.append(sub[1:], True))]
-        k *= 2
-    return rank
+def _order_of(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names (below their number) whose last is the only least.
+
+    A name that occurs once settles every comparison that reaches it, so only
+    names that occur again, and the one after each, go into the recursion.
+    """
+    often = np.bincount(names)[names] > 1
+    if not often.any():
+        return np.argsort(names, kind="stable")
+    keep = often.copy()
+    keep[1:] |= often[:-1]
+    kept = np.flatnonzero(keep)
+    inner = np.unique(names[kept], return_inverse=True)[1] + 1
+    rank = np.empty(len(kept), dtype=np.int64)
+    rank[np.array(_induced([*inner.tolist(), 0], int(inner.max()) + 1)[1:], dtype=np.int64)] = np.arange(len(kept))
+    second = np.zeros(len(names), dtype=np.int64)
+    second[kept] = rank
+    return np.lexsort((second, names))
+
+
+def _induced(s: list[int], symbols: int) -> list[int]:
+    """The suffix array of a list of numbers below `symbols` that ends with the only 0, by recursive induced sorting."""
+    n = len(s)
+    if n < 3:
+        return sorted(range(n), key=lambda i: s[i:])
+    small = bytearray(n)
+    small[n - 1] = 1
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    count = [0] * symbols
+    for x in s:
+        count[x] += 1
+    starts, ends, total = [0] * symbols, [0] * symbols, 0
+    for x, k in enumerate(count):
+        starts[x] = total
+        total += k
+        ends[x] = total
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+
+    def induce(order: list[int]) -> list[int]:
+        sa = [-1] * n
+        tail = ends[:]
+        for i in reversed(order):
+            tail[s[i]] -= 1
+            sa[tail[s[i]]] = i
+        head = starts[:]
+        for i in sa:  # grows as it is read
+            if i > 0 and not small[i - 1]:
+                x = s[i - 1]
+                sa[head[x]] = i - 1
+                head[x] += 1
+        tail = ends[:]
+        for k in range(n - 1, -1, -1):
+            i = sa[k]
+            if i > 0 and small[i - 1]:
+                x = s[i - 1]
+                tail[x] -= 1
+                sa[tail[x]] = i - 1
+        return sa
+
+    if len(lms) > 1:
+        until = dict(zip(lms, lms[1:]))
+        name, last, names = -1, None, {}
+        for i in induce(lms):
+            if i and small[i] and not small[i - 1]:
+                end = until.get(i)
+                piece = s[i : end + 1] if end is not None else None
+                if piece is None or piece != last:
+                    name += 1
+                names[i], last = name, piece
+        if name + 1 < len(lms):
+            lms = [lms[k] for k in _induced([names[i] for i in lms], name + 1)]
+        else:
+            lms = sorted(lms, key=names.__getitem__)
+    return induce(lms)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -133,7 +188,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         differ[1:] = code[1:] != code[:-1]
         names = np.empty(len(lms), dtype=np.int64)
         names[index[ordered]] = np.cumsum(differ) - 1
-        lms = lms[np.argsort(_by_doubling(names), kind="stable")] if differ.sum() < len(lms) else ordered
+        lms = lms[_order_of(names)] if differ.sum() < len(lms) else ordered
     return _induce(s, small, lms)
 
 
