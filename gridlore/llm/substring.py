@@ -7,15 +7,14 @@ in one place, so the corpus is sharded first such that no repeat crosses shards:
 1. Each window has an anchor chosen by content alone (``anchors``); equal windows
    have equal anchors at equal places.  The stretches of windows with one anchor
    are counted by anchor gram and content.  A gram that occurs once has no
-   repeated window and goes no further.
-2. The distinct stretches of the other grams are dealt out by gram, the bytes of
-   each from one document, a stretch that occurs more than once as two, which
-   brings all equal windows together.  A gram with more than ``GRAM_BYTES`` is
+   repeated window; all windows of a stretch that occurs twice are repeated.
+2. The distinct stretches of grams that have several are dealt out by gram, the
+   bytes of each from one document, which brings all equal windows together.  A gram with more than ``GRAM_BYTES`` is
    dealt again, by the anchor's place in the window and by the window's last
    bytes, in which equal windows agree as well.  Each task sorts the suffixes of
    its stretches, packed together, by induced sorting, computes the permuted
    common prefixes, and marks windows that share ``window`` bytes with a
-   neighbour; whatever is removed is found there.
+   neighbour.
 3. Marked spans go back to the documents that hold the stretches; texts that
    lose some of their bytes are read again and cut.
 
@@ -159,7 +158,7 @@ def _spans_of(starts: np.ndarray, size: int, window: int) -> tuple[list[int], li
     return a.tolist(), b.tolist()
 
 
-_PIECES = "gram long, content long, shift int, n int, bytes binary"
+_PIECES = "gram long, content long, shift int, bytes binary"
 
 
 def _dealt_again(window: int, gram: int):
@@ -172,8 +171,8 @@ def _dealt_again(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("gram", "content", "shift", "n", "bytes")}
-            for code, content, anchor, n, ways, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "anchor", "n", "ways", "bytes"))):
+            out: dict[str, list] = {c: [] for c in ("gram", "content", "shift", "bytes")}
+            for code, content, anchor, ways, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "anchor", "ways", "bytes"))):
                 parts, count = min(ways, places), len(raw) - window + 1
                 # the window that starts at w has its anchor at place anchor - w
                 part = (anchor - np.arange(count)) * parts // places
@@ -183,9 +182,9 @@ def _dealt_again(window: int, gram: int):
                     key = f"{code}:{parts}:{part[a]}".encode()
                     if parts < ways:
                         key += b":" + str(zlib.crc32(piece[-16:]) % -(-ways // places)).encode()
-                    for c, v in zip(out, (int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), content, a, n, piece)):
+                    for c, v in zip(out, (int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), content, a, piece)):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=list(out))
 
     return run
 
@@ -206,16 +205,12 @@ def _sort_shards(window: int, gram: int):
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([g[0] for g in got.values()], pa.list_(pa.int32())), pa.array([g[1] for g in got.values()], pa.list_(pa.int32()))], names=["content", "low", "high"])
 
         for _, rows in grouped(batches, "gram"):
-            whole: dict[tuple[int, int], tuple[bytes, int]] = {}
-            for c, shift, n, raw in zip(*(rows.column(c).to_pylist() for c in ("content", "shift", "n", "bytes"))):
-                whole[c, shift] = (raw, n)
-            if len(whole) < 2 and all(n < 2 for _, n in whole.values()):
+            whole = dict(zip(zip(rows.column("content").to_pylist(), rows.column("shift").to_pylist()), rows.column("bytes").to_pylist()))
+            if len(whole) < 2:
                 continue
-            for name, (raw, n) in whole.items():
-                for _ in range(min(n, 2)):  # a stretch that occurs again is its own neighbour
-                    texts.append(raw)
-                    names.append(name)
-                    waiting += len(raw)
+            texts += whole.values()
+            names += whole
+            waiting += sum(map(len, whole.values()))
             if waiting > PACK_BYTES:
                 yield solved()
                 texts, names, waiting = [], [], 0
@@ -280,24 +275,25 @@ def removed(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
     texts = keyed.select("key", "text")
     counted = _grams(texts, window, gram).repartition("gram").groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min("short").alias("short"), F.first("size").alias("size"))
     own = Window.partitionBy("gram")
-    ways = F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") * F.least(F.col("n"), F.lit(2))).over(own) / GRAM_BYTES)).cast("int")
-    counted = counted.withColumns({"total": F.sum("n").over(own), "ways": ways}).filter("total > 1").drop("total", "size")
-    counted = stash(counted.withColumn("n", F.least("n", F.lit(2)).cast("int")), "counted")
+    ways = F.greatest(F.lit(1), F.ceil(F.sum("size").over(own) / GRAM_BYTES)).cast("int")
+    counted = counted.withColumns({"contents": F.count("*").over(own), "total": F.sum("n").over(own), "ways": ways}).filter("total > 1").drop("total", "size")
+    counted = stash(counted, "counted")
     share = spark.sparkContext.broadcast
     live = share(_bitmap(counted.select(F.col("gram").alias("h"))))
-    chosen = share(_bitmap(counted.select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
+    chosen = share(_bitmap(counted.filter("contents > 1").select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
     found = stash(_occurrences(texts, window, gram, live, chosen), "stretches")
-    # one row for the bytes of a content, wherever it was met, and for how often it occurs
-    met = found.filter("bytes IS NOT NULL").select("gram", "content", "anchor", "bytes", F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("ways"))
-    known = counted.select("gram", "content", F.lit(None).cast("int").alias("anchor"), F.lit(None).cast("binary").alias("bytes"), "n", "ways")
-    joined = met.unionByName(known).repartition("gram").groupBy("gram", "content").agg(*(F.max(c).alias(c) for c in ("anchor", "n", "ways", "bytes"))).filter("n IS NOT NULL AND bytes IS NOT NULL")
+    # one row for the bytes of a content, wherever it was met, and into how many shards its gram goes
+    met = found.filter("bytes IS NOT NULL").select("gram", "content", "anchor", "bytes", F.lit(None).cast("int").alias("ways"))
+    known = counted.filter("contents > 1").select("gram", "content", F.lit(None).cast("int").alias("anchor"), F.lit(None).cast("binary").alias("bytes"), "ways")
+    joined = met.unionByName(known).repartition("gram").groupBy("gram", "content").agg(*(F.max(c).alias(c) for c in ("anchor", "ways", "bytes"))).filter("ways IS NOT NULL AND bytes IS NOT NULL")
     joined = stash(joined, "shards")
-    plain = joined.filter("ways = 1").select("gram", "content", F.lit(0).alias("shift"), "n", "bytes")
+    plain = joined.filter("ways = 1").select("gram", "content", F.lit(0).alias("shift"), "bytes")
     again = arrow_map(joined.filter("ways > 1"), _dealt_again(window, gram), _PIECES)
     shards = plain.unionByName(again).repartition("gram").sortWithinPartitions("gram")
     sorted_out = arrow_map(shards, _sort_shards(window, gram), _SPANS)
-    places = found.select("key", "n_bytes", "first", "content").join(sorted_out, "content")
-    places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", "high")).alias("x"))
+    twice = counted.filter("n > 1").select("content", F.array(F.lit(0)).alias("low"), F.lit(None).cast("array<int>").alias("high"))
+    places = found.select("key", "n_bytes", "first", "size", "content").join(twice.unionByName(sorted_out), "content")
+    places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", F.coalesce("high", F.array("size")).alias("high"))).alias("x"))
     spans = places.groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.collect_set(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("s"))
     spans = stash(_merged(spans.select("key", "n_bytes", "s.low", "s.high")), "spans")
     discard(found, counted, joined)

@@ -300,9 +300,10 @@ def test_repeated_strings_of_crowded_grams(spark, monkeypatch, most):
     assert sorted_rows(substring.removed(docs(spark, rows), 24, 8), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
     if most == 300:
         assert substring.removed(empty(spark)).count() == 0
-        # all that is removed comes out of the sorted shards: without them nothing is
+        # what is not a stretch that occurs twice comes out of the sorted shards
         monkeypatch.setattr(substring, "_sort_shards", lambda window, gram: lambda batches: (b.slice(0, 0).select(["content"]) for b in batches if False))
-        assert substring.removed(docs(spark, rows), 24, 8).filter("n_removed > 0").count() == 0
+        less = substring.removed(docs(spark, rows), 24, 8).agg(F.sum("n_removed")).first()[0]
+        assert 0 < less < sum(x[2] for x in expected)
 
 
 # ------------------------------------------------------------------ 7
