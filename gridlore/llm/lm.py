@@ -1,8 +1,8 @@
 """Hidden Markov language model: Baum-Welch across partitions, exact scaled forward scoring.
 
 Tokens are the words of a text and one end.  Every training word is counted
-over the whole corpus.  The ``OWN`` most frequent words are symbols of their
-own; any other word is a symbol for its ending (``TAILS`` of them) and then,
+over the whole corpus.  The ``own`` most frequent words are symbols of their
+own (a parameter; the number of states' sums grows with it); any other word is a symbol for its ending (``TAILS`` of them) and then,
 within it, itself with probability (c + 1) / (N + V + 1) of the ending's words.
 Latent states emit symbols; each Baum-Welch pass reads all training documents,
 adds expected counts up in tasks, and the driver gets a fixed number of sums.
@@ -96,10 +96,11 @@ class Vocabulary:
     distinct: int  # V
     weight: np.ndarray  # training tokens of each symbol
     inside: np.ndarray  # log10 of N + V + 1 of each ending, 0 for words of their own
+    own: int  # words that are symbols of their own
 
     @property
     def end(self) -> int:
-        return OWN + TAILS
+        return self.own + TAILS
 
     def __post_init__(self):
         # where the known hashes of each of 2 ** 20 leading parts begin, so that a search is a step or two
@@ -126,39 +127,39 @@ class Vocabulary:
         symbol, count = np.empty(len(h), dtype=np.int64), np.full(len(h), -1, dtype=np.int64)
         symbol[there], count[there] = self.symbol[at[there]], self.counts[at[there]]
         rest = np.flatnonzero(~there)
-        symbol[rest] = OWN + _tail(words, rest)
+        symbol[rest] = self.own + _tail(words, rest)
         return symbol, count
 
 
-def vocabulary(counts: DataFrame, n_train: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, n_train: int, own: int = OWN) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     # the counts from which on no more than KNOWN words are left, by a histogram of a few thousand rows at most
     level = F.floor(64 * F.log2(F.col("c"))).cast("int")
-    least, many = 0, 0
+    # all words of the levels that fit, and of the first that does not a share, by their hash: about KNOWN words whatever their counts
+    cut, many, share = -1, 0, 0.0
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        many += r["count"]
-        if many > KNOWN:
+        if many + r["count"] > KNOWN:
+            cut, share = r["level"], (KNOWN - many) / r["count"]
             break
-        least = r["level"]
-    else:
-        least = 0
-    top = counts.filter(level >= least).toArrow() if many <= KNOWN or least else counts.limit(0).toArrow()
+        many += r["count"]
+    lot = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20))
+    top = counts.filter((level > cut) | ((level == cut) & lot)).toArrow()
     h, tail, c = (top.column(x).to_numpy() for x in ("h", "tail", "c"))
     order = np.lexsort((h, -c))
     h, tail, c = h[order], tail[order], c[order]
-    symbol = np.where(np.arange(len(h)) < OWN, np.arange(len(h)), OWN + tail.astype(np.int64))
-    weight, kinds = np.zeros(OWN + TAILS + 1, dtype=np.int64), np.zeros(OWN + TAILS + 1, dtype=np.int64)
+    symbol = np.where(np.arange(len(h)) < own, np.arange(len(h)), own + tail.astype(np.int64))
+    weight, kinds = np.zeros(own + TAILS + 1, dtype=np.int64), np.zeros(own + TAILS + 1, dtype=np.int64)
     for r in counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most TAILS
-        weight[OWN + r["tail"]], kinds[OWN + r["tail"]] = r["n"], r["v"]
-    own = min(OWN, len(h))
-    np.subtract.at(weight, OWN + tail[:own], c[:own])
-    np.subtract.at(kinds, OWN + tail[:own], 1)
-    weight[:own], weight[-1] = c[:own], n_train
-    inside = np.zeros(OWN + TAILS + 1)
-    inside[OWN:-1] = np.log10(weight[OWN:-1] + kinds[OWN:-1] + 1)
+        weight[own + r["tail"]], kinds[own + r["tail"]] = r["n"], r["v"]
+    first = min(own, len(h))
+    np.subtract.at(weight, own + tail[:first], c[:first])
+    np.subtract.at(kinds, own + tail[:first], 1)
+    weight[:first], weight[-1] = c[:first], n_train
+    inside = np.zeros(own + TAILS + 1)
+    inside[own:-1] = np.log10(weight[own:-1] + kinds[own:-1] + 1)
     h = h.view(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(h[order], c[order], symbol[order], n_train, int(total["n"] or 0) + n_train, int(total["v"]) + (n_train > 0), weight, inside)
+    return Vocabulary(h[order], c[order], symbol[order], n_train, int(total["n"] or 0) + n_train, int(total["v"]) + (n_train > 0), weight, inside, own)
 
 
 @dataclass
@@ -243,12 +244,14 @@ def _sequences(texts: pa.Array, vocab: Vocabulary):
 
 
 _PIECE = 4096
+#: expected counts are added as whole numbers of this part of one, so that the order of tasks does not matter; 10 ** 13 tokens fit
+_UNIT = float(1 << 18)
 
 
 def baum_welch(train: DataFrame, vocab: Vocabulary, states: int = 8, passes: int = 4, seed: int = 11, prior_tokens: float = 200.0) -> Model:
     """Baum-Welch passes over all training documents."""
     spark = train.sparkSession
-    model, symbols = first_guess(vocab, states, seed), OWN + TAILS + 1
+    model, symbols = first_guess(vocab, states, seed), vocab.own + TAILS + 1
     shared_vocab = spark.sparkContext.broadcast(vocab)
     prior = (vocab.weight + 1) / (vocab.weight + 1).sum()
     schema = "piece long, sums binary"
@@ -265,20 +268,20 @@ def baum_welch(train: DataFrame, vocab: Vocabulary, states: int = 8, passes: int
                     total += np.concatenate((start, move.ravel(), emit.ravel()))
             if total.any():
                 for i in range(0, len(total), _PIECE):
-                    yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int64()), "sums": pa.array([total[i : i + _PIECE].astype("<f8").tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int64()), "sums": pa.array([np.rint(total[i : i + _PIECE] * _UNIT).astype("<i8").tobytes()], pa.binary())})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
             for batch in batches:
                 for i, raw in zip(batch.column("piece").to_pylist(), batch.column("sums").to_pylist()):
-                    held[i] = held.get(i, 0.0) + np.frombuffer(raw, dtype="<f8")
+                    held[i] = held.get(i, 0) + np.frombuffer(raw, dtype="<i8")
             for i, x in held.items():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int64()), "sums": pa.array([x.tobytes()], pa.binary())})
 
         rows = arrow_map(arrow_map(train.select("text"), run, schema).repartition(16, "piece"), add, schema).toArrow()
         total = np.zeros(states + states * states + states * symbols)
         for i, raw in zip(rows.column("piece").to_pylist(), rows.column("sums").to_pylist()):
-            total[i : i + _PIECE] = np.frombuffer(raw, dtype="<f8")
+            total[i : i + _PIECE] = np.frombuffer(raw, dtype="<i8") / _UNIT
         shared.unpersist()
         start, move, emit = total[:states] + 1, total[states : states + states * states].reshape(states, states) + 1, total[states + states * states :].reshape(states, symbols) + prior_tokens * prior
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
@@ -316,7 +319,7 @@ def _score(docs: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([next(ids) for _ in range(n)], pa.int64()), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(add(count > 0).astype(np.int64) + int(voc.end_count > 0)), pa.array(add(logs) + np.log10(voc.end_count + 1.0)), pa.array(add(np.where(symbol >= OWN, logs, 0.0))),
+                        pa.array(add(count > 0).astype(np.int64) + int(voc.end_count > 0)), pa.array(add(logs) + np.log10(voc.end_count + 1.0)), pa.array(add(np.where(symbol >= voc.own, logs, 0.0))),
                         pa.array(np.add.reduceat(per_token, bounds[:-1]) if n else np.zeros(0)), pa.ListArray.from_arrays(cut, pa.array(key[1][at])), pa.ListArray.from_arrays(cut, pa.array(times)),
                     ],
                     names=[x.split()[0] for x in _SCORED.split(", ")],
@@ -325,12 +328,12 @@ def _score(docs: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     return arrow_map(docs, run, _SCORED)
 
 
-def scores(docs: DataFrame, states: int = 8, passes: int = 4) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
+def scores(docs: DataFrame, states: int = 8, passes: int = 4, own: int = OWN) -> DataFrame:
+    """own: words that states emit themselves.  doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
     texts = _prepared(docs)
     train = texts.filter("NOT held_out")
     counts = stash(count_words(train), "counts")
-    vocab = vocabulary(counts, train.count())
+    vocab = vocabulary(counts, train.count(), own)
     model = baum_welch(train, vocab, states, passes)
     scored = stash(_score(texts, vocab, model), "scored")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))

@@ -108,7 +108,7 @@ def test_language_model_counts_and_base(spark):
     counts = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
     n, v = sum(counts.values()), len(counts)
     expected = sorted(((i, h, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 5)) for (i, *_), ws, h in zip(ROWS, tokens, held)), key=repr)
-    for known in (lm.KNOWN, 50):
+    for known in (lm.KNOWN, 50, 1):
         lm.KNOWN, before = known, lm.KNOWN
         try:
             got = lm.scores(docs(spark), states=3, passes=2).withColumn("base", F.round("base_score", 5)).persist()
@@ -514,3 +514,41 @@ def test_quality_counts_and_verdict(spark):
     assert quality.judge(empty(spark)).count() == 0 and quality.keep(empty(spark)).count() == 0
     measured = quality.measure(docs(spark, rows))
     assert all(m.cost > 0 and 0 <= m.selectivity <= 1 for m in measured)
+
+
+def test_score_against_brute_force_and_sums_to_one(spark):
+    """The score end to end from the trained model, by plain loops; and all words, the unknown ones as one more each ending, sum to one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}{'ab'[i % 2]}" for x in rng.geometric(0.2, int(rng.integers(0, 30)))), "", "") for i in range(60)]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in lm.scores(df, states=2, passes=2, own=6).collect()}
+    train = lm._prepared(df).filter("NOT held_out")
+    counts = lm.count_words(train)
+    vocab = lm.vocabulary(counts, train.count(), 6)
+    model = lm.baum_welch(train, vocab, 2, 2)
+    again = lm.baum_welch(train.repartition(7), vocab, 2, 2)
+    assert np.allclose(model.emit, again.emit, atol=1e-6) and np.allclose(model.move, again.move, atol=1e-6)
+    held = {r["h"]: (r["tail"], r["c"]) for r in counts.collect()}
+
+    def tokens(text):
+        import pyarrow as pa
+
+        words, h = lm._split(pa.array([text]))
+        symbol, _ = vocab.symbols(words, h)
+        inside = [1.0 if s < vocab.own else (held.get(int(x), (0, 0))[1] + 1) / 10 ** vocab.inside[s] for s, x in zip(symbol, h)]
+        return [*zip(symbol.tolist(), inside), (vocab.end, 1.0)]
+
+    for i, text, *_ in rows:
+        now = None
+        total = 0.0
+        for s, inside in tokens(text):
+            now = [(model.start[k] if now is None else sum(now[j] * model.move[j, k] for j in range(2))) * model.emit[k, s] for k in range(2)]
+            total += math.log10(sum(now)) + math.log10(inside)
+            now = [x / sum(now) for x in now]
+        assert got[i] == pytest.approx(total, abs=1e-6)
+    # within an ending: its words of no own symbol at (c + 1) each, and one that was never seen, over N + V + 1
+    own = set(vocab.known[vocab.symbol < vocab.own].view(np.int64).tolist())
+    for tail in {t for t, _ in held.values()}:
+        mass = sum(c + 1 for h, (t, c) in held.items() if t == tail and h not in own) + 1
+        assert mass / 10 ** vocab.inside[vocab.own + tail] == pytest.approx(1)
+    assert np.allclose(model.emit.sum(axis=1), 1) and np.allclose(model.move.sum(axis=1), 1)
