@@ -4,8 +4,8 @@ Counted as part of the training-data subpackage.  Every stage takes (spark, docs
 sf_dir) and works on all rows of docs, the Parquet that the stage before it
 wrote.  All but the last return the columns of documents; the last returns, read
 back from the packed files, doc_id, start, n_tokens and ids_crc32 of every row of
-the mix.  Texts of a null id are never near duplicates of a named group's
-representative that would replace them: they stay.  An empty table stays empty.
+the mix.  Of a group of near duplicates the least id stays, a row without an id
+only if none of the group has one.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlore.llm import jaccard, mixing, packing, quality, winnow
-from gridlore.llm.common import stash, table
+from gridlore.llm.common import discard, stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        discard(before)  # what a stage wrote goes once the next has read it
     return docs
 
 
