@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import anchors, suffix
 from . import kernels as K
-from .common import arrow_map, discard, grouped, stash
+from .common import arrow_map, discard, grouped, lean, stash
 
 BITMAP_BITS = 26
 PACK_BYTES = 1 << 20
@@ -282,13 +282,10 @@ def removed(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
     live = share(_bitmap(counted.select(F.col("gram").alias("h"))))
     chosen = share(_bitmap(counted.filter("contents > 1").select(F.col("content").bitwiseXOR(F.col("short")).alias("h"))))
     found = stash(_occurrences(texts, window, gram, live, chosen), "stretches")
-    # one row for the bytes of a content, wherever it was met, and into how many shards its gram goes
-    met = found.filter("bytes IS NOT NULL").select("gram", "content", "anchor", "bytes", F.lit(None).cast("int").alias("ways"))
-    known = counted.filter("contents > 1").select("gram", "content", F.lit(None).cast("int").alias("anchor"), F.lit(None).cast("binary").alias("bytes"), "ways")
-    joined = met.unionByName(known).repartition("gram").groupBy("gram", "content").agg(*(F.max(c).alias(c) for c in ("anchor", "ways", "bytes"))).filter("ways IS NOT NULL AND bytes IS NOT NULL")
-    joined = stash(joined, "shards")
-    plain = joined.filter("ways = 1").select("gram", "content", F.lit(0).alias("shift"), "bytes")
-    again = arrow_map(joined.filter("ways > 1"), _dealt_again(window, gram), _PIECES)
+    crowded = lean(counted.filter("ways > 1 AND contents > 1").select("gram", "ways").distinct(), "crowded")
+    met = found.filter("bytes IS NOT NULL").select("gram", "content", "anchor", "bytes").join(crowded, "gram", "left")
+    plain = met.filter("ways IS NULL").select("gram", "content", F.lit(0).alias("shift"), "bytes")
+    again = arrow_map(met.filter("ways IS NOT NULL"), _dealt_again(window, gram), _PIECES)
     shards = plain.unionByName(again).repartition("gram").sortWithinPartitions("gram")
     sorted_out = arrow_map(shards, _sort_shards(window, gram), _SPANS)
     twice = counted.filter("n > 1").select("content", F.array(F.lit(0)).alias("low"), F.lit(None).cast("array<int>").alias("high"))
@@ -296,7 +293,7 @@ def removed(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
     places = places.select("key", "n_bytes", "first", F.explode(F.arrays_zip("low", F.coalesce("high", F.array("size")).alias("high"))).alias("x"))
     spans = places.groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.collect_set(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("s"))
     spans = stash(_merged(spans.select("key", "n_bytes", "s.low", "s.high")), "spans")
-    discard(found, counted, joined)
+    discard(found, counted, crowded)
     partly = spans.filter("NOT whole")
     cut = _cut(_only(texts, share(_bitmap(partly.select(F.col("key").alias("h"))))).dropDuplicates(["key"]).join(partly, "key"))
     nothing = hashlib.sha256(b"").hexdigest()
