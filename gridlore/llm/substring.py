@@ -43,9 +43,9 @@ from . import kernels as K
 from .common import arrow_map, discard, grouped, lean, stash
 
 BITMAP_BITS = 26
-PACK_BYTES = 1 << 20
+PACK_BYTES = 2 << 20
 #: bytes of the stretches of one gram beyond which it is dealt again
-GRAM_BYTES = 1 << 20
+GRAM_BYTES = 16 << 20
 
 
 def _unseen(batch: pa.RecordBatch, seen: dict[int, int], most: int) -> pa.RecordBatch:
