@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,7 +195,9 @@ def subsample(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = ("gri
 def kmeans(sample: DataFrame, k: int, seed: int = 42, restarts: int = 10):
     """The model of least cost of several seeds."""
     rows = M.features(sample).select("features").persist()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="code").fit(rows) for i in range(restarts)]
+    fit = inheritable_thread_target(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="code").fit(rows))
+    with ThreadPoolExecutor(4) as pool:  # the fits of small samples are mostly waiting for jobs
+        fits = list(pool.map(fit, range(restarts)))
     rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 

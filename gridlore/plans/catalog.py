@@ -710,38 +710,101 @@ def _samples(spark, sf) -> DataFrame:
 
 @query()
 def classify_rf(spark, sf):
-    fitted = M.fit_classifier(_samples(spark, sf), n_estimators=20, max_depth=8)
+    fitted = M.fit_classifier(_samples(spark, sf))
     return M.classify(pixels(spark, sf), fitted, confidence=True).select("vec_id", "code", "label", "confidence")
 
 
 @query()
 def classify_gbt(spark, sf):
     s = _samples(spark, sf).withColumn("label", F.col("label") % 2)
-    return M.classify(one_year(spark, sf).drop("label"), M.fit_classifier(s, algorithm="gb", n_estimators=5), confidence=True).select("vec_id", "code", "confidence")
+    return M.classify(one_year(spark, sf).drop("label"), M.fit_classifier(s, algorithm="gb"), confidence=True).select("vec_id", "code", "confidence")
 
 
 @query()
 def regress_rf(spark, sf):
-    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf), n_estimators=20, max_depth=8)).select("vec_id", "value")
+    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf))).select("vec_id", "value")
 
 
 @query()
 def regress_gbt(spark, sf):
-    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf), algorithm="gb", n_estimators=5)).select("vec_id", "value")
+    return M.regress(one_year(spark, sf), M.fit_regressor(_samples(spark, sf), algorithm="gb")).select("vec_id", "value")
 
 
 @query()
 def cluster_kmeans(spark, sf):
-    return M.cluster(one_year(spark, sf), 6, restarts=2)[0].select("vec_id", "code")
+    return M.cluster(one_year(spark, sf))[0].select("vec_id", "code")
 
 
 @query()
 def cluster_auto_k(spark, sf):
-    k, scores = M.choose_k(one_year(spark, sf), 2, 4, restarts=1)
+    k, scores = M.choose_k(one_year(spark, sf))
     return spark.createDataFrame([(n, s, n == k) for n, s in scores], "k int, silhouette double, chosen boolean")
 
 
 @query()
 def classify_over_years(spark, sf):
-    out = M.classify_years(pixels(spark, sf).drop("label"), [2019, 2021], _samples(spark, sf), transition=True, changed=True, n_estimators=10, max_depth=6)
+    out = M.classify_years(pixels(spark, sf).drop("label"), [2019, 2021], _samples(spark, sf), transition=True, changed=True)
     return out["transition"].join(out["changed"], list(PIXEL)).select("row", "col", "transition", "changed")
+
+
+# ------------------------------------------------------------------ learning where the answer is known: vectors that tell their class
+
+
+def _told(df: DataFrame, classes: int, apart: float = 10.0) -> DataFrame:
+    """Vectors of as many bands as classes: a tenth of their own first bands, and `apart` more in the band of their class, label % classes."""
+    own = lambda b: F.get("embedding", F.lit(b)).cast("double") * 0.1
+    bands = [own(b) + F.when(F.col("label") % classes == b, apart).otherwise(0.0) for b in range(classes)]
+    return df.withColumn("embedding", F.array(*bands)).withColumn("label", F.col("label") % classes)
+
+
+@query(" SELECT vec_id, (label % 3)::INT AS code, (label % 3)::INT AS label FROM p")
+def classify_rf_told(spark, sf):
+    fitted = M.fit_classifier(_told(_samples(spark, sf), 3))
+    return M.classify(_told(pixels(spark, sf), 3).drop("label"), fitted).select("vec_id", "code", "label")
+
+
+@query(" SELECT vec_id, (label % 2)::INT AS code, (label % 2)::INT AS label FROM p")
+def classify_gbt_told(spark, sf):
+    fitted = M.fit_classifier(_told(_samples(spark, sf), 2), algorithm="gb", n_estimators=10)
+    return M.classify(_told(pixels(spark, sf), 2).drop("label"), fitted).select("vec_id", "code", "label")
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """Vectors of two equal bands, the value label % 3."""
+    return df.withColumn("embedding", F.array(*[(F.col("label") % 3).cast("double")] * 2)).withColumn("label", F.col("label") % 3)
+
+
+@query(" SELECT vec_id, (label % 3)::DOUBLE AS value FROM p")
+def regress_rf_told(spark, sf):
+    return M.regress(_apart(pixels(spark, sf)), M.fit_regressor(_apart(_samples(spark, sf)))).select("vec_id", _r("value").alias("value"))
+
+
+@query(" SELECT vec_id, (label % 3)::DOUBLE AS value FROM p")
+def regress_gbt_told(spark, sf):
+    fitted = M.fit_regressor(_apart(_samples(spark, sf)), algorithm="gb", n_estimators=10)
+    return M.regress(_apart(pixels(spark, sf)), fitted).select("vec_id", _r("value").alias("value"))
+
+
+@query(" SELECT vec_id, min(vec_id) OVER (PARTITION BY label % 4) AS first_id FROM p WHERE year = 2021")
+def cluster_told(spark, sf):
+    """Each pixel with the least id of its cluster."""
+    coded = M.cluster(_told(one_year(spark, sf), 4), 4)[0]
+    return coded.join(coded.groupBy("code").agg(F.min("vec_id").alias("first_id")), "code").select("vec_id", "first_id")
+
+
+@query(f""", t AS (SELECT vec_id, label % 4 AS k, list_transform(generate_series(1, 4), lambda b: e[b] * 0.1 + CASE WHEN label % 4 = b - 1 THEN 10.0 ELSE 0.0 END) AS x FROM p WHERE year = 2021),
+d AS (SELECT a.vec_id, a.k AS own, b.k, sum({_euclid('a.x', 'b.x')}) AS s, count(*) AS n FROM t a JOIN t b ON true GROUP BY ALL),
+m AS (SELECT vec_id, max(s / (n - 1)) FILTER (own = k) AS inside, min(s / n) FILTER (own <> k) AS outside FROM d GROUP BY vec_id)
+SELECT 4::INT AS k, round(avg((outside - inside) / greatest(outside, inside)), 6) AS silhouette FROM m""")
+def cluster_auto_k_told(spark, sf):
+    """The number of clusters chosen and its silhouette (of SILHOUETTE_CAP pixels where there are more)."""
+    k, scores = M.choose_k(_told(one_year(spark, sf), 4))
+    return spark.createDataFrame([(k, dict(scores)[k])], "k int, silhouette double").select("k", _r("silhouette").alias("silhouette"))
+
+
+@query(""" SELECT i::INT AS i, j::INT AS j, round(covar_samp(e[i + 1], e[j + 1]), 6) + 0.0 AS value FROM p, generate_series(0, 63) a(i), generate_series(0, 63) b(j) GROUP BY i, j""")
+def pca_covariance(spark, sf):
+    """The covariance of all bands, put together again from all axes and their variances."""
+    c = rgb.fit_components(pixels(spark, sf), 64)
+    rows = [(i, j, float(sum(w * a[i] * a[j] for w, a in zip(c.variance, c.axes)))) for i in range(len(c.mean)) for j in range(len(c.mean))]
+    return spark.createDataFrame(rows, "i int, j int, value double").select("i", "j", (_r("value") + 0.0).alias("value"))
