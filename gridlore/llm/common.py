@@ -57,12 +57,16 @@ def sweep(spark: SparkSession) -> None:
 
 #: rows of two or three numbers up to which a table is broadcast: about 20 MB
 BROADCAST_ROWS = 500_000
+#: what a broadcast table may hold, written as JSON; in memory it takes some three times that
+BROADCAST_BYTES = 16 << 20
 
 
 def lean(df: DataFrame, label: str) -> DataFrame:
-    """A written table, marked for broadcast if its rows (of a few numbers each) are few; Spark shuffles a larger one."""
+    """A written table, marked for broadcast if it has few rows and they are short; Spark shuffles any other."""
     held = stash(df, label)
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    size = F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in held.columns)))))
+    rows, taken = held.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(held) if rows <= BROADCAST_ROWS and taken <= BROADCAST_BYTES else held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

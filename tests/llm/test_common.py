@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from gridlore.llm import common
+from gridlore.llm import common, pii
 
 
 def test_stash_discard_and_sweep(spark):
@@ -17,10 +17,23 @@ def test_stash_discard_and_sweep(spark):
 def test_lean_tables_are_broadcast_by_size(spark, monkeypatch):
     plan = lambda df: spark.range(9).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(common.lean(spark.range(3), "t"))
+    assert "broadcast" in plan(common.lean(spark.range(0), "t"))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 20)  # {"id":0} three times
+    assert "broadcast" not in plan(common.lean(spark.range(3), "t")) and "broadcast" in plan(common.lean(spark.range(2), "t"))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     assert "broadcast" not in plan(common.lean(spark.range(3), "t"))
 
 
+def test_surrogates_by_both_joins(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"mail a{i % 7}@b.com or +1 200 555 01{i % 50:02}") for i in range(200)], "doc_id long, text string")
+    told = []
+    for bound in (1 << 20, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        told.append(sorted(map(tuple, pii.replace(rows).collect())))
+    assert told[0] == told[1] and len(told[0]) == 200
+
+
 def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     class Far:
         master = "spark://host:7077"
