@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, row_ids, stash
+from .common import arrow_map, discard, row_ids, stash
 
 OWN, TAILS, KNOWN = 8192, 2048, 1 << 18
 _FLUSH = 1_000_000
 #: text laid out at a time: a step of the recursion costs the same for few documents as for many
 _LATTICE_BYTES = 4 << 20
+#: the same for symbols, which take two bytes each
+_SYMBOL_BYTES = 3 << 19
 
 
 def _tail(words: K.Words, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -248,23 +250,46 @@ _PIECE = 4096
 _UNIT = float(1 << 18)
 
 
+def _width(vocab: Vocabulary) -> str:
+    return "<u2" if vocab.end < 1 << 16 else "<u4"
+
+
+def _symbols(train: DataFrame, shared_vocab) -> DataFrame:
+    """The symbols of every document with its end, a row each: all that Baum-Welch reads, written once for all passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared_vocab.value
+        kind = np.dtype(_width(voc))
+        for batch in batches:
+            for part in K.bites(batch, "text", _LATTICE_BYTES):
+                seq, bounds, *_ = _sequences(part.column("text"), voc)
+                cuts, data = (bounds * kind.itemsize).astype(np.int32), seq.astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])], names=["symbols"])
+
+    return arrow_map(train.select("text"), run, "symbols binary")
+
+
 def baum_welch(train: DataFrame, vocab: Vocabulary, states: int = 8, passes: int = 4, seed: int = 11, prior_tokens: float = 200.0) -> Model:
     """Baum-Welch passes over all training documents."""
     spark = train.sparkSession
     model, symbols = first_guess(vocab, states, seed), vocab.own + TAILS + 1
     shared_vocab = spark.sparkContext.broadcast(vocab)
+    laid = stash(_symbols(train, shared_vocab), "symbols")
+    kind = np.dtype(_width(vocab))
     prior = (vocab.weight + 1) / (vocab.weight + 1).sum()
     schema = "piece long, sums binary"
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now, voc = shared.value, shared_vocab.value
+            now = shared.value
             total = np.zeros(states + states * states + states * symbols)
             for batch in batches:
-                for part in K.bites(batch, "text", _LATTICE_BYTES):
-                    seq, bounds, *_ = _sequences(part.column("text"), voc)
-                    start, move, emit, _ = Lattice(seq, bounds).expected(now)
+                for part in K.bites(batch, "symbols", _SYMBOL_BYTES):
+                    held = part.column("symbols")
+                    cuts = K.flat_offsets(held) // kind.itemsize
+                    seq = np.frombuffer(held.buffers()[2], dtype=kind, count=int(cuts[-1]))[cuts[0] :].astype(np.int64)
+                    start, move, emit, _ = Lattice(seq, cuts - cuts[0]).expected(now)
                     total += np.concatenate((start, move.ravel(), emit.ravel()))
             if total.any():
                 for i in range(0, len(total), _PIECE):
@@ -278,13 +303,14 @@ def baum_welch(train: DataFrame, vocab: Vocabulary, states: int = 8, passes: int
             for i, x in held.items():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int64()), "sums": pa.array([x.tobytes()], pa.binary())})
 
-        rows = arrow_map(arrow_map(train.select("text"), run, schema).repartition(16, "piece"), add, schema).toArrow()
+        rows = arrow_map(arrow_map(laid, run, schema).repartition(16, "piece"), add, schema).toArrow()
         total = np.zeros(states + states * states + states * symbols)
         for i, raw in zip(rows.column("piece").to_pylist(), rows.column("sums").to_pylist()):
             total[i : i + _PIECE] = np.frombuffer(raw, dtype="<i8") / _UNIT
         shared.unpersist()
         start, move, emit = total[:states] + 1, total[states : states + states * states].reshape(states, states) + 1, total[states + states * states :].reshape(states, symbols) + prior_tokens * prior
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+    discard(laid)
     return model
 
 
