@@ -8,11 +8,15 @@
    the sets with an n-gram in their heads are chained while neighbouring sizes
    allow a link, and every other set with it hangs on the one before it; the
    components are clusters, and every link lies within one.
-3. The n-gram order is cut into fragments.  A cluster is dealt into blocks of
-   bounded size; for each pair of blocks and each fragment a task counts the
-   partial overlaps of all sets at once as a matrix.
-4. The partial matrices are summed per pair of blocks, the threshold applied,
-   and a spanning forest of the links goes on to connected components.
+3. The n-gram order is cut into fragments.  For each pair of blocks of sets and
+   each fragment a task counts the partial overlaps of all sets at once as a
+   matrix; the matrices are summed per pair of blocks, the threshold applied,
+   and a spanning forest of the links kept.
+4. First each set is held against the one before it with which it shares most
+   of its prefix, at most one pair a set.  A cluster that these links join is
+   settled.  In any other the sets of different components are compared, by
+   blocks of bounded size: none within one component, and none whose sizes
+   exclude a link.
 
 Equal sets are one node, so copies never multiply.  No row is made per pair.
 
@@ -26,6 +30,7 @@ tables give no rows; very long texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -257,6 +262,58 @@ def _forest(num: int, den: int):
     return run
 
 
+def _forest_of(texts: DataFrame, nodes: DataFrame, places: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links in each pair of blocks that places (node, n, cluster, bi, bj, side) lists; nodes: those in it."""
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    segments = _segments(texts, size, bits)
+    if places.count() <= BROADCAST_ROWS:
+        segments = segments.join(F.broadcast(places), "node")
+    else:
+        segments = segments.dropDuplicates(["node", "fragment"]).join(places, "node")
+    keys = ("cluster", "bi", "bj")
+    partial = arrow_map(segments.repartition(*keys, "fragment").sortWithinPartitions(*keys, "fragment"), _overlaps, _PARTIAL)
+    return arrow_map(partial.repartition(*keys).sortWithinPartitions(*keys), _forest(num, den), "a long, b long")
+
+
+def _blocks():
+    """How many blocks the rows of a group take."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long")
+
+
+def _stars(voted: DataFrame, sized: DataFrame) -> DataFrame:
+    """The places of every set and of the one before it that shares most of its prefix; many sets with one before them are several blocks."""
+    best = voted.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).withColumnRenamed("b", "node").join(sized.select("node", "n"), "node")
+    best = best.join(best.groupBy("a").agg(_blocks().alias("blocks")), "a")
+    arms = best.select("node", "n", F.col("a").alias("cluster"), F.lit(0).cast("long").alias("bi"), (1 + F.pmod(F.xxhash64("node"), "blocks")).alias("bj"), F.lit(1).cast("long").alias("side"))
+    heads = arms.select(F.col("cluster").alias("node"), "cluster", "bi", "bj").distinct().join(sized.select("node", "n"), "node")
+    return arms.unionByName(heads.withColumn("side", F.lit(0).cast("long")))
+
+
+def _across(state: DataFrame, num: int, den: int) -> DataFrame:
+    """The places of all sets whose cluster is of several components (state: node, n, cluster, part), so that each two of different
+    components meet if their sizes allow a link.
+
+    A cluster of one block is one place.  Others are cut into bands of size, a
+    linked set being in the same band or the next, and within these into blocks:
+    those of one large component, or of all small ones.
+    """
+    clusters = state.groupBy("cluster").agg(_blocks().alias("needed"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+    rest = state.join(clusters.select("cluster", "needed"), "cluster")
+    zero = F.lit(0).cast("long")
+    whole = rest.filter("needed = 1").select("node", "n", "cluster", zero.alias("bi"), zero.alias("bj"), zero.alias("side"))
+    band = F.floor(F.log("n") / F.lit(1.000001 * math.log(den / num))).cast("long")  # a little wide, so that rounding cannot part linked sets by two
+    wide = rest.filter("needed > 1").withColumn("band", band)
+    large = wide.groupBy("cluster", "part").agg(_blocks().alias("b"), F.count("*").alias("c")).filter((F.col("b") > 1) | (4 * F.col("c") >= BLOCK_SETS))
+    wide = wide.join(large.select("cluster", "part", F.col("part").alias("own")), ["cluster", "part"], "left").withColumn("unit", F.xxhash64("band", F.col("own").isNull(), "own"))
+    wide = wide.join(wide.groupBy("cluster", "unit").agg(_blocks().alias("blocks")), ["cluster", "unit"]).withColumn("block", F.xxhash64("unit", F.pmod(F.xxhash64("node"), "blocks")))
+    wide = stash(wide.select("node", "n", "cluster", "band", "own", "block"), "blocks")
+    blocks = wide.select("cluster", "band", "own", "block").distinct()
+    x = blocks.select("cluster", F.col("own").alias("x_own"), F.col("block").alias("bi"), F.col("band").alias("x_band"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    met = x.join(blocks, ["cluster", "band"]).withColumnRenamed("block", "bj").filter("(band > x_band OR bi <= bj) AND NOT coalesce(x_own = own, false)")
+    sides = met.select("cluster", "bi", "bj", F.explode(F.expr("if(bi = bj, array(struct(bi AS block, 0L AS side)), array(struct(bi AS block, 0L AS side), struct(bj AS block, 1L AS side)))")).alias("s")).select("cluster", "bi", "bj", "s.block", "s.side")
+    return whole.unionByName(wide.join(sides, ["cluster", "block"]).select("node", "n", "cluster", "bi", "bj", "side"))
+
+
 def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """links(), and group, which all texts of a component have in common (null for an empty set)."""
     spark = docs.sparkSession
@@ -265,26 +322,19 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     before = Window.partitionBy("token").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
     met = _prefixes(texts, size, num, den, sketch).withColumn("last", F.last(F.when(F.col("head"), F.struct("node", "n")), ignorenulls=True).over(before))
     edges = met.filter((F.col("node") != F.col("last.node")) & (den * F.col("last.n") >= num * F.col("n"))).select(F.col("last.node").alias("a"), F.col("node").alias("b"))
-    cluster = stash(components(edges, "clusters").withColumnRenamed("component", "cluster"), "cluster")
-    bits = spark.sparkContext.broadcast(_bitmap(cluster))
+    voted = stash(edges.groupBy("a", "b").agg(F.count("*").alias("times")), "voted")
+    cluster = components(voted.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
     rows = stash(_nodes(texts, size), "nodes")
-    sized = rows.filter("n > 0").select("node", "n").distinct().join(cluster, "node")
-    sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
-    placed = sized.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = stash(placed.select("node", "cluster", "n", "blocks", "block"), "placed")
-    segments = _segments(texts, size, bits)
-    if placed.count() <= BROADCAST_ROWS:
-        segments = segments.join(F.broadcast(placed), "node")
-    else:
-        segments = segments.dropDuplicates(["node", "fragment"]).join(placed, "node")
-    paired = segments.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "fragment", (F.col("block") > F.col("other")).cast("long").alias("side"), "node", "n", "grams"
-    )
-    keys = ("cluster", "bi", "bj")
-    partial = arrow_map(paired.repartition(*keys, "fragment").sortWithinPartitions(*keys, "fragment"), _overlaps, _PARTIAL)
-    forest = arrow_map(partial.repartition(*keys).sortWithinPartitions(*keys), _forest(num, den), "a long, b long")
-    joined = stash(components(forest, "links"), "joined")
-    discard(cluster)
+    sized = stash(rows.filter("n > 0").select("node", "n").distinct().join(cluster, "node"), "sized")
+    stars = stash(_stars(voted, sized), "stars")
+    forest = stash(_forest_of(texts, sized, stars, size, num, den), "forest")
+    discard(voted, stars)
+    part = components(forest, "parts").withColumnRenamed("component", "part")
+    state = stash(sized.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "state")
+    across = stash(_across(state, num, den), "across")
+    more = _forest_of(texts, across.select("node").distinct(), across, size, num, den)
+    joined = stash(components(forest.union(more), "links"), "joined")
+    discard(forest, sized, state, across)
     group = F.coalesce("component", "node")
     named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").select("node", "least", group.alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", F.col("component").alias("group"), "component_id")

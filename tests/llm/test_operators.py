@@ -467,6 +467,53 @@ def test_jaccard_components(spark, monkeypatch, block):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == linked(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("most", [4, 40, 1000])
+def test_sets_of_different_components_meet(spark, monkeypatch, most):
+    import random
+    from itertools import combinations
+
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
+    rng = random.Random(4)
+    # cluster 0 is settled; 1 has one large component and single sets; 2 has small components alone
+    state = [(i, 20, 0, 7) for i in range(30)]
+    state += [(100 + i, rng.randint(1, 90), 1, 100 if i < 50 else 100 + i) for i in range(80)]
+    state += [(300 + i, rng.randint(17, 40), 2, 300 + i % 25) for i in range(60)]
+    places = jaccard._across(spark.createDataFrame(state, "node long, n long, cluster long, part long"), 85, 100)
+    at = {}
+    for r in places.collect():
+        at.setdefault((r.cluster, r.bi, r.bj), ([], []))[r.side].append(r.node)
+    met = set()
+    for (cluster, bi, bj), (a, b) in at.items():
+        pairs = list(combinations(a, 2)) if bi == bj else [(x, y) for x in a for y in b]
+        assert not (bi == bj and b) and len(set(a)) == len(a) and not set(a) & set(b)
+        assert not met & {frozenset(p) for p in pairs}  # each two meet once
+        met |= {frozenset(p) for p in pairs}
+    n, part, home = ({x[0]: x[k] for x in state} for k in (1, 3, 2))
+    for x, y in combinations(n, 2):
+        if home[x] == home[y] and part[x] != part[y] and 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y]):
+            assert frozenset((x, y)) in met
+    if most < 1000:  # nor do two sets of one large component meet
+        assert not any(part[x] == part[y] == 100 for x, y in map(tuple, met))
+    assert not any(home[x] == 0 for p in met for x in p)
+
+
+def test_settled_clusters_are_not_compared_by_pairs(spark, monkeypatch):
+    compared, across = [], jaccard._across
+
+    def counted(*args):
+        compared.append(across(*args).count())
+        return across(*args)
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    words = [f"w{i}" for i in range(400)]
+    near = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :]), "", "a") for i in range(400)]  # each links all others
+    got = jaccard.links(docs(spark, near), 4, 85, 100)
+    assert {r.component_id for r in got.collect()} == {0} and compared == [0]
+    chain = [(i, " ".join(words[i : i + 100]), "", "a") for i in range(300)]  # each links its neighbours, the ends share nothing
+    got = jaccard.links(docs(spark, chain), 4, 85, 100)
+    assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted([(i, 97, 0) for i in range(300)], key=repr)
+
+
 def test_one_of_each_group(spark):
     rows = near_rows(40)
     kept = jaccard.one_each(docs(spark, rows))
