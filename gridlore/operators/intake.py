@@ -302,8 +302,8 @@ def load_embedding(spark: SparkSession, layer: DataFrame | str | None = None, ur
     raise ValueError("a layer, an address or a year is needed")
 
 
-def change_years(archive: DataFrame, years: Sequence[int], target: G.Grid, tile_grids: DataFrame, metric: str = "cosine", mode: str = "pairwise", aoi: Sequence[float] | None = None, save: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The change map of two years or more of the archive, and the pixels behind it (saved by year if asked for)."""
+def change_years(archive: DataFrame, years: Sequence[int], target: G.Grid, tile_grids: DataFrame, metric: str = "cosine", mode: str = "pairwise", aoi: Sequence[float] | None = None, save: str | None = None, complete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The change map of two years or more of the archive (complete: of the pixels that have all of them), and the pixels behind it (saved by year if asked for)."""
     from gridlore.operators.change import change
 
     if len(set(years)) < 2:
@@ -312,7 +312,7 @@ def change_years(archive: DataFrame, years: Sequence[int], target: G.Grid, tile_
     if save:
         pixels.write.mode("overwrite").partitionBy("year").parquet(save)
         pixels = pixels.sparkSession.read.parquet(save)
-    return change(pixels, metric, mode, list(years), target.nodata), pixels
+    return change(pixels, metric, mode, list(years), target.nodata, complete=complete), pixels
 
 
 def first_tile(names: DataFrame) -> DataFrame:
