@@ -2,12 +2,15 @@
 
 1. A count sketch of fixed size ranks n-grams from rare to frequent.  It only
    sets the order; the result is exact whatever it holds.
-2. Each set sends its prefix, the rarest n - ceil(t n) + 1 n-grams.  The first
-   n-gram that two linked sets share lies in both prefixes, and in the smaller
-   set among the rarest n - ceil(2 t n / (1 + t)) + 1, its head.  Sorted by size,
-   the sets with an n-gram in their heads are chained while neighbouring sizes
-   allow a link, and every other set with it hangs on the one before it; the
-   components are clusters, and every link lies within one.
+2. Each set sends its prefix, the rarest n - ceil(t n) + SHARED n-grams.  The
+   first SHARED n-grams that two linked sets share lie in both prefixes, and in
+   the smaller set among the rarest n - ceil(2 t n / (1 + t)) + SHARED, its head.
+   An n-gram of at most LIGHT sets names all its pairs, and a pair that shares no
+   other n-grams counts only with SHARED of them, so n-grams that two texts have
+   by chance join nothing, however many texts there are.  Of any other n-gram,
+   sorted by size, the sets with it in their heads are chained while neighbouring
+   sizes allow a link, and every other set with it hangs on the one before it.
+   The components are clusters, and every link lies within one.
 3. The n-gram order is cut into fragments.  For each pair of blocks of sets and
    each fragment a task counts the partial overlaps of all sets at once as a
    matrix; the matrices are summed per pair of blocks, the threshold applied,
@@ -18,7 +21,8 @@
    blocks of bounded size: none within one component, and none whose sizes
    exclude a link.
 
-Equal sets are one node, so copies never multiply.  No row is made per pair.
+Equal sets are one node, so copies never multiply.  Rows are made per pair only
+in n-grams of LIGHT sets or fewer, less than LIGHT a set and n-gram.
 
 Defined cases: a null or empty text has an empty set, no links and its own id as
 component; fewer words than the n-gram size make one n-gram of the whole
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -46,9 +50,12 @@ from .graph import components
 SKETCH_BITS = 23
 BITMAP_BITS = 24
 FRAGMENT_BITS = 2
+SHARED = 5
+LIGHT = 16
 BLOCK_SETS = 384
 BLOCK_GRAMS = 1 << 20
 _CHUNK = 1 << 16
+_AT_ONCE = 1 << 16
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +128,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
 
 def _prefixes(texts: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
     """token, node, n, head: the prefix of every set, once a task for equal sets; head: it is among those that a smaller set must share."""
+    shared = SHARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = sketch.value, set()
@@ -136,13 +144,68 @@ def _prefixes(texts: DataFrame, size: int, num: int, den: int, sketch) -> DataFr
                         seen.add(x)
                         fresh[i] = True
                 place = np.arange(len(g)) - cuts[doc]
-                take = (place < (n + (num * n) // -den + 1)[doc]) & fresh[doc]  # n - ceil(t n) + 1
-                head = place < (n + (2 * num * n) // -(num + den) + 1)[doc]
+                take = (place < (n + (num * n) // -den + shared)[doc]) & fresh[doc]  # n - ceil(t n) + shared
+                head = place < (n + (2 * num * n) // -(num + den) + shared)[doc]
                 yield pa.RecordBatch.from_pydict({"token": g[order][take].view(np.int64), "node": node[doc][take].view(np.int64), "n": n[doc][take], "head": head[take]})
 
     return arrow_map(texts.select("text"), run, "token long, node long, n long, head boolean")
 
 
+def _pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, head: np.ndarray, num: int, den: int, shared: int, light: int) -> pa.RecordBatch:
+    """a, b, need and sure of whole n-grams, sorted by token, n and node: all pairs of one with few sets, the chain of any other (sure)."""
+    own = np.ones(len(token), dtype=bool)
+    own[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # equal sets from several tasks
+    token, node, n, head = token[own], node[own], n[own], head[own]
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    times = np.diff(np.append(start, len(token)))
+    start, times = np.repeat(start, times), np.repeat(times, times)
+    few = np.flatnonzero((times > 1) & (times <= light))
+    i, j, sure = [], [], []
+    for k in range(1, light):
+        x, y = few[:-k], few[k:]
+        same = token[x] == token[y]
+        if not same.any():
+            break
+        i.append(x[same & head[x]])
+        j.append(y[same & head[x]])
+    sure.append(np.zeros(sum(map(len, i)), dtype=bool))
+    last = np.maximum.accumulate(np.concatenate(([-1], np.where(head, np.arange(len(token)), -1)[:-1])))
+    many = np.flatnonzero((times > light) & (last >= start))
+    i.append(last[many])
+    j.append(many)
+    sure.append(np.ones(len(many), dtype=bool))
+    i, j, sure = np.concatenate(i), np.concatenate(j), np.concatenate(sure)
+    fits = den * n[i] >= num * n[j]
+    i, j, sure = i[fits], j[fits], sure[fits]
+    need = np.minimum(shared, (2 * num * n[i]) // -(num + den) * -1)
+    return pa.RecordBatch.from_pydict({"a": node[i], "b": node[j], "need": need, "sure": sure})
+
+
+def _voted(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, times: pairs of sets, the smaller first, that share times n-grams of their prefixes; every link is within a component of them."""
+    shared, light = SHARED, LIGHT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wait = [], 0, _AT_ONCE
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "n", "head")])
+            rows += batch.num_rows
+            if rows < wait:
+                continue
+            table = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(table[0], table[0][-1]))  # the last n-gram may go on
+            if cut:
+                yield _pairs(*(c[:cut] for c in table), num, den, shared, light)
+            held, rows = [[c[cut:] for c in table]], rows - cut
+            wait = max(_AT_ONCE, 2 * rows)
+        if rows:
+            yield _pairs(*(np.concatenate(c) for c in zip(*held)), num, den, shared, light)
+
+    met = arrow_map(prefixes.repartition("token").sortWithinPartitions("token", "n", "node"), run, "a long, b long, need long, sure boolean")
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need"), F.max("sure").alias("sure"))
+    return counted.filter("sure OR times >= need").select("a", "b", "times")
+
+
 def _segments(texts: DataFrame, size: int, bitmap) -> DataFrame:
     """node, fragment and grams, for sets whose node the bitmap holds, once a task.
 
@@ -319,10 +382,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, size))
-    before = Window.partitionBy("token").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
-    met = _prefixes(texts, size, num, den, sketch).withColumn("last", F.last(F.when(F.col("head"), F.struct("node", "n")), ignorenulls=True).over(before))
-    edges = met.filter((F.col("node") != F.col("last.node")) & (den * F.col("last.n") >= num * F.col("n"))).select(F.col("last.node").alias("a"), F.col("node").alias("b"))
-    voted = stash(edges.groupBy("a", "b").agg(F.count("*").alias("times")), "voted")
+    voted = stash(_voted(_prefixes(texts, size, num, den, sketch), num, den), "voted")
     cluster = components(voted.select("a", "b"), "clusters").withColumnRenamed("component", "cluster")
     rows = stash(_nodes(texts, size), "nodes")
     sized = stash(rows.filter("n > 0").select("node", "n").distinct().join(cluster, "node"), "sized")

@@ -514,6 +514,29 @@ def test_settled_clusters_are_not_compared_by_pairs(spark, monkeypatch):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted([(i, 97, 0) for i in range(300)], key=repr)
 
 
+def test_passages_met_by_chance_join_no_cluster(spark, monkeypatch):
+    compared, across = [], jaccard._across
+
+    def counted(state, *args):
+        compared.append(state.count())
+        return across(state, *args)
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    own = lambda i: [f"w{i}x{j}" for j in range(30)]
+    rows = [(i, " ".join([*own(i)[:5], *(f"p{i}y{j}" for j in range(4)), *own(i)[5:], *(f"p{i + 1}y{j}" for j in range(4))]), "", "a") for i in range(300)]  # one passage with the text before, one with that after
+    got = jaccard.links(docs(spark, rows), 4, 85, 100)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i) for i in range(300)} and compared == [0]
+
+
+@pytest.mark.parametrize("light", [1, 3, 16])
+def test_pairs_and_chains_give_the_same_links(spark, monkeypatch, light):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    monkeypatch.setattr(jaccard, "_AT_ONCE", 1 << 16 if light == 16 else 64)
+    rows = near_rows()
+    for size, num, den in ((4, 85, 100), (2, 1, 2)):
+        assert sorted_rows(jaccard.links(docs(spark, rows), size, num, den), "doc_id", "n_shingles", "component_id") == linked(rows, size, num, den)
+
+
 def test_one_of_each_group(spark):
     rows = near_rows(40)
     kept = jaccard.one_each(docs(spark, rows))
