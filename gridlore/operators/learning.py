@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -195,9 +196,10 @@ def subsample(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = ("gri
 def kmeans(sample: DataFrame, k: int, seed: int = 42, restarts: int = 10):
     """The model of least cost of several seeds."""
     rows = M.features(sample).select("features").persist()
-    fit = inheritable_thread_target(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="code").fit(rows))
+    fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="code").fit(rows)
+    tasks = [inheritable_thread_target(partial(fit, i)) for i in range(restarts)]  # each with its own copy of the local properties
     with ThreadPoolExecutor(4) as pool:  # the fits of small samples are mostly waiting for jobs
-        fits = list(pool.map(fit, range(restarts)))
+        fits = [t.result() for t in [pool.submit(task) for task in tasks]]
     rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 

@@ -70,6 +70,29 @@ def test_cluster_and_silhouette(blobs):
         M.cluster(blobs.limit(2), 5)
 
 
+def test_restarts_do_not_share_local_properties(spark, blobs, monkeypatch):
+    from threading import Barrier
+    from types import SimpleNamespace
+
+    together, own, sc = Barrier(4), [], spark.sparkContext
+
+    class Fit:
+        summary = SimpleNamespace(trainingCost=0.0)
+
+        def __init__(self, seed, **_):
+            self.seed = str(seed)
+
+        def fit(self, rows):
+            sc.setLocalProperty("restart", self.seed)
+            together.wait(30)
+            own.append(sc.getLocalProperty("restart") == self.seed)
+            return self
+
+    monkeypatch.setattr(M, "KMeans", Fit)
+    M.kmeans(blobs, 2, restarts=4)
+    assert own == [True] * 4
+
+
 def test_classes_over_years(spark, blobs):
     from pyspark.sql import functions as F
 
