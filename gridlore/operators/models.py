@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions import vectors as V
+from gridlore.operators.forest import Forest, TreesModel
 
 MAGIC, FORMAT = "gridlore-model", 1
 ALGORITHMS = ("rf", "gb")
@@ -37,14 +38,15 @@ def tuning_grid(algorithm: str) -> dict[str, list[Any]] | None:
 
 
 def estimator(kind: str, algorithm: str = "rf", n_estimators: int = 200, seed: int = 42, classes: int = 2, **params: Any):
-    """A forest or boosted trees by their usual parameters; max_depth None is as deep as Spark goes."""
+    """A forest or boosted trees by their usual parameters; max_depth None is no limit to a forest that forest.py grows, and as deep as Spark goes elsewhere."""
     if kind not in KINDS or algorithm not in ALGORITHMS:
         raise ValueError(f"unknown estimator {kind}/{algorithm}")
     common = {"featuresCol": "features", "seed": seed, "maxBins": 128}
     if algorithm == "rf":
         depth, features = params.get("max_depth"), params.get("max_features", "sqrt" if kind == "classifier" else "all")
         own = {"numTrees": n_estimators, "maxDepth": UNLIMITED if depth is None else depth, "featureSubsetStrategy": str(features), "minInstancesPerNode": params.get("min_samples_leaf", 1)}
-        return RandomForestClassifier(labelCol="code", **common, **own) if kind == "classifier" else RandomForestRegressor(labelCol="label", **common, **own)
+        sparks = RandomForestClassifier(labelCol="code", **common, **own) if kind == "classifier" else RandomForestRegressor(labelCol="label", **common, **own)
+        return Forest(classes if kind == "classifier" else 0, n_estimators, seed, depth, features, own["minInstancesPerNode"], sparks)
     own = {"maxIter": n_estimators, "maxDepth": params.get("max_depth", 3), "stepSize": params.get("learning_rate", 0.1)}
     if kind == "regressor":
         return GBTRegressor(labelCol="label", **common, **own)
@@ -112,7 +114,15 @@ def save_model(bundle: Bundle, path: str) -> None:
     if bundle.n_bands <= 0:
         raise ValueError("a model needs one band or more")
     spark = SparkSession.getActiveSession()
-    PipelineModel([bundle.model]).write().overwrite().save(f"{path}/model")
+    if isinstance(bundle.model, TreesModel):
+        where, fs = _files(spark, f"{path}/model")
+        fs.delete(where, True)  # of an earlier model
+        bundle.model.frame(spark).repartition(8).write.mode("overwrite").parquet(f"{path}/trees")
+        spark.createDataFrame([(json.dumps(bundle.model.about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/joined")
+    else:
+        where, fs = _files(spark, f"{path}/trees")
+        fs.delete(where, True)
+        PipelineModel([bundle.model]).write().overwrite().save(f"{path}/model")
     about = {k: v for k, v in asdict(Bundle(None, *(getattr(bundle, n) for n in ("kind", "n_bands", "algorithm", "classes", "spark_version", "created", "magic", "format_version")))).items() if k != "model"}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
@@ -131,6 +141,10 @@ def load_model(path: str) -> Bundle:
         raise ValueError(f"not a saved model: {path}")
     if about.get("format_version") != FORMAT:
         raise ValueError(f"saved in format {about.get('format_version')}, this is {FORMAT}")
+    where, fs = _files(spark, f"{path}/trees")
+    if fs.exists(where):
+        rows = [tuple(r.values()) for r in spark.read.parquet(f"{path}/trees").orderBy("tree").toArrow().to_pylist()]
+        return Bundle(TreesModel(spark, rows, json.loads(spark.read.text(f"{path}/joined").first()["value"])), **about)
     return Bundle(PipelineModel.load(f"{path}/model").stages[0], **about)
 
 

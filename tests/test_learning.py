@@ -123,3 +123,35 @@ def test_subsample_is_the_same_from_few_rows_or_all(spark):
 
     got = {r["row"] for r in M.subsample(df, 50).collect()}
     assert got == {r["row"] for r in df.orderBy(F.xxhash64("grid_id", "row", "col", F.lit(42))).limit(50).collect()}
+
+
+def test_forest_finds_a_cut_that_quantiles_miss(spark):
+    """Two classes with a wide gap between them in both bands, at a place that no 128th of the values is at."""
+    rows = [(i, [float(i) if i < 997 else 1e6 + i, 1e6 + i if i < 997 else 3000.0 - i], int(i >= 997)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "sample_id long, embedding array<double>, label int")
+    got = M.classify(df.drop("label"), M.fit_classifier(df, n_estimators=8, max_depth=1))
+    assert [r["sample_id"] for r in got.collect() if r["code"] != (r["sample_id"] >= 997)] == []
+
+
+def test_trees_against_brute_force():
+    from gridlore.operators import forest as T
+
+    rng = np.random.default_rng(0)
+    x, y = np.round(rng.normal(size=(60, 3)), 1), rng.integers(0, 3, 60)
+    w = rng.integers(0, 3, 60)
+    for target, classes in ((y, 3), (y.astype(float) ** 2, 0)):
+        tree = T.grow(T.Ranked(x), target, w, classes, 1, 3, 2, rng)
+
+        def score(side):
+            t, v = target[side], w[side].astype(float)
+            return (sum(v[t == c].sum() ** 2 for c in range(3)) if classes else ((t - np.average(target, weights=w)) * v).sum() ** 2) / v.sum()
+
+        cuts = [(score(left & (w > 0)) + score(~left & (w > 0)), b, c) for b in range(3) for c in np.unique(x[w > 0][:, b])[:-1] for left in [x[:, b] <= c] if min((left & (w > 0)).sum(), (~left & (w > 0)).sum()) >= 2]
+        left = x[:, tree.feature[0]] <= tree.cut[0]
+        assert score(left & (w > 0)) + score(~left & (w > 0)) == pytest.approx(max(cuts)[0])
+        whole = T.grow(T.Ranked(x), target, w, classes, None, 1, 1, rng)
+        got = whole.value[whole.apply(x)]
+        for i in np.flatnonzero(w):  # leaves are pure but for equal vectors
+            same = (x == x[i]).all(axis=1) & (w > 0)
+            if same.sum() == 1:
+                assert (got[i].argmax() if classes else got[i][0]) == target[i]
