@@ -25,6 +25,8 @@ from gridlore.functions import vectors as V
 
 #: what the samples, or the trees at their largest, may take in memory
 FIT_BYTES = 512 << 20
+#: values of all samples that boosted trees, which grow in one task for each class, are fitted on here
+BOOST_VALUES = 1 << 23
 #: numbers that a step of the search for cuts holds at once
 STEP = 1 << 17
 TREE = "tree int, feature binary, cut binary, left binary, value binary"
@@ -285,21 +287,23 @@ def joined(trees: list[Tree], about: dict[str, Any], x: np.ndarray) -> np.ndarra
         for t in trees:
             total += t.value[t.apply(x)]
         return total / len(trees)
-    start = np.array(about["start"])
-    raw = np.tile(start, (len(x), 1))
+    raw = np.zeros((len(x), about["targets"]))
     for i, t in enumerate(trees):
-        raw[:, i % len(start)] += rate * t.value[t.apply(x), 0]
-    return _chances(raw) if classes else raw
-
-
-def _chances(raw: np.ndarray) -> np.ndarray:
-    if raw.shape[1] == 1:  # two classes, by the log odds of the second
-        p = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+        raw[:, i // about["rounds"]] += _step(i % about["rounds"], rate) * t.value[t.apply(x), 0]
+    if not classes:
+        return raw
+    if classes == 2:  # the score is half the log odds
+        p = 1 / (1 + np.exp(-2 * np.clip(raw, -300, 300)))
         return np.hstack([1 - p, p])
     e = np.exp(raw - raw.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _step(i: int, rate: float) -> float:
+    """As in Spark's boosted trees, the first tree counts in full."""
+    return rate if i else 1.0
+
+
 def _number_of_bands(kind: str | float, bands: int) -> int:
     if kind == "all":
         return bands
@@ -325,22 +329,65 @@ class Forest:
             return self.spark_estimator.fit(df)
         spark = df.sparkSession
         x, y = _samples(df, "code" if self.classes else "label")
-        shared = spark.sparkContext.broadcast((x, y.astype(np.int64) if self.classes else y))
         classes, seed, depth, least, wanted = self.classes, self.seed, self.depth, self.least, _number_of_bands(self.bands, x.shape[1])
 
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            data = None
-            for batch in batches:
-                for i in batch.column("id").to_pylist():
-                    x, y = shared.value
-                    data = data or Ranked(x)
-                    rng = np.random.default_rng((seed, i))
-                    weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))
-                    row = _packed(i, grow(data, y, weight, classes, depth, wanted, least, rng))
-                    yield pa.RecordBatch.from_pylist([dict(zip(("tree", "feature", "cut", "left", "value"), row))], schema=pa.schema([("tree", pa.int32()), *((c, pa.binary()) for c in ("feature", "cut", "left", "value"))]))
-
-        parts = max(1, min(self.n_estimators, 4 * spark.sparkContext.defaultParallelism))
-        grown = spark.range(0, self.n_estimators, 1, parts).mapInArrow(part, TREE).toArrow().to_pylist()
-        shared.unpersist()
-        rows = sorted((r["tree"], r["feature"], r["cut"], r["left"], r["value"]) for r in grown)
+        def one(i: int, data: Ranked, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+            rng = np.random.default_rng((seed, i))
+            weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))
+            yield _packed(i, grow(data, y, weight, classes, depth, wanted, least, rng))
+
+        rows = _grown(spark, one, self.n_estimators, x, y.astype(np.int64) if classes else y)
         return TreesModel(spark, rows, {"classes": classes, "width": classes or 1, "bands": x.shape[1]})
+
+
+@dataclass
+class Boosted:
+    """Boosted trees, by Spark's losses and steps; more than two classes one against the others, each in its own task."""
+
+    classes: int
+    n_estimators: int
+    seed: int
+    depth: int
+    rate: float
+    spark_estimator: Any
+
+    def fit(self, df: DataFrame):
+        n, size = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        if n * (size or 0) > BOOST_VALUES:
+            return self.spark_estimator.fit(df)
+        spark = df.sparkSession
+        x, y = _samples(df, "code" if self.classes else "label")
+        classes, rounds, seed, depth, rate = self.classes, self.n_estimators, self.seed, self.depth, self.rate
+
+        def one(k: int, data: Ranked, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+            rng, weight, raw = np.random.default_rng((seed, k)), np.ones(len(y)), np.zeros(len(y))
+            aim = np.where(y == (k if classes > 2 else 1), 1.0, -1.0) if classes else y
+            for i in range(rounds):
+                rest = aim if i == 0 else 4 * aim / (1 + np.exp(2 * np.clip(aim * raw, -300, 300))) if classes else 2 * (aim - raw)
+                tree = grow(data, rest, weight, 0, depth, x.shape[1], 1, rng)
+                raw += _step(i, rate) * tree.value[tree.apply(x), 0]
+                yield _packed(k * rounds + i, tree)
+
+        targets = classes if classes > 2 else 1
+        rows = _grown(spark, one, targets, x, y)
+        return TreesModel(spark, rows, {"classes": classes, "width": 1, "bands": x.shape[1], "rate": rate, "rounds": rounds, "targets": targets})
+
+
+def _grown(spark, one, tasks: int, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+    """The rows of one(i, ranked samples, x, y) for each i below tasks, in order of tree."""
+    shared = spark.sparkContext.broadcast((x, y))
+    schema = pa.schema([("tree", pa.int32()), *((c, pa.binary()) for c in ("feature", "cut", "left", "value"))])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = None
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                x, y = shared.value
+                data = data or Ranked(x)
+                for row in one(i, data, x, y):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+    parts = max(1, min(tasks, 4 * spark.sparkContext.defaultParallelism))
+    grown = spark.range(0, tasks, 1, parts).mapInArrow(part, TREE).toArrow().to_pylist()
+    shared.unpersist()
+    return sorted(tuple(r[c] for c in schema.names) for r in grown)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions import vectors as V
-from gridlore.operators.forest import Forest, TreesModel
+from gridlore.operators.forest import Boosted, Forest, TreesModel
 
 MAGIC, FORMAT = "gridlore-model", 1
 ALGORITHMS = ("rf", "gb")
@@ -49,9 +49,11 @@ def estimator(kind: str, algorithm: str = "rf", n_estimators: int = 200, seed: i
         return Forest(classes if kind == "classifier" else 0, n_estimators, seed, depth, features, own["minInstancesPerNode"], sparks)
     own = {"maxIter": n_estimators, "maxDepth": params.get("max_depth", 3), "stepSize": params.get("learning_rate", 0.1)}
     if kind == "regressor":
-        return GBTRegressor(labelCol="label", **common, **own)
-    one = GBTClassifier(labelCol="code", **common, **own)
-    return one if classes <= 2 else OneVsRest(classifier=one, labelCol="code", featuresCol="features", rawPredictionCol="rawPrediction")
+        sparks = GBTRegressor(labelCol="label", **common, **own)
+    else:
+        one = GBTClassifier(labelCol="code", **common, **own)
+        sparks = one if classes <= 2 else OneVsRest(classifier=one, labelCol="code", featuresCol="features", rawPredictionCol="rawPrediction")
+    return Boosted(classes if kind == "classifier" else 0, n_estimators, seed, own["maxDepth"], own["stepSize"], sparks)
 
 
 def features(df: DataFrame) -> DataFrame:

@@ -133,6 +133,16 @@ def test_forest_finds_a_cut_that_quantiles_miss(spark):
     assert [r["sample_id"] for r in got.collect() if r["code"] != (r["sample_id"] >= 997)] == []
 
 
+def test_boosted_trees_find_a_cut_that_quantiles_miss(spark):
+    """As above; the numbers of two classes and of three."""
+    rows = [(i, [float(i) if i < 997 else 1e6 + i, 1e6 + i if i < 997 else 3000.0 - i], int(i >= 997), int(i >= 997) + int(i >= 1503)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "sample_id long, embedding array<double>, label int, three int")
+    for label in ("label", "three"):
+        got = M.classify(df, M.fit_classifier(df, label, algorithm="gb", n_estimators=3)).select("sample_id", "code", label)
+        assert [r["sample_id"] for r in got.collect() if r["code"] != r[label]] == []
+    assert [r["sample_id"] for r in M.regress(df, M.fit_regressor(df, algorithm="gb", n_estimators=3)).collect() if r["value"] != r["label"]] == []
+
+
 def test_trees_against_brute_force():
     from gridlore.operators import forest as T
 
