@@ -29,6 +29,8 @@ FIT_BYTES = 512 << 20
 BOOST_VALUES = 1 << 23
 #: numbers that a step of the search for cuts holds at once
 STEP = 1 << 17
+#: bytes of a task that predicts, from which on a table is left in the tasks that read it
+TASK_BYTES = 128 << 20
 TREE = "tree int, feature binary, cut binary, left binary, value binary"
 
 
@@ -43,14 +45,18 @@ class Tree:
 
     def apply(self, x: np.ndarray) -> np.ndarray:
         """The row of value for each row of x."""
-        at = np.zeros(len(x), np.int32)
-        rows = np.arange(len(x)) if self.feature[0] >= 0 else np.arange(0)
+        out = np.full(len(x), self.left[0], np.int32)
+        if self.feature[0] < 0:
+            return out
+        values, rows = np.ascontiguousarray(x).reshape(-1), np.arange(len(x))
+        begin, node = rows * x.shape[1], np.zeros(len(x), np.int64)
         while len(rows):
-            node = at[rows]
-            node = self.left[node] + (x[rows, self.feature[node]] > self.cut[node])
-            at[rows] = node
-            rows = rows[self.feature[node] >= 0]
-        return self.left[at]
+            node = self.left.take(node) + (values.take(begin + self.feature.take(node)) > self.cut.take(node))
+            goes = self.feature.take(node) >= 0
+            if not goes.all():
+                out[rows[~goes]] = self.left.take(node[~goes])
+                rows, begin, node = rows[goes], begin[goes], node[goes]
+        return out
 
 
 class Ranked:
@@ -69,8 +75,9 @@ def _best_cuts(data: Ranked, rows: np.ndarray, seg: np.ndarray, starts: np.ndarr
     """Of each segment (a node's rows, which lie together) the best cut's score (-inf: none), band and rank left of it.
 
     bands: those to try, a row a segment.  target: classes (integers), or numbers
-    less their mean.  The score, sum of squared sums over weight on both sides, is
-    greatest where Gini impurity or variance is least.
+    of any mean.  The score is greatest where Gini impurity or variance is least: of
+    classes the sum of squared sums over weight on both sides, of numbers, less their
+    segment's mean, the squared sum of one side over the weights of both.
     """
     n, many = len(rows), len(starts)
     ends = np.append(starts[1:], n)
@@ -78,55 +85,89 @@ def _best_cuts(data: Ranked, rows: np.ndarray, seg: np.ndarray, starts: np.ndarr
     last[ends - 1] = True
     classes = np.issubdtype(target.dtype, np.integer)
     place = np.arange(n)
-    fits = ~last & (place - starts[seg] + 1 >= least) & (ends[seg] - 1 - place >= least)
+    unfit = last | (place - starts[seg] + 1 < least) | (ends[seg] - 1 - place < least)
     score, band, rank = np.full(many, -np.inf), np.zeros(many, np.int64), np.zeros(many, np.int64)
     mask = (1 << data.bits) - 1
-    local = np.arange(n)
-    kinds = np.unique(target[rows]).tolist() if classes else [None]
+    w0, t0 = weight[rows], target[rows]
 
-    def shares(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shares(v: np.ndarray, starts: np.ndarray, ends: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sum before each row's segment and within it: the same in whatever order a segment's rows are."""
         c = np.cumsum(v)
         before = np.where(starts > 0, c[starts - 1], 0.0)
         return before[seg], (c[ends - 1] - before)[seg]
 
-    w0, t0 = weight[rows], target[rows]
-    before, total = shares(w0)
-    parts = [shares(np.where(t0 == k, w0, 0.0) if classes else w0 * t0) for k in kinds]
+    before, total = shares(w0, starts, ends, seg)
+    if classes:
+        # a segment's rows of one class are a group; by_group: their weights' sums before the group and in it, in order of group
+        group = seg * (int(t0.max()) + 1) + t0
+        order = np.argsort(group, kind="stable")
+        in_order = group[order]
+        new = np.append(True, in_order[1:] != in_order[:-1])
+        begin = np.flatnonzero(new)
+        group_before, own = shares(w0[order], begin, np.append(begin[1:], n), np.cumsum(new) - 1)
+        moved = np.empty(n)
+        moved[order] = 2 * own
+        moved *= w0
+        grouped = group << data.bits
+        squares = np.add.reduceat(moved, starts)[seg] / 2  # of the classes' sums in the segment
+    else:
+        moved = w0 * (t0 - (np.add.reduceat(w0 * t0, starts) / np.add.reduceat(w0, starts))[seg])
+    moved_before, _ = shares(moved, starts, ends, seg)
     base, same = (seg << data.bits), (bands == bands[0]).all()
     step = max(1, STEP // n)
     for s in range(0, bands.shape[1], step):
         tried = bands[:, s : s + step]
-        key = data.ranks[tried[0]][:, rows] if same else data.ranks[tried[seg].T, rows]
+        key = data.ranks[tried[0]].take(rows, axis=1) if same else data.ranks[tried[seg].T, rows]
         key |= base
         key <<= data.bits
-        key |= local
+        key |= place
         key.sort(axis=1)
         picked = key & mask
         key >>= data.bits
-        sorted_rank = key & mask
-        w = w0[picked]
+        w = w0.take(picked)
         here = np.cumsum(w, axis=1)
         here -= before
-        t = t0[picked]
-        got, right = np.zeros(here.shape), np.zeros(here.shape)
-        for k, (a0, whole) in zip(kinds, parts):
-            a = np.cumsum(np.where(t == k, w, 0.0) if classes else w * t, axis=1)
-            a -= a0
-            got += a * a
-            a -= whole
+        a = moved.take(picked)
+        np.cumsum(a, axis=1, out=a)
+        a -= moved_before
+        if classes:
+            # with L the classes' sums left of the cut and T those of the segment: a is 2 sum(L T), got sum(L L)
+            by_group = grouped.take(picked)
+            by_group |= place
+            by_group.sort(axis=1)
+            by_group &= mask
+            by_group += np.arange(0, picked.size, n)[:, None]
+            w = w.take(by_group)
+            got = np.cumsum(w, axis=1)
+            got -= group_before
+            got *= 2
+            got -= w
+            got *= w
+            gained = np.empty(got.size)
+            gained[by_group] = got
+            np.cumsum(gained.reshape(got.shape), axis=1, out=got)
+            got -= got[:, starts - 1][:, seg] * (starts > 0)[seg]
+            right = squares - a
+            right += got
+            got /= here
+            here -= total
+            np.negative(here, out=here)
+            here[:, last] = 1.0
+            right /= here
+            got += right
+        else:
+            # the numbers' sums on both sides are opposite: what they give is their square over both weights
+            w = total - here
+            w *= here
+            w[:, last] = 1.0
             a *= a
-            right += a
-        got /= here
-        here -= total
-        np.negative(here, out=here)
-        here[:, last] = 1.0
-        right /= here
-        got += right
-        ok = np.zeros(here.shape, bool)
-        np.not_equal(sorted_rank[:, :-1], sorted_rank[:, 1:], out=ok[:, :-1])
-        ok &= fits
-        got[~ok] = -np.inf
+            a /= w
+            got = a
+        none = np.empty(got.shape, bool)
+        np.equal(key[:, :-1], key[:, 1:], out=none[:, :-1])
+        none[:, -1] = True
+        none |= unfit
+        np.copyto(got, -np.inf, where=none)
         most = np.maximum.reduceat(got, starts, axis=1)
         slot = most.argmax(axis=0)
         top = most[slot, np.arange(many)]
@@ -135,7 +176,7 @@ def _best_cuts(data: Ranked, rows: np.ndarray, seg: np.ndarray, starts: np.ndarr
         where, first = np.unique(seg[hit], return_index=True)
         at = place[hit][first]
         score[where], band[where] = top[where], tried[where, slot[where]]
-        rank[where] = sorted_rank[slot[where], at]
+        rank[where] = key[slot[where], at] & mask
     return score, band, rank
 
 
@@ -169,8 +210,7 @@ def grow(data: Ranked, target: np.ndarray, weight: np.ndarray, classes: int, dep
             part = rows[inside]
             begin = np.append(0, np.cumsum(sizes[at])[:-1])
             draw = np.broadcast_to(np.arange(every), (len(at), every)) if tried >= every else np.argpartition(rng.random((len(at), every), dtype=np.float32), tried - 1, axis=1)[:, :tried]
-            aim = target if classes else target - np.average(target[part], weights=weight[part])
-            score, b, r = _best_cuts(data, part, np.repeat(np.arange(len(at)), sizes[at]), begin, draw, aim, weight, least)
+            score, b, r = _best_cuts(data, part, np.repeat(np.arange(len(at)), sizes[at]), begin, draw, target, weight, least)
             band[at], rank[at] = b, r
             opened[at] = score > -np.inf
 
@@ -238,6 +278,13 @@ def _samples(df: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
     return x[order], y[order]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The table dealt anew where few tasks might read it (a row group is one's): to predict costs more than to move a row.  A large one, or one whose size Spark does not know, stays."""
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if held < tasks * TASK_BYTES else df
+
+
 class TreesModel:
     """Trees and how their values are joined: the mean of a forest, the weighted sum and a start of boosted trees."""
 
@@ -269,7 +316,7 @@ class TreesModel:
                     names.append("probability")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        out = df.mapInArrow(part, schema)
+        out = _spread(df).mapInArrow(part, schema)
         return out.withColumn("probability", array_to_vector("probability")) if classes else out
 
 

@@ -103,6 +103,16 @@ def test_classes_over_years(spark, blobs):
         M.classify_years(years, [2020], blobs)
 
 
+def test_a_row_group_is_predicted_by_several_tasks(spark, blobs, tmp_path):
+    blobs.drop("label").coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    for fitted, predict in ((M.fit_classifier(blobs, n_estimators=2), M.classify), (M.fit_regressor(blobs.withColumn("label", blobs.sample_id % 2), n_estimators=2), M.regress)):
+        out = predict(one, fitted)
+        assert out.filter("code = 1" if "code" in out.columns else "value = 1").count() == 20
+        tasks = fitted.bundle.model.transform(one).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(tasks) == 40 and max(tasks) < 40
+
+
 def test_compatibility():
     about = {"kind": "classifier", "n_bands": 64, "spark_version": "1.3.2"}
     assert not B.check_compatibility(about, 32, "classifier", "1.3.2").ok
@@ -143,6 +153,24 @@ def test_boosted_trees_find_a_cut_that_quantiles_miss(spark):
     assert [r["sample_id"] for r in M.regress(df, M.fit_regressor(df, algorithm="gb", n_estimators=3)).collect() if r["value"] != r["label"]] == []
 
 
+def test_a_tree_reads_few_numbers_a_sample():
+    """Classes beyond the first cost little: the search goes through the samples once for all classes, not once for each."""
+    from time import perf_counter
+
+    from gridlore.operators import forest as T
+
+    rng, took = np.random.default_rng(0), {}
+    data, w = T.Ranked(rng.normal(size=(4000, 16))), np.ones(4000, np.int64)
+    for classes in (2, 60):
+        y = rng.integers(0, classes, 4000)
+        took[classes] = []
+        for _ in range(3):
+            began = perf_counter()
+            T.grow(data, y, w, classes, 4, 16, 1, np.random.default_rng(1))
+            took[classes].append(perf_counter() - began)
+    assert min(took[60]) < 3 * min(took[2])
+
+
 def test_trees_against_brute_force():
     from gridlore.operators import forest as T
 
