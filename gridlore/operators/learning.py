@@ -283,7 +283,8 @@ def classify_years(pixels: DataFrame, years: Sequence[int], samples: DataFrame |
     classes = classify(used, fitted, nodata, confidence)
     out: dict[str, Any] = {"fitted": fitted, "classes": classes}
     if transition or changed:
-        of = lambda y: classes.filter(F.col("year") == y).select(*keys, F.coalesce("code", F.lit(L.NO_CLASS)).alias("code"))
+        # of that year's pixels alone: no filter gets below a prediction
+        of = lambda y: classify(pixels.filter(F.col("year") == y), fitted, nodata).select(*keys, F.coalesce("code", F.lit(L.NO_CLASS)).alias("code"))
         first, last = of(wanted[0]), of(wanted[-1])
         if transition:
             out["transition"] = L.transition_codes(first, last, len(fitted.bundle.classes), keys=keys)

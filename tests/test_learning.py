@@ -113,6 +113,21 @@ def test_a_row_group_is_predicted_by_several_tasks(spark, blobs, tmp_path):
         assert sum(tasks) == 40 and max(tasks) < 40
 
 
+def test_each_year_is_predicted_alone(spark, blobs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    years = blobs.drop("label", "sample_id").crossJoin(spark.range(2019, 2022).selectExpr("cast(id AS int) AS year")).withColumn("embedding", F.when(F.col("year") == 2021, F.transform("embedding", lambda x: 5 - x)).otherwise(F.col("embedding")))
+    asked, plain = [], M.classify
+
+    def classify(pixels, *rest):
+        asked.append(sorted(r["year"] for r in pixels.select("year").distinct().collect()))
+        return plain(pixels, *rest)
+
+    monkeypatch.setattr(M, "classify", classify)
+    out = M.classify_years(years, [2019, 2021], blobs, transition=True, n_estimators=3)
+    assert {r["transition"] for r in out["transition"].collect()} == {1, 2} and [2019] in asked and [2021] in asked
+
+
 def test_compatibility():
     about = {"kind": "classifier", "n_bands": 64, "spark_version": "1.3.2"}
     assert not B.check_compatibility(about, 32, "classifier", "1.3.2").ok
